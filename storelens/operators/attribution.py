@@ -16,7 +16,7 @@ MINUTE_US = 60_000_000
 # Attribution windows of the four stages, in microseconds.
 WINDOWS = {"click": 30 * MINUTE_US, "cart": 120 * MINUTE_US, "checkout": 1440 * MINUTE_US, "purchase": 1440 * MINUTE_US}
 WINDOWS_24H = {k: 1440 * MINUTE_US for k in WINDOWS}
-BUCKET_US = 60 * MINUTE_US
+BUCKET_US = 10 * MINUTE_US
 
 
 def unique_purchases(purchases: DataFrame) -> DataFrame:

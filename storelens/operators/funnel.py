@@ -11,14 +11,23 @@ STAGES = ("click", "cart", "checkout", "purchase")
 
 
 class Events:
-    """The five normalised event tables and the source status table of one store."""
+    """The five normalised event tables and the source status table of one store.
+
+    Nearly every report reads the searches and the stage rows several times (both
+    as-of joins read each side twice), so these two narrow tables are persisted on
+    first use; ``release`` frees them.
+    """
 
     def __init__(self, searches: DataFrame, clicks: DataFrame, carts: DataFrame, checkouts: DataFrame,
                  purchases: DataFrame, sources: DataFrame | None = None):
-        self.searches, self.clicks, self.carts = searches, clicks, carts
+        self.searches, self.clicks, self.carts = searches.persist(), clicks, carts
         self.checkouts, self.purchases, self.sources = checkouts, purchases, sources
         self.orders = unique_purchases(purchases)
-        self.stages = stage_events(clicks, carts, checkouts, self.orders)
+        self.stages = stage_events(clicks, carts, checkouts, self.orders).persist()
+
+    def release(self) -> None:
+        self.searches.unpersist()
+        self.stages.unpersist()
 
     def with_searches(self, searches: DataFrame) -> "Events":
         return Events(searches, self.clicks, self.carts, self.checkouts, self.purchases, self.sources)
@@ -139,7 +148,7 @@ def query_funnel(ev: Events, windows: dict[str, int] = WINDOWS) -> DataFrame:
     before the shuffle.
     """
     attributed = attribute(ev.stages.select("event_id", "kind", "q", "s", "t", "total", "currency"), ev.searches,
-                           windows).filter("aq is not null")
+                           windows).filter("aq is not null").persist()
     searches = ev.searches.select(
         F.col("q").alias("aq"), "s", F.lit("search").alias("kind"), F.lit(None).cast("string").alias("how"),
         F.lit(False).alias("searched"), "zero",
