@@ -57,14 +57,15 @@ def product_url_key(x: Column) -> Column:
 
 
 def path_key(href: Column, site: str) -> Column:
-    """FN-06: a link on ``site`` as its lower-case path; a collection prefix is cut, other hosts are null."""
+    """FN-06: a link on ``site`` as its lower-case path from ``/products/`` on; other hosts are null."""
     own = F.regexp_replace(F.lit(site.lower()), "^[a-z]+://(www\\.)?", "")
-    absolute = href.rlike("^(?i)([a-z][a-z0-9+.-]*:)?//")
     there = F.regexp_replace(F.regexp_extract(F.lower(href), "^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1), "^www\\.", "")
-    path = F.regexp_replace(F.coalesce(decoded(_path(href)), _path(href)), "/+$", "")
-    cut = F.regexp_replace(path, "^/collections/[^/]+(?=/products/)", "")
-    key = F.when(cut == "", F.lit("/")).otherwise(F.lower(cut))
-    return F.when(~absolute | (there == own), key)
+    absolute = href.rlike("^(?i)([a-z][a-z0-9+.-]*:)?//")
+    path = F.lower(F.regexp_replace(F.coalesce(decoded(_path(href)), _path(href)), "/+$", ""))
+    at = F.instr(path, "/products/")
+    key = F.nullif(F.when(at > 1, F.substring(path, at, F.length(path))).otherwise(path), F.lit(""))
+    web = ~href.rlike("^(?i)(javascript|mailto|tel|data):")
+    return F.when(web & (~absolute | (there == own)), key)
 
 
 def product_key(url: Column, pattern: str) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.operators.funnel import Events
 
-# Platform labels that only say "some platform" and never conflict.
-GENERIC_PLATFORMS = ("custom", "unknown", "wordpress", "other", "")
+# Spellings of the known platforms.
+PLATFORMS = {"woo": "woocommerce", "woocommerce": "woocommerce", "wordpress": "woocommerce", "shopify": "shopify",
+             "magento": "magento", "magento2": "magento", "custom": "custom"}
 
 
 def classify_leaks(rows: DataFrame, funnel: DataFrame, cov: DataFrame, min_sessions: int = 5) -> DataFrame:
@@ -67,12 +68,16 @@ def experiment_expiry(df: DataFrame, now: Column) -> DataFrame:
 def resolve_platform(signals: DataFrame) -> DataFrame:
     """CLS-12: one platform per shop from several ordered sources; two specific ones are a conflict.
 
-    ``signals`` is (shop, source_order, platform); generic labels never conflict.
+    ``signals`` is (shop, source_order, platform); unknown spellings are ignored and
+    ``custom`` never conflicts with a specific platform.
     """
-    specific = F.when(~F.lower("platform").isin(*GENERIC_PLATFORMS), F.lower("platform"))
-    named = signals.withColumn("_p", specific)
-    return named.groupBy("shop").agg(
-        F.sort_array(F.collect_set("_p")).alias("found"),
-        F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("source_order"))).alias("first")).select(
-        "shop", F.when(F.size("found") == 0, "unknown").when(F.size("found") > 1, "conflict").otherwise("known").alias("state"),
-        "first", "found")
+    names = F.create_map(*[F.lit(x) for kv in PLATFORMS.items() for x in kv])
+    p = F.try_element_at(names, F.lower("platform"))
+    named = signals.withColumn("_p", p).withColumn("_own", F.when(p != "custom", p))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("source_order")))
+    found = named.groupBy("shop").agg(F.array_sort(F.collect_set("_own")).alias("found"), first("_own").alias("own"),
+                                      first("_p").alias("any"))
+    clash = F.size("found") > 1
+    value = F.when(~clash, F.coalesce("own", "any"))
+    return found.select("shop", F.when(clash, "conflict").when(value.isNull(), "unknown").otherwise("known").alias("state"),
+                        value.alias("platform"))
