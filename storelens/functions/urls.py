@@ -68,7 +68,15 @@ def path_key(href: Column, site: str) -> Column:
     return F.when(web & (~absolute | (there == own)), key)
 
 
+def first_capture(x: Column, pattern: str) -> Column:
+    """First capture group when the pattern has one and it matched, else the whole match; empty without a match."""
+    grouped = "(" in pattern.replace("\\(", "").replace("(?", "")
+    whole = F.regexp_extract(x, pattern, 0)
+    return F.coalesce(F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")), whole) if grouped else whole
+
+
 def product_key(url: Column, pattern: str) -> Column:
-    """FN-07: first capture of a configured product-path pattern; null when it does not match."""
-    key = F.regexp_extract(_path(url), pattern, 1)
-    return F.when(key != "", key)
+    """FN-07: product key of a configured rule, tried on path and query first, then on the whole url."""
+    p = "(?iu)" + pattern
+    local = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^(?i)[a-z][a-z0-9+.-]*://[^/?]*", "")
+    return F.coalesce(F.nullif(first_capture(local, p), F.lit("")), F.nullif(first_capture(url, p), F.lit("")))

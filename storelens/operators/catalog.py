@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from storelens.functions.html import clean
 from storelens.functions.text import search_normalize, text_list, tokens
-from storelens.functions.urls import host, product_url_key
+from storelens.functions.urls import first_capture, host, product_url_key
 
 JOINER = " · "
 # Source fields copied into the specifications.
@@ -263,9 +263,7 @@ def field_coverage(df: DataFrame, fields: tuple[str, ...] = ("title", "descripti
 
 def extract_pattern(text: Column, pattern: str) -> Column:
     """PRJ-26: first capture group, else the whole match, trimmed; empty without a match."""
-    p = "(?iu)" + pattern
-    first = F.regexp_extract(text, p, 1) if "(" in pattern.replace("\\(", "").replace("(?:", "") else F.lit("")
-    return F.trim(F.when(first != "", first).otherwise(F.regexp_extract(text, p, 0)))
+    return F.trim(first_capture(text, "(?iu)" + pattern))
 
 
 def add_catalog_field(df: DataFrame, target: str, category: str | None = None, value: str | None = None,

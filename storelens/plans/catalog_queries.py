@@ -407,9 +407,9 @@ def path_key(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", L.path_key(own, D.SHOP).alias("key"), L.path_key(F.lit("/Collections/all/products/A-b/"), D.SHOP).alias("collection"))
 
 
-@query("fn_07_product_key", "select page_id, nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/(\\d+)/?$', 1), '') as key from pages")
+@query("fn_07_product_key", "select page_id, nullif(regexp_extract(regexp_replace(url, '^https?://[^/?#]*', ''), '/(\\d+)(?:[/?#]|$)', 1), '') as key from pages")
 def product_key(spark, sf):
-    return D.table(spark, sf, "pages").select("page_id", L.product_key(c("url"), "/(\\d+)/?$").alias("key"))
+    return D.table(spark, sf, "pages").select("page_id", L.product_key(c("url"), "/(\\d+)(?:[/?]|$)").alias("key"))
 
 
 @query("fn_08_bare_host", "select page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\\.', '') as host from pages")

@@ -1,4 +1,4 @@
-"""The conversion report as one object: each table is computed once and persisted for its consumers."""
+"""The conversion report as one object: each table is computed once and cut off from its lineage."""
 
 from __future__ import annotations
 
@@ -8,52 +8,47 @@ from pyspark.sql import DataFrame
 
 from storelens.operators import baseline as B, classify as C, funnel as U
 from storelens.operators.attribution import WINDOWS
+from storelens.session import cut
 
 
 class ConversionReport:
     """Funnel, leaks, baseline and audit of one store and window.
 
-    Tables are query- or product-grained, so what is persisted is small next to
-    the events; ``release`` frees it.
+    Tables are query- or product-grained and small next to the events. Each feeds
+    several others, so it is checkpointed: plans stay short and nothing is computed
+    twice.
     """
 
     def __init__(self, ev: U.Events, products: DataFrame, windows: dict[str, int] = WINDOWS):
         self.ev, self.products, self.windows = ev, products, windows
-        self._kept: list[DataFrame] = []
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        self._kept.append(df.persist())
-        return df
 
     def release(self) -> None:
-        for df in self._kept:
-            df.unpersist()
         self.ev.release()
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return self._keep(U.coverage(self.ev))
+        return cut(U.coverage(self.ev))
 
     @cached_property
     def measurable(self) -> DataFrame:
-        return self._keep(U.measurable(self.coverage, self.ev.sources))
+        return cut(U.measurable(self.coverage, self.ev.sources))
 
     @cached_property
     def funnel(self) -> DataFrame:
-        return self._keep(U.measured_funnel(U.store_funnel(self.ev, self.windows), self.measurable))
+        return cut(U.measured_funnel(U.store_funnel(self.ev, self.windows), self.measurable))
 
     @cached_property
     def rows(self) -> DataFrame:
         measured = U.measured_queries(U.query_funnel(self.ev, self.windows), self.measurable)
-        return self._keep(C.classify_leaks(measured, self.funnel, self.coverage))
+        return cut(C.classify_leaks(measured, self.funnel, self.coverage))
 
     @cached_property
     def tallies(self) -> DataFrame:
-        return self._keep(B.chosen_products(self.ev, self.windows))
+        return cut(B.chosen_products(self.ev, self.windows))
 
     @cached_property
     def baseline(self) -> DataFrame:
-        return self._keep(B.query_baseline(self.rows, self.tallies, self.products))
+        return cut(B.query_baseline(self.rows, self.tallies, self.products))
 
     def audit(self, limit: int = 12) -> DataFrame:
         return B.audit_candidates(self.rows, self.baseline, limit)
