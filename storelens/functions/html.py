@@ -49,3 +49,103 @@ def _clean(values: pd.Series) -> pd.Series:
 def clean(x: Column) -> Column:
     """Text of an HTML fragment; null becomes the empty string."""
     return F.coalesce(_clean(x), F.lit(""))
+
+
+# Elements that never have content.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class Node:
+    """One element: tag, attributes, parent, children and its own text pieces in order."""
+
+    __slots__ = ("tag", "attrs", "parent", "parts")
+
+    def __init__(self, tag, attrs, parent):
+        self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
+
+    def walk(self):
+        yield self
+        for p in self.parts:
+            if isinstance(p, Node):
+                yield from p.walk()
+
+    def text(self, skip=frozenset(SKIPPED)) -> str:
+        out = []
+
+        def visit(n):
+            for p in n.parts:
+                if isinstance(p, str):
+                    out.append(p)
+                elif p.tag not in skip:
+                    visit(p)
+
+        visit(self)
+        return re.sub(r"\s+", " ", "".join(out)).strip()
+
+    def up(self):
+        n = self
+        while n is not None:
+            yield n
+            n = n.parent
+
+    @property
+    def classes(self):
+        return (self.attrs.get("class") or "").split()
+
+
+class _Tree(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.here = Node("#root", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("li", "tr", "td", "th", "dt", "dd", "p", "option") and self.here.tag == tag:
+            self.here = self.here.parent
+        n = Node(tag, {k: v or "" for k, v in attrs}, self.here)
+        self.here.parts.append(n)
+        if tag not in VOID:
+            self.here = n
+
+    def handle_startendtag(self, tag, attrs):
+        self.here.parts.append(Node(tag, {k: v or "" for k, v in attrs}, self.here))
+
+    def handle_endtag(self, tag):
+        for n in self.here.up():
+            if n.tag == tag:
+                self.here = n.parent or self.root
+                return
+
+    def handle_data(self, data):
+        self.here.parts.append(data)
+
+
+def parse(html: str) -> Node:
+    """The element tree of a page; unclosed elements end with their parent."""
+    t = _Tree()
+    t.feed(html)
+    t.close()
+    return t.root
+
+
+def matches(n: Node, selector: str) -> bool:
+    """A compound selector: tag, ``.class``, ``#id``, ``[attr]``, ``[attr=value]``, ``[attr*=value]``."""
+    m = re.fullmatch(r"([a-z0-9]*)((?:\.[\w-]+|#[\w-]+|\[[^\]]+\])*)", selector.strip(), re.I)
+    if not m or (m[1] and n.tag != m[1].lower()) or n.tag == "#root":
+        return False
+    for part in re.findall(r"\.[\w-]+|#[\w-]+|\[[^\]]+\]", m[2]):
+        if part[0] == "." and part[1:] not in n.classes:
+            return False
+        if part[0] == "#" and n.attrs.get("id") != part[1:]:
+            return False
+        if part[0] == "[":
+            name, op, value = re.fullmatch(r"\[([\w:-]+)(?:(\*?=)\"?([^\"\]]*)\"?)?\]", part).groups()
+            got = n.attrs.get(name)
+            if got is None or (op == "=" and got != value) or (op == "*=" and value not in got):
+                return False
+    return True
+
+
+def select(root: Node, selectors: str) -> list[Node]:
+    """All elements matching one of the comma-separated compound selectors, in document order."""
+    each = selectors.split(",")
+    return [n for n in root.walk() if any(matches(n, s) for s in each)]

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("event_queries", "funnel_queries", "baseline_queries", "experiment_queries", "catalog_queries", "search_queries")
+FAMILIES = ("event_queries", "funnel_queries", "baseline_queries", "experiment_queries", "catalog_queries", "search_queries", "evidence_queries", "page_queries", "stream_queries")
 
 
 def load_all() -> None:

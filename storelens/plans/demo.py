@@ -21,7 +21,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def raw_base(spark: SparkSession, sf: str) -> DataFrame:
     """events with the derived attributes every raw collection is made of."""
-    ev = table(spark, sf, "events")
+    return raw_rows(table(spark, sf, "events"))
+
+
+def raw_rows(ev: DataFrame) -> DataFrame:
+    """The same for any (also streaming) frame of the events table."""
     e = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("bigint")
     t = F.date_trunc("millisecond", F.col("ts").cast("timestamp"))

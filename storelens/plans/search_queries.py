@@ -147,17 +147,22 @@ def retrieve(spark, sf):
     return found(spark, sf)
 
 
-def pair_queries(spark, sf):
-    """Two-word queries of existing but never adjacent words, some with a near twin in the vocabulary."""
-    n = D.table(spark, sf, "part").select(F.element_at(F.split("p_name", " "), -1).alias("b"), F.lower("p_type").alias("t")).distinct()
-    return n.select(F.concat_ws(":", "b", "t").alias("query_id"), F.concat("b", F.lit(" "), "t", F.lit(" 37")).alias("query"))
+def turn_cards(spark, sf):
+    """Conversation turns as a catalog: prose has near-identical words, which names of parts have not."""
+    none = F.array().cast("array<string>")
+    return D.table(spark, sf, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), c("role").alias("title"), c("text").alias("description"), none.alias("categories"),
+        none.alias("tags"), F.lit(0.0).alias("price"), F.lit(False).alias("hidden"), F.lit("instock").alias("stock_status"))
 
 
 @query("sch_07_relax_one_term")
 def relax_one_term(spark, sf):
-    cards, post, ids = indexed(spark, sf)
-    p = cut(S.plan_queries(pair_queries(spark, sf), {}))
-    return S.relax_one_term(p, cut(S.retrieve(p, post, cards, ids)), post, cards)
+    cards = turn_cards(spark, sf)
+    words = F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: F.length(w) >= 5)
+    asked = D.table(spark, sf, "benchmark").select(c("item_id").cast("string").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("query"))
+    p = cut(S.plan_queries(asked, {}))
+    index, post, ids = cut(S.search_cards(cards)), cut(S.build_postings(cards)), cut(S.build_identifiers(cards))
+    return S.relax_one_term(p, cut(S.retrieve(p, post, index, ids)), post, index)
 
 
 @query("sch_08_explain_empty", sql("""select p.query_id, case when count(*) filter (r.term is null) > 0 then 'missing-terms' when count(*) > 1 and count(v.term) = count(*) then 'no-intersection' else 'filtered' end as why,

@@ -42,18 +42,20 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written to the shared checkpoint folder, so that later plans start from them.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set,
-    as in local tests, a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where none is set, as in local tests, a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not folder:
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written to the shared checkpoint folder, so that later plans start from them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
