@@ -8,7 +8,6 @@ from storelens.operators import baseline as B, classify as C, funnel as U
 from storelens.plans import demo as D
 from storelens.plans.oracle import CTES, sql
 from storelens.plans.registry import query
-from storelens.plans.report import ConversionReport
 
 CTES["picked_raw"] = ("""select a.aq as query, case a.kind when 'click' then 0 when 'cart' then 1 else 2 end as kno, a.event_id, a.t,
     0 as line, c.product_id as pid, c.product_name as name, c.product_url as url, c.pid as target
@@ -41,7 +40,7 @@ CTES["baseline"] = ("select *, case when production = 'works' and n_targets = 0
 
 
 def tallies(spark, sf):
-    return B.chosen_products(D.events(spark, sf))
+    return D.report(spark, sf).tallies
 
 
 @query("joi_04_match_catalog", sql("""select t.event_id, p.id as product_id, coalesce(not p.hidden and p.stock_status = 'instock', false) as available
@@ -91,7 +90,7 @@ def top_per_query(spark, sf):
 
 
 def _baseline(spark, sf):
-    r = ConversionReport(D.events(spark, sf), D.products(spark, sf))
+    r = D.report(spark, sf)
     return r.rows, r.baseline
 
 
@@ -237,7 +236,7 @@ def results_shown(spark, sf):
 @query("cls_05_related_queries", sql(f"""select * from (select f.query, f.searches, a.asked, row_number() over (partition by a.asked order by f.searches desc, f.query) as rank
     from funnel f, (select unnest(['q1', 'q12', 'q7']) as asked) a where f.query <> a.asked and (contains(f.query, a.asked) or contains(a.asked, f.query))) where rank <= 8""", "funnel"))
 def related_queries(spark, sf):
-    return B.related_queries(U.query_funnel(D.events(spark, sf)), ASKED).select("query", "searches", "asked", "rank")
+    return B.related_queries(D.report(spark, sf).rows, ASKED).select("query", "searches", "asked", "rank")
 
 
 CTES["audit"] = ("""select l.*, row_number() over (partition by no order by by_ desc, query) as round from (
@@ -254,7 +253,7 @@ CTES["audit"] = ("""select l.*, row_number() over (partition by no order by by_
     select a.query, a.reason, a.round, a.no, p.position from audit a join (select query, row_number() over (order by r, n) as position, max(r) over () as stop from (
       select query, min(round) as r, arg_min(no, (round, no)) as n from audit group by 1 order by r, n limit 8)) p on p.query = a.query where a.round <= p.stop) group by 1, 2""", "audit"))
 def audit_candidates(spark, sf):
-    return ConversionReport(D.events(spark, sf), D.products(spark, sf)).audit(8).select("query", "position", F.array_join("reasons", "|").alias("reasons"))
+    return D.report(spark, sf).audit(8).select("query", "position", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("agg_22_tracking_issues", sql("""select * from (

@@ -6,10 +6,13 @@ tagged and untagged events, several order layouts.
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from storelens.operators import events as E
 from storelens.operators.funnel import Events
+from storelens.plans.report import ConversionReport
 
 PRODUCT_SPACE = 2100  # product ids of events; a few of them are not in the catalog
 SHOP = "https://shop.example"
@@ -134,9 +137,31 @@ def sources(spark, sf):
     return E.source_status(source_rows(spark, sf), SOURCES)
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def once(name: str, spark: SparkSession, sf: str, make):
+    """A table bundle built once per session and data folder, as a report job shares it between its parts."""
+    key = (name, spark.sparkContext.applicationId, id(spark), sf)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def reset(spark: SparkSession) -> None:
+    """Forgets the shared bundles and their cached tables."""
+    _MADE.clear()
+    spark.catalog.clearCache()
+
+
 def events(spark: SparkSession, sf: str) -> Events:
-    return Events(searches(spark, sf), clicks(spark, sf), carts(spark, sf), checkouts(spark, sf),
-                  purchases(spark, sf), sources(spark, sf))
+    """The shop's event bundle; callers may replace parts of their copy."""
+    return copy.copy(once("events", spark, sf, lambda: Events(
+        searches(spark, sf), clicks(spark, sf), carts(spark, sf), checkouts(spark, sf), purchases(spark, sf), sources(spark, sf))))
+
+
+def report(spark: SparkSession, sf: str) -> ConversionReport:
+    return once("report", spark, sf, lambda: ConversionReport(events(spark, sf), products(spark, sf)))
 
 
 def products(spark: SparkSession, sf: str) -> DataFrame:

@@ -248,9 +248,9 @@ def experiment_expiry(spark, sf):
 
 @query("cls_12_resolve_platform", """select shop, case when count(distinct own) > 1 then 'conflict' when coalesce(arg_min(own, ord), arg_min(p, ord)) is null then 'unknown' else 'known' end as state,
     case when count(distinct own) <= 1 then coalesce(arg_min(own, ord), arg_min(p, ord)) end as platform from (
-    select *, case when p <> 'custom' then p end as own from (select c_nationkey as shop, c_custkey as ord, case c_custkey % 40 when 1 then 'woocommerce' when 2 then 'woocommerce' when 3 then 'shopify' when 4 then 'magento' when 5 then 'custom' end as p from customer where c_custkey < 150)) group by 1""")
+    select *, case when p <> 'custom' then p end as own from (select c_nationkey as shop, c_custkey as ord, case c_custkey % 400 when 1 then 'woocommerce' when 2 then 'woocommerce' when 3 then 'shopify' when 4 then 'magento' when 5 then 'custom' end as p from customer)) group by 1""")
 def resolve_platform(spark, sf):
     k = F.col("c_custkey")
-    label = F.when(k % 40 == 1, "Woo").when(k % 40 == 2, "wordpress").when(k % 40 == 3, "Shopify").when(k % 40 == 4, "magento2").when(k % 40 == 5, "custom").otherwise("other")
-    sig = D.table(spark, sf, "customer").filter(k < 150).select(F.col("c_nationkey").alias("shop"), k.alias("source_order"), label.alias("platform"))
+    label = F.when(k % 400 == 1, "Woo").when(k % 400 == 2, "wordpress").when(k % 400 == 3, "Shopify").when(k % 400 == 4, "magento2").when(k % 400 == 5, "custom").otherwise("other")
+    sig = D.table(spark, sf, "customer").select(F.col("c_nationkey").alias("shop"), k.alias("source_order"), label.alias("platform"))
     return C.resolve_platform(sig)

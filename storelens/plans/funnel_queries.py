@@ -8,7 +8,6 @@ from storelens.operators import attribution as A, classify as C, funnel as U
 from storelens.plans import demo as D
 from storelens.plans.oracle import CTES, sql
 from storelens.plans.registry import query
-from storelens.plans.report import ConversionReport
 
 COUNTS = """query, searches, search_sessions, missing_session, zero_searches, measured_searches, clicks, carts, checkouts,
     purchases, explicit_purchases, inferred_purchases, click_sessions, cart_sessions, checkout_sessions, purchase_sessions"""
@@ -244,7 +243,7 @@ def compact_rows(spark, sf):
 
 @query("cls_01_classify_leaks", sql("""select query, searches, search_sessions, clicks, carts, purchases, zero_rate, click_rate, cart_rate, purchase_rate, leak_stage, sessions_below_average from classified""", "classified"))
 def classify_leaks(spark, sf):
-    return ConversionReport(D.events(spark, sf), D.products(spark, sf)).rows.select(
+    return D.report(spark, sf).rows.select(
         "query", "searches", "search_sessions", "clicks", "carts", "purchases", "zero_rate", "click_rate", "cart_rate",
         "purchase_rate", "leak_stage", "sessions_below_average")
 

@@ -291,12 +291,12 @@ CTES["top5"] = ("select query as query_id, product_id, rank from result where ra
 
 @query("sch_18_apply_layout", sql("""select query_id, product_id, row_number() over (partition by query_id order by position nulls last, low, rank) as new_rank, position is not null as pinned from (
     select coalesce(r.query_id, p.query_id) as query_id, coalesce(r.product_id, p.product_id) as product_id, r.rank, p.position, (coalesce(r.product_id, p.product_id)::bigint % 5 = 1)::int as low from top5 r
-    full join (select 'q' || (p_partkey % 20) as query_id, '' || p_partkey as product_id, p_partkey as position from part where p_partkey % 40 < 20 and p_partkey < 200) p on p.query_id = r.query_id and p.product_id = r.product_id) where product_id::bigint % 11 <> 0""", "top5"))
+    full join (select 'q' || (p_partkey % 20) as query_id, '' || p_partkey as product_id, p_partkey as position from part where p_partkey % 40 < 20) p on p.query_id = r.query_id and p.product_id = r.product_id) where product_id::bigint % 11 <> 0""", "top5"))
 def apply_layout(spark, sf):
     res = BQ.demo_results(spark, sf).filter("rank <= 40").select(c("query").alias("query_id"), "product_id", "rank")
     n = c("p_partkey")
     part = D.table(spark, sf, "part")
-    pins = part.filter((n % 40 < 20) & (n < 200)).select(F.concat(F.lit("q"), n % 20).alias("query_id"), n.cast("string").alias("product_id"), n.alias("position"))
+    pins = part.filter(n % 40 < 20).select(F.concat(F.lit("q"), n % 20).alias("query_id"), n.cast("string").alias("product_id"), n.alias("position"))
     every = res.select("query_id", "product_id").union(pins.select("query_id", "product_id")).distinct().withColumn("k", c("product_id").cast("bigint"))
     return K.apply_layout(res, pins, every.filter("k % 11 = 0"), every.filter("k % 5 = 1"))
 
@@ -315,14 +315,14 @@ def stale_vectors(spark, sf):
     return S.stale_vectors(d, store, "m1")
 
 
-CTES["eid"] = ("""select 'e' || (p_partkey // 10 % 40) as example_id, 'q' || (p_partkey // 10 % 20) as query, '' || p_partkey as product_id, p_partkey % 10 < 2 as want from part where p_partkey < 800 and p_partkey % 10 < 3""", ())
+CTES["eid"] = ("""select 'e' || (p_partkey // 10) as example_id, 'q' || (p_partkey // 10 % 20) as query, '' || p_partkey as product_id, p_partkey % 10 < 2 as want from part where p_partkey % 10 < 3""", ())
 
 
 def examples(spark, sf):
     k = c("p_partkey")
-    rows = D.table(spark, sf, "part").filter((k < 800) & (k % 10 < 3))
+    rows = D.table(spark, sf, "part").filter(k % 10 < 3)
     ids = lambda cond: F.filter(F.collect_list(F.when(cond, k.cast("string"))), lambda x: x.isNotNull())
-    return rows.groupBy(F.concat(F.lit("e"), F.floor(k / 10) % 40).alias("example_id"), F.concat(F.lit("q"), F.floor(k / 10) % 20).alias("query")).agg(
+    return rows.groupBy(F.concat(F.lit("e"), F.floor(k / 10)).alias("example_id"), F.concat(F.lit("q"), F.floor(k / 10) % 20).alias("query")).agg(
         ids(k % 10 < 2).alias("include_ids"), ids(k % 10 == 2).alias("exclude_ids"))
 
 

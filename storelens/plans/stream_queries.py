@@ -76,9 +76,9 @@ def stream_catalog_changes(spark, sf):
 
 
 def feed_docs(spark, sf, row, wrap):
-    """Feed documents of the catalog: one per size, arrays or wrapped objects."""
-    p = D.table(spark, sf, "part").groupBy("p_size").agg(F.to_json(F.collect_list(row)).alias("body"))
-    return p.select(F.when(c("p_size") % 2 == 0, F.concat(F.lit('{"products":'), "body", F.lit("}"))).otherwise(c("body")).alias("body")) if wrap else p.select("body")
+    """Feed documents of the catalog, a hundred products each, arrays or wrapped objects."""
+    p = D.table(spark, sf, "part").groupBy(F.floor(c("p_partkey") / 100).alias("doc")).agg(F.to_json(F.collect_list(row)).alias("body"))
+    return p.select(F.when(c("doc") % 2 == 0, F.concat(F.lit('{"products":'), "body", F.lit("}"))).otherwise(c("body")).alias("body")) if wrap else p.select("body")
 
 
 @query("src_05_read_feed_json", "select '' || p_partkey as id, p_name as title, p_retailprice as price from part")
