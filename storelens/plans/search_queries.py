@@ -276,7 +276,15 @@ def top_results(spark, sf):
     return found(spark, sf, 50).join(query_rows(spark, sf), "query_id").select("query_id", "query", "product_id", "rank")
 
 
-@query("sch_16_apply_ranking_rules")
+STEM = "case when length({0}) <= 3 then {0} else {0}[1:greatest(3, length({0}) - 2)] end"
+SAME = f"(w = q or (length(w) >= 3 and (starts_with(w, {STEM.format('q')}) or starts_with(q, {STEM.format('w')}))))"
+CTES["rk2"] = (f"""select *, len(qw) > 0 and len(list_filter(qw, lambda q: len(list_filter(tw, lambda w: {SAME})) = 0)) = 0 as direct, len(list_filter(qw, lambda q: len(list_filter(tw[1:1], lambda w: {SAME})) > 0)) > 0 as heads
+    from (select *, string_split(ltitle, ' ') as tw from rk)""", ("rk",))
+CTES["rk3"] = ("""select *, 2 * (list_contains(qw, 'red') and p_type = 'PROMO' and direct)::int - (contains(ltitle, 'anvil'))::int as score, (list_contains(qw, 'red') and p_type = 'PROMO' and direct) or contains(ltitle, 'anvil') as touched from rk2""", ("rk2",))
+
+
+@query("sch_16_apply_ranking_rules", sql("""select query_id, product_id, rank, score, row_number() over (partition by query_id order by case when a then direct::int else 0 end desc, case when a then score else 0 end desc, case when a then (score > 0 and heads)::int else 0 end desc, rank) as new_rank
+    from (select *, bool_or(touched) over (partition by query_id) as a from rk3)""", "rk3"))
 def apply_ranking_rules(spark, sf):
     return K.apply_ranking_rules(top_results(spark, sf), P(spark, sf), RULES)
 
@@ -371,7 +379,12 @@ def concept_terms(spark, sf):
 HEB = "translate(substr(md5(p_name), 1, 6), '0123456789abcdef', 'אבגדהוזחטיכלמנסע')"
 
 
-@query("sch_25_query_variants")
+CTES["roots"] = (f"select distinct {HEB} || case when length(p_name) > 9 then ' שלם' else '' end as q, {HEB} as w from part", ())
+CTES["variants"] = ("""select q, 'head' as kind, cast(null as varchar) as of, 0 as o from roots union all select w[1:2] || w[4] || w[3] || w[5:] || q[7:], 'typo', q, 1 from roots where w[3] <> w[4] union all
+    select translate(q, 'אבגדהוזחטיכלמנסעשם', 'tcdsvuzjyhfknbxgao'), 'layout', q, 2 from roots union all select 'ה' || q, 'prefix', q, 3 from roots where not contains(q, ' ') and not regexp_matches(q, '^[הוב]')""", ("roots",))
+
+
+@query("sch_25_query_variants", sql("select x.q as q, x.kind as kind, x.of as of from (select arg_min({'q': q, 'kind': kind, 'of': of}, (o, coalesce(of, ''), q)) as x from variants group by replace(q, 'ם', 'מ'))", "variants"))
 def query_variants(spark, sf):
     heb = F.translate(F.substring(F.md5("p_name"), 1, 6), "0123456789abcdef", "אבגדהוזחטיכלמנסע")
     q = D.table(spark, sf, "part").select("p_name").distinct().select(F.concat(heb, F.when(F.length("p_name") > 9, " שלם").otherwise("")).alias("q"), F.lit("head").alias("kind"))

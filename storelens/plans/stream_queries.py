@@ -103,3 +103,22 @@ def write_report(spark, sf):
     path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
     SK.write_report(rows, path, "r1", "2024-01")
     return spark.read.schema("query string, searches bigint, period string, report_id string").parquet(path)
+
+
+@query("src_06_read_feed_csv", "select '' || p_partkey as id, p_name || ', \"new\"' as title, case when p_size % 3 = 0 then '' else 'a' || chr(10) || 'b' end as note from part")
+def read_feed_csv(spark, sf):
+    cell = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    note = F.when(c("p_size") % 3 == 0, "").otherwise("a\nb")
+    line = F.concat_ws(",", c("p_partkey").cast("string"), cell(F.concat("p_name", F.lit(', "new"'))), cell(note))
+    path = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    # Every part file is a feed of its own: header, rows, a blank row.
+    docs = D.table(spark, sf, "part").groupBy(F.floor(c("p_partkey") / 500).alias("f")).agg(F.array_join(F.collect_list(line), "\n").alias("rows"))
+    docs.select(F.concat(F.lit("id,title,note\n"), "rows", F.lit("\n,,")).alias("value")).repartition(4).write.option("lineSep", "\n").text(path)
+    return RD.read_feed_csv(spark, path).filter("id <> 'id'")
+
+
+@query("snk_03_write_leads_csv", "select 'h' || c_custkey as host, '' || c_nationkey as score, c_name as title from customer")
+def write_leads_csv(spark, sf):
+    path = f"{shared_folder(spark)}/leads-{uuid.uuid4().hex}"
+    SK.write_leads_csv(D.table(spark, sf, "customer").select(F.concat(F.lit("h"), "c_custkey").alias("host"), c("c_nationkey").alias("score"), c("c_name").alias("title")), path)
+    return RD.read_feed_csv(spark, path)

@@ -12,7 +12,7 @@ SAMPLE = ["prj_08_to_query_events", "joi_03_attribute", "agg_06_query_funnel", "
 
 
 def test_every_check_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 250
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 280
 
 
 def test_entry(spark):
