@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.functions.text import search_normalize
-from storelens.operators.catalog import EMPTY, merge_maps
+from storelens.operators.catalog import merge_maps
 
 c = F.col
 # Fact fields that belong to commerce data, never to extracted facts.

@@ -6,11 +6,11 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.functions import html as H
 from storelens.functions.text import audit_normalize, search_normalize, title_matches
-from storelens.functions.urls import bare_host, first_capture, host, origin, product_key
+from storelens.functions.urls import bare_host, host, origin, product_key
 
 c = F.col
 EMPTY = lambda t="string": F.array().cast(f"array<{t}>")
@@ -369,10 +369,11 @@ def link_frontier(links: DataFrame, visited: DataFrame, robots: DataFrame, agent
 
 
 def repeated_page(pages: DataFrame) -> DataFrame:
-    """SCR-16: response pages (source, page, ids) with the same id list as the page before."""
-    w = Window.partitionBy("source").orderBy("page")
-    sign = F.sha2(F.to_json("ids"), 256)
-    return pages.withColumn("_s", sign).withColumn("repeated", (F.size("ids") > 0) & F.coalesce(c("_s") == F.lag("_s").over(w), F.lit(False))).drop("_s", "ids")
+    """SCR-16: response pages (source, page, ids) with the same id list as the page before; pages are numbered one by one."""
+    signed = pages.withColumn("_s", F.sha2(F.to_json("ids"), 256))
+    before = signed.select("source", (c("page") + 1).alias("page"), c("_s").alias("_before"))
+    same = (F.size("ids") > 0) & F.coalesce(c("_s") == c("_before"), F.lit(False))
+    return signed.join(before, ["source", "page"], "left").select("source", "page", same.alias("repeated"))
 
 
 def robots_rules(robots: DataFrame, agent: str = "storelens") -> DataFrame:

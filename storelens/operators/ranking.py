@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from storelens.functions.text import search_normalize, tokens, word_matches, words
-from storelens.functions.urls import bare_host  # noqa: F401
-from storelens.operators.catalog import EMPTY, any_of, field_text, shown
+from storelens.functions.text import search_normalize, word_matches, words
+from storelens.operators.catalog import any_of, field_text, shown
+from storelens.operators.ranks import global_rank, rank_bucket
 
 c = F.col
 # Fields whose values are labels and match exactly.
@@ -75,10 +75,10 @@ def apply_ranking_rules(results: DataFrame, products: DataFrame, rules: list[dic
     j = j.withColumn("score", score).withColumn("_touched", touched).withColumn("_head", (c("score") > 0) & head)
     any_rule = j.groupBy("query_id").agg(F.bool_or("_touched").alias("_any"))
     j = j.join(any_rule, "query_id")
-    on = lambda x, zero: F.when(c("_any"), x).otherwise(F.lit(zero))
-    w = Window.partitionBy("query_id").orderBy(on(c("_direct").cast("int"), 0).desc(), on(c("score"), 0).desc(),
-                                               on(c("_head").cast("int"), 0).desc(), "rank")
-    return j.withColumn("new_rank", F.row_number().over(w)).select("query_id", "product_id", "rank", "score", "new_rank")
+    on = lambda x: F.when(c("_any"), -x).otherwise(F.lit(0))
+    tier = F.struct(on(c("_direct").cast("int")), on(c("score")), on(c("_head").cast("int")), rank_bucket(c("rank")))
+    out = global_rank(j, [c("rank")], tier, ("query_id",))
+    return out.select("query_id", "product_id", "rank", "score", (c("rn") + 1).cast("int").alias("new_rank"))
 
 
 def rule_target_counts(products: DataFrame, rules: list[dict], ascii_only: bool = False) -> DataFrame:
@@ -93,8 +93,10 @@ def apply_layout(results: DataFrame, pins: DataFrame, exclusions: DataFrame, dem
     pinned = pins.select(*keys, "position")
     d = demoted.select(*keys, F.lit(1).alias("_low"))
     j = results.select(*keys, "rank").join(pinned, keys, "full_outer").join(exclusions.select(*keys), keys, "left_anti").join(d, keys, "left")
-    w = Window.partitionBy("query_id").orderBy(c("position").asc_nulls_last(), F.coalesce("_low", F.lit(0)), "rank")
-    return j.withColumn("new_rank", F.row_number().over(w)).select(*keys, "new_rank", c("position").isNotNull().alias("pinned"))
+    low = F.when(c("position").isNull(), F.coalesce("_low", F.lit(0))).otherwise(0)
+    place = F.coalesce("position", "rank")
+    out = global_rank(j, [place], F.struct(c("position").isNull(), low, rank_bucket(place)), ("query_id",))
+    return out.select(*keys, (c("rn") + 1).cast("int").alias("new_rank"), c("position").isNotNull().alias("pinned"))
 
 
 def evaluate_examples(examples: DataFrame, results: DataFrame, cards: DataFrame) -> DataFrame:

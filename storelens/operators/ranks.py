@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def global_rank(df: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
-    """Adds ``rn``, the 0-based position in the total order.
+def global_rank(df: DataFrame, order: list[Column], bucket: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``rn``, the 0-based position in the total order (of each ``by`` group).
 
     ``bucket`` must not decrease along the order; rows are numbered inside their
     bucket and shifted by the size of all earlier buckets, so only the bucket
-    sizes (one row per bucket) are ordered globally.
+    sizes (one row per bucket) are ordered as a whole, and a group holding most
+    rows is numbered by many tasks.
     """
+    keys = [*by, "_b"]
     rows = df.withColumn("_b", bucket)
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_b").orderBy(*order)
-    return rows.join(shift, "_b").withColumn("rn", F.col("_off") + F.row_number().over(inside) - 1).drop("_b", "_off")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    return rows.join(shift, keys).withColumn("rn", F.col("_off") + F.row_number().over(inside) - 1).drop("_b", "_off")
+
+
+RANK_BUCKET = 10_000
+
+
+def rank_bucket(rank: Column) -> Column:
+    """Bucket of an existing rank, for re-ranking."""
+    return F.floor(rank / RANK_BUCKET)
 
 
 def systematic_sample(df: DataFrame, n: int, order: list[Column], bucket: Column) -> DataFrame:

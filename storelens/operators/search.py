@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from storelens.functions.text import (PRICE_CLAUSE, apply_spelling, article_prefixed, inflections, keyboard_layout,
                                       prefix_stems, search_normalize, swap_typo, tokens)
 from storelens.operators.catalog import EMPTY, sellable
+from storelens.operators.ranks import global_rank, rank_bucket
 from storelens.session import cut
 
 c = F.col
@@ -238,12 +239,18 @@ def _costed(wants: DataFrame, resolved: DataFrame, postings: DataFrame, cards: D
 
 
 def ranked(found: DataFrame, n: int | None = None) -> DataFrame:
-    """Results in retrieval order: penalty, title hits, exact title, popularity, id."""
-    hits = F.size(F.array_intersect("terms", "p.words"))
-    w = Window.partitionBy("query_id").orderBy("penalty", hits.desc(), (c("p.title") == c("norm")).desc(), c("p.popularity").desc(), "product_id")
-    out = found.withColumn("rank", F.row_number().over(w))
-    out = out.filter(c("rank") <= n) if n else out
-    return out.select("query_id", "product_id", "penalty", "rank")
+    """Results in retrieval order: penalty, title hits, exact title, popularity, id; the first ``n`` of each query if given."""
+    pop = c("p.popularity")
+    hits, other = F.size(F.array_intersect("terms", "p.words")), c("p.title") != c("norm")
+    order = ["penalty", hits.desc(), other, pop.desc(), "product_id"]
+    if n:
+        top = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(c("rank") <= n)
+        return top.select("query_id", "product_id", "penalty", "rank")
+    # Products without popularity are in id order, so their bucket may follow the id.
+    coarse = F.struct(c("penalty"), -hits, other, -F.floor(F.log2(F.greatest(pop, F.lit(0.0)) + 1) * 4),
+                      F.when(pop == 0, F.left(c("product_id").cast("string"), F.lit(2))).otherwise(""))
+    out = global_rank(found, order, coarse, ("query_id",))
+    return out.select("query_id", "product_id", "penalty", (c("rn") + 1).cast("int").alias("rank"))
 
 
 def term_rows(plans: DataFrame) -> DataFrame:
@@ -482,8 +489,9 @@ def rank_fusion(lists: list[DataFrame], cut: int = 100, k: int = 60) -> DataFram
 
 def stock_last(results: DataFrame) -> DataFrame:
     """SRT-08: out-of-stock results after all in-stock ones, order kept inside (rows carry stock_status and rank)."""
-    w = Window.partitionBy("query_id").orderBy(c("stock_status") != "instock", "rank")
-    return results.withColumn("rank", F.row_number().over(w))
+    out = c("stock_status") != "instock"
+    new = global_rank(results, [c("rank")], F.struct(out, rank_bucket(c("rank"))), ("query_id",))
+    return new.withColumn("rank", (c("rn") + 1).cast("int")).drop("rn")
 
 
 def exact_then_extra(exact: DataFrame, extra: DataFrame) -> DataFrame:
@@ -491,8 +499,8 @@ def exact_then_extra(exact: DataFrame, extra: DataFrame) -> DataFrame:
     keys = ["query_id", "product_id"]
     more = extra.join(exact.select(*keys), keys, "left_anti").select(*keys, "rank", F.lit(1).alias("part"))
     both = exact.select(*keys, "rank", F.lit(0).alias("part")).unionByName(more)
-    w = Window.partitionBy("query_id").orderBy("part", "rank")
-    return both.withColumn("rank", F.row_number().over(w))
+    new = global_rank(both, [c("rank")], F.struct(c("part"), rank_bucket(c("rank"))), ("query_id",))
+    return new.withColumn("rank", (c("rn") + 1).cast("int")).drop("rn")
 
 
 def merge_vectors(store: DataFrame, new: DataFrame, model: str, dimensions: int) -> DataFrame:
