@@ -240,16 +240,16 @@ def _costed(wants: DataFrame, resolved: DataFrame, postings: DataFrame, cards: D
 
 def ranked(found: DataFrame, n: int | None = None) -> DataFrame:
     """Results in retrieval order: penalty, title hits, exact title, popularity, id; the first ``n`` of each query if given."""
-    pop = c("p.popularity")
     hits, other = F.size(F.array_intersect("terms", "p.words")), c("p.title") != c("norm")
-    order = ["penalty", hits.desc(), other, pop.desc(), "product_id"]
+    slim = found.select("query_id", "product_id", "penalty", (-hits).alias("_h"), other.alias("_o"), c("p.popularity").alias("_p"))
+    order = ["penalty", "_h", "_o", c("_p").desc(), "product_id"]
     if n:
-        top = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(c("rank") <= n)
+        top = slim.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(c("rank") <= n)
         return top.select("query_id", "product_id", "penalty", "rank")
     # Products without popularity are in id order, so their bucket may follow the id.
-    coarse = F.struct(c("penalty"), -hits, other, -F.floor(F.log2(F.greatest(pop, F.lit(0.0)) + 1) * 4),
-                      F.when(pop == 0, F.left(c("product_id").cast("string"), F.lit(2))).otherwise(""))
-    out = global_rank(found, order, coarse, ("query_id",))
+    coarse = F.struct("penalty", "_h", "_o", -F.floor(F.log2(F.greatest("_p", F.lit(0.0)) + 1) * 4),
+                      F.when(c("_p") == 0, F.left(c("product_id").cast("string"), F.lit(2))).otherwise(""))
+    out = global_rank(cut(slim), order, coarse, ("query_id",))
     return out.select("query_id", "product_id", "penalty", (c("rn") + 1).cast("int").alias("rank"))
 
 
