@@ -1 +1 @@
-
+"""storelens functions."""

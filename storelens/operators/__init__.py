@@ -1 +1 @@
-
+"""storelens operators."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from storelens.functions.html import clean
-from storelens.functions.text import search_normalize, text_list, tokens
+from storelens.functions.text import search_normalize, text_list
 from storelens.functions.urls import first_capture, host, product_url_key
 
 JOINER = " · "

@@ -199,7 +199,10 @@ def proposal_rules(plan: DataFrame, review: DataFrame, observed: DataFrame, prod
     repeated = plan.groupBy("proposal_id", "action_id", "query", "product_id").agg(F.count("*").alias("n")).filter("n > 1")
     thin = asked.join(enough, "query").groupBy("proposal_id").agg(F.sum("sessions").alias("n")).filter("n < 20")
     first = asked.groupBy("query").agg(F.min("proposal_id").alias("first"))
-    bundle = plan.filter("type = 'bundle'").select("proposal_id", "action_id", "query", "product_id")
+    bundles = plan.filter("type = 'bundle'").select("proposal_id", "action_id", "query", "product_id")
+    sizes = bundles.groupBy("proposal_id", "action_id", "query").agg(F.count("*").alias("n"))
+    # Only bundles of two to four products are compared pair by pair.
+    bundle = bundles.join(sizes.filter("n between 2 and 4").drop("n"), ["proposal_id", "action_id", "query"])
     other = bundle.select("proposal_id", "action_id", "query", F.col("product_id").alias("b"))
     needed = bundle.join(other, ["proposal_id", "action_id", "query"]).filter("product_id < b")
     known = pairs.select(F.col("q").alias("query"), F.col("a").alias("product_id"), "b")
@@ -210,6 +213,7 @@ def proposal_rules(plan: DataFrame, review: DataFrame, observed: DataFrame, prod
             .unionByName(v(repeated, "duplicate_product"))
             .unionByName(v(uses.filter("(ex > 0 and n > ex) or (de > 0 and re > 0)"), "contradiction"))
             .unionByName(v(needed.join(known, ["query", "product_id", "b"], "left_anti"), "weak_bundle"))
+            .unionByName(v(sizes.filter("n not between 2 and 4"), "bundle_size", none))
             .unionByName(thin.select("proposal_id", F.lit("thin_proposal").alias("code"), none.alias("query"), none.alias("product_id")))
             .unionByName(v(asked.join(first, "query").filter("proposal_id <> first"), "overlapping", none))).distinct()
 

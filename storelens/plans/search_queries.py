@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from storelens.functions import numbers as N, text as T
-from storelens.operators import baseline as B, ranking as K, ranks as R, search as S
-from storelens.plans import baseline_queries as BQ, catalog_queries as CQ, demo as D
+from storelens.operators import ranking as K, ranks as R, search as S
+from storelens.plans import baseline_queries as BQ, catalog_queries, demo as D  # noqa: F401  (shares SQL fragments)
 from storelens.plans.oracle import CTES, sql
 from storelens.plans.registry import query
 from storelens.session import cut

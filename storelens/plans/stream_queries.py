@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from storelens.operators import funnel as U
 from storelens.plans import catalog_queries as CQ, demo as D
-from storelens.plans.oracle import CTES, sql
+from storelens.plans.oracle import sql
 from storelens.plans.registry import query
-from storelens.session import cut, shared_folder
+from storelens.session import shared_folder
 from storelens.sources import readers as RD, sinks as SK
 from storelens.streaming import jobs as J
 

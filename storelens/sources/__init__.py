@@ -1 +1 @@
-
+"""storelens sources."""

@@ -1 +1 @@
-
+"""storelens streaming."""
