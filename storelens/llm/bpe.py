@@ -22,10 +22,10 @@ from storelens.llm.common import over_batches
 
 # The splitting pattern, white space and word end that the vocabulary was made with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0  -     　"
 WORD_END = "</w>"
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 250_000
 CACHE_LENGTH = 40
 
 
@@ -49,40 +49,47 @@ class WordBpe:
         self.ids: dict[str, int] = dict(vocab)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*vocab.items(), *self.special.items()]}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        merges = spec["model"]["merges"]
+        self.new_id = [vocab[a + b] for a, b in merges]
+        self.ranks: dict[int, int] = {}  # left id and right id in one number -> rank
+        for rank, (a, b) in enumerate(merges):
+            self.ranks.setdefault(vocab[a] << 20 | vocab[b], rank)
         symbols = byte_symbols()
         self.inner = [vocab[c] for c in symbols]
         self.last = [vocab[c + WORD_END] for c in symbols]
         self.pretokens = regex.compile(SPLIT.replace(r"\s", SPACE))
         self.chunks = re.compile(f"[^{SPACE}]+")
+        self.odd_space = re.compile("[\x1c-\x1f]")
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def merge(self, symbols: list[int]) -> list[int]:
-        """Apply the merges to a symbol list, lowest rank first and leftmost among equals."""
-        n = len(symbols)
-        if n < 2:
-            return symbols
-        sym, before, after = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
-        merges, heap = self.merges, []
-        for i, pair in enumerate(zip(symbols, symbols[1:])):
-            if (m := merges.get(pair)) is not None:
-                heap.append((m[0], i, m[1], *pair))
+        """Apply the merges to a symbol list, lowest rank first and leftmost among equals.
+
+        A queue entry is rank and position in one number; it is stale if the pair now at that
+        position has another rank, or none.
+        """
+        sym, n, rank_of, new_id = list(symbols), len(symbols), self.ranks.get, self.new_id
+        heap = [r << 32 | i for i in range(n - 1) if (r := rank_of(sym[i] << 20 | sym[i + 1])) is not None]
+        if not heap:
+            return sym
         heapq.heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue  # stale: one of the two symbols has been merged since
-            sym[i], sym[j] = new, -1
+            if sym[i] < 0 or j >= n or rank_of(sym[i] << 20 | sym[j]) != rank:
+                continue
+            new = sym[i] = new_id[rank]
+            sym[j] = -1
             k = after[i] = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if (m := merges.get((new, sym[k]))) is not None:
-                    heapq.heappush(heap, (m[0], i, m[1], new, sym[k]))
-            if (p := before[i]) >= 0 and (m := merges.get((sym[p], new))) is not None:
-                heapq.heappush(heap, (m[0], p, m[1], sym[p], new))
+                if (r := rank_of(new << 20 | sym[k])) is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            p = before[i]
+            if p >= 0 and (r := rank_of(sym[p] << 20 | new)) is not None:
+                heapq.heappush(heap, r << 32 | p)
         return [s for s in sym if s >= 0]
 
     def normalized(self, text: str) -> str:
@@ -91,6 +98,10 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
+    def split(self, text: str) -> list[str]:
+        """Pieces between white space; Python's own white space has four control characters more."""
+        return self.chunks.findall(text) if self.odd_space.search(text) else text.split()
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
         raw = word.encode()
@@ -105,7 +116,7 @@ class WordBpe:
         parts = self.specials.split(text) if self.specials and "<|" in text else [text]
         out = []
         for i, part in enumerate(parts):
-            out += [(True, part)] if i % 2 else [(False, c) for c in self.chunks.findall(self.normalized(part))]
+            out += [(True, part)] if i % 2 else [(False, c) for c in self.split(self.normalized(part))]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -117,31 +128,59 @@ class WordBpe:
 
 
 class _Cache(dict):
-    """chunk -> (number of ids, ids as text, decoded text); emptied when full, so its memory is bounded."""
+    """piece of text -> (ids as text, decoded text). When full, the older generation goes, so its memory is bounded."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> tuple[str, str]:
+        got = self.old.get(piece) or self.make(piece)
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
 
-    of_path: dict[str, _Cache] = {}
+
+class _Codec:
+    """A vocabulary with its caches: of pre-tokens, and of pieces between white space."""
+
+    of_path: dict[str, _Codec] = {}
 
     def __init__(self, path: str):
         self.bpe = WordBpe(path)
+        self.words = _Cache(lambda word: self.of(self.bpe.encode_word(word)))
+        self.chunks = _Cache(self.chunk)
 
     @classmethod
-    def at(cls, path: str) -> _Cache:
+    def at(cls, path: str) -> _Codec:
         """One vocabulary at a time per Python worker, kept for its later tasks."""
         if path not in cls.of_path:
             cls.of_path.clear()
             cls.of_path[path] = cls(path)
         return cls.of_path[path]
 
-    def of(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.bpe.decode(ids)
+    def of(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), self.bpe.decode(ids)
 
-    def __missing__(self, chunk: str) -> tuple[int, str, str]:
-        got = self.of(self.bpe.encode_chunk(chunk))
-        if len(chunk) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = got
-        return got
+    def chunk(self, chunk: str) -> tuple[str, str]:
+        words = self.bpe.pretokens.findall(chunk)
+        if len(words) == 1:
+            return self.words[words[0]]
+        ids, texts = zip(*map(self.words.__getitem__, words))
+        return " ".join(ids), " ".join(texts)
+
+    def code(self, text: str) -> tuple[str, str]:
+        """Ids of a text in decimal, and its decoded text."""
+        if "<|" in text:
+            got = [self.of([self.bpe.special[p]]) if special else self.chunks[p] for special, p in self.bpe.pieces(text)]
+        else:
+            got = [*map(self.chunks.__getitem__, self.bpe.split(self.bpe.normalized(text)))]
+        if not got:
+            return "", ""
+        ids, texts = zip(*got)
+        return " ".join(ids), " ".join(texts)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
@@ -156,25 +195,18 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep_ids: b
     schema = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes if n != text) + extra
 
     def make():
-        cache = _Cache.at(path)
-        bpe = cache.bpe
+        codec = _Codec.at(path)
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             out: dict[str, list] = {f: batch.column(i) for i, f in enumerate(rest)}
             made: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
             for t in batch.column(batch.num_columns - 1).to_pylist():
-                t = t or ""
-                if "<|" in t:
-                    got = [cache.of([bpe.special[p]]) if special else cache[p] for special, p in bpe.pieces(t)]
-                else:
-                    got = [cache[c] for c in bpe.chunks.findall(bpe.normalized(t))]
-                counts, ids, texts = zip(*got) if got else ((), (), ())
-                joined, decoded = " ".join(ids), " ".join(texts)
-                made["n_tokens"].append(sum(counts))
-                made["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
+                ids, decoded = codec.code(t or "")
+                made["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
+                made["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                 made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    made["ids"].append([int(i) for i in joined.split()])
+                    made["ids"].append([int(i) for i in ids.split()])
                 if keep_text:
                     made["decoded"].append(decoded)
             return out | made
