@@ -46,7 +46,8 @@ def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order. Broken markup is read as far as it goes; an unclosed comment or script hides the rest."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
-    depth: dict[str, int] = {}
+    depth: dict[str, int] = {}  # open elements by tag
+    marked: dict[str, int] = {}  # and by word of their class, id or role
     hidden = links = linked = 0
     parts: list[str] = []
 
@@ -55,18 +56,30 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(dict.fromkeys(t for t, _ in stack)), tuple(dict.fromkeys(m for _, ms in stack for m in ms)), min(linked, len(text))))
+                out.append(Block(text, tuple(k for k, v in depth.items() if v), tuple(k for k, v in marked.items() if v), min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def pop_to(size: int) -> None:
         nonlocal hidden, links
         while len(stack) > size:
-            name, _ = stack.pop()
+            name, words = stack.pop()
             depth[name] -= 1
+            for w in words:
+                marked[w] -= 1
             hidden -= name in UNSEEN
             links -= name == "a"
 
+    def push(name: str, attrs: str) -> None:
+        nonlocal hidden, links
+        words = _marks(attrs)
+        stack.append((name, words))
+        depth[name] = depth.get(name, 0) + 1
+        for w in words:
+            marked[w] = marked.get(w, 0) + 1
+        hidden += name in UNSEEN
+        links += name == "a"
+
     def last_of(names: set[str], barriers: set[str]) -> int:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
@@ -121,19 +134,16 @@ def blocks(page: str) -> list[Block]:
             close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
             if name == "textarea" and not hidden:
                 inner = page[at : close.start() if close else n]
-                stack.append((name, _marks(m["attrs"])))
+                push(name, m["attrs"])
                 parts.append(inner)
                 end_block()
-                stack.pop()
+                pop_to(len(stack) - 1)
             at = page.find(">", close.end() - 1) + 1 if close else n
             if close and at == 0:
                 break
             continue
         if m["attrs"].rstrip().endswith("/") and name not in CLOSES_P and block and name not in IMPLIED:
             continue
-        stack.append((name, _marks(m["attrs"])))
-        depth[name] = depth.get(name, 0) + 1
-        hidden += name in UNSEEN
-        links += name == "a"
+        push(name, m["attrs"])
     end_block()
     return out
