@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 CHECKS: dict[str, str] = {}
-MODULES = ("language_id", "bpe", "warc", "html_content", "toxicity")
+MODULES = ("language_id", "bpe", "warc", "html_content", "toxicity", "simhash")
 
 
 def query(name: str, check: str | None = None) -> Callable[[QueryFn], QueryFn]:
