@@ -74,13 +74,30 @@ def _small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def matches(docs: DataFrame, items: DataFrame, folder: str, similarity: float = SIMILARITY, radius: int = RADIUS,
+def matches(docs: DataFrame, items: DataFrame, folder: str, **settings) -> DataFrame:
+    """(doc_id, item_id, similarity, start): the best window of each document for each item, where it reaches the similarity.
+
+    ``start`` is the window's first word, the earliest among the best. Rows that share a doc_id,
+    or have none, count as one document with several texts.
+    """
+    found = text_matches(docs, items, folder, **settings)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
+    return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, folder: str, **settings) -> DataFrame:
+    """The rows whose text matches no item, with all columns."""
+    found = saved(text_matches(docs, items, folder, **settings).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), folder, "found")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_key"]), "left_anti")
+
+
+def text_matches(docs: DataFrame, items: DataFrame, folder: str, similarity: float = SIMILARITY, radius: int = RADIUS,
             broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id, similarity, start): the best window of each document for each item, where it reaches ``similarity``.
+    """(doc_id, text_key, item_id, similarity, start): the best window of each text for each item, where it reaches ``similarity``.
 
-    ``start`` is the window's first word, the earliest among the best. Items and documents without
-    a word match nothing. Rows repeated with the same doc_id count as one document with several
-    texts. A null doc_id is a document of its own kind. Other columns are not read.
+    ``text_key`` is Spark's xxhash64 of the text. Items and documents without a word match nothing.
+    Other columns are not read. The benchmark's shingles are broadcast if they are at most
+    ``broadcast_rows``; beyond that the joins are shuffled.
     """
     bench = items.select("item_id", words("text").alias("w")).where(F.size("w") > 0)
     bench = bench.withColumn("k", F.least(F.size("w"), F.lit(SHINGLE)))
@@ -101,7 +118,7 @@ def matches(docs: DataFrame, items: DataFrame, folder: str, similarity: float =
         hits = spots.join(_small(keys, count, broadcast_rows), "s").drop("s").withColumn("k", F.lit(k))
         found = hits if found is None else found.union(hits)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start int")
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, similarity double, start int")
     # how many of the item's shingles begin within the window that starts at this one
     hits = saved(found.distinct(), folder, "hits")
     place = "doc_id", "text_key", "item_id"
@@ -115,16 +132,16 @@ def matches(docs: DataFrame, items: DataFrame, folder: str, similarity: float =
     met = rows.join(per_text, rows["doc_id"].eqNullSafe(per_text["doc_id"]) & (rows["text_key"] == per_text["text_key"])).select(rows["doc_id"], rows["text_key"], rows["w"], "spans")
     windows = None
     for k in sizes:
-        part = met.select("doc_id", shingles("w", k).alias("all"), F.explode(F.filter("spans", lambda s: s["k"] == k)).alias("span"))
-        part = part.select("doc_id", F.col("span.k").alias("k"), F.col("span.n").alias("n"), F.col("span.start").alias("start"), F.slice("all", F.col("span.start") + 1, F.col("span.n")).alias("h"))
+        part = met.select("doc_id", "text_key", shingles("w", k).alias("all"), F.explode(F.filter("spans", lambda s: s["k"] == k)).alias("span"))
+        part = part.select("doc_id", "text_key", F.col("span.k").alias("k"), F.col("span.n").alias("n"), F.col("span.start").alias("start"), F.slice("all", F.col("span.start") + 1, F.col("span.n")).alias("h"))
         windows = part if windows is None else windows.union(part)
-    windows = saved(windows.select("doc_id", "k", "n", "start", "h", simhash("h").alias("fp")), folder, "windows")
+    windows = saved(windows.select("doc_id", "text_key", "k", "n", "start", "h", simhash("h").alias("fp")), folder, "windows")
     index = _small(bench.select("item_id", "k", "n", "item_fp", "item_set", F.explode(_blocks("item_fp", radius)).alias("b")).select("*", "b.block", "b.bits").drop("b"), count, broadcast_rows)
-    probes = windows.select("doc_id", "k", "n", "start", "h", "fp", F.explode(_blocks("fp", radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
+    probes = windows.select("doc_id", "text_key", "k", "n", "start", "h", "fp", F.explode(_blocks("fp", radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(block_masks(radius))])
     near = probes.join(index, ["k", "n", "block", "bits"]).where((F.bit_count(apart) <= radius) & (first == F.col("block")))
     shared = F.size(F.array_intersect(numbered("h"), F.col("item_set")))
-    judged = near.select("doc_id", "item_id", "start", (shared / (F.size("h") + F.size("item_set") - shared)).alias("similarity")).where(F.col("similarity") >= similarity)
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b")["col2"]).alias("start"))
+    judged = near.select("doc_id", "text_key", "item_id", "start", (shared / (F.size("h") + F.size("item_set") - shared)).alias("similarity")).where(F.col("similarity") >= similarity)
+    best = judged.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
+    return best.select("doc_id", "text_key", "item_id", "b.similarity", (-F.col("b.back")).alias("start"))

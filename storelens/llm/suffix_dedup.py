@@ -184,7 +184,7 @@ def _cut(text: bytes, marks: list[dict], length: int) -> tuple[bytes, int]:
 
 
 def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
-    """The other columns and n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also ``kept`` (binary), the bytes left.
+    """The other columns and n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also ``kept``, the bytes left as text (characters cut in two are dropped).
 
     A null text is empty. Repeated rows with one doc_id each give a row, and do not remove each other's bytes.
     """
@@ -223,7 +223,7 @@ def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "do
              .union(parts.select("doc", F.lit(2), "lo", none, "c", "a", "z")))
     per_doc = marks.groupBy("doc").agg(F.collect_list(F.struct("kind", "lo", "n", "c", "a", "z")).alias("marks"))
     joined = _packed(rows, rest).join(per_doc, "doc", "left").select(*rest, "packed", "marks")
-    schema = "".join(f"`{k}` {t}, " for k, t in docs.select(*rest).dtypes) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    schema = "".join(f"`{k}` {t}, " for k, t in docs.select(*rest).dtypes) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
 
     def make_cut():
         expand = zstandard.ZstdDecompressor().decompress
@@ -233,7 +233,7 @@ def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "do
             for packed, found in zip(*(c.to_pylist() for c in batch.columns[-2:])):
                 body = expand(packed)
                 kept, spans = _cut(body, found or [], LENGTH)
-                for k, v in (("n_bytes", len(body)), ("n_removed", len(body) - len(kept)), ("n_spans", spans), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
+                for k, v in (("n_bytes", len(body)), ("n_removed", len(body) - len(kept)), ("n_spans", spans), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept.decode("utf-8", "ignore") if keep_text else "")):
                     if k != "kept" or keep_text:
                         out[k].append(v)
             return out
