@@ -187,9 +187,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep_ids: b
     """Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` to the other columns; ``text`` itself goes.
 
     ``keep_ids`` adds ``ids`` (array<int>), ``keep_text`` adds ``decoded`` (string). A null text is an empty one:
-    no ids, an empty decoded text. Repeated rows each give a row.
+    no ids, an empty decoded text. Repeated rows each give a row. Older columns of those names are replaced.
     """
-    rest = [c for c in docs.columns if c != text]
+    made = ("n_tokens", "ids_sha256", "decoded_sha256") + ("ids",) * keep_ids + ("decoded",) * keep_text
+    rest = [c for c in docs.columns if c != text and c not in made]
     slim = docs.select(*rest, text)
     extra = ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
     schema = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes if n != text) + extra

@@ -96,12 +96,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
     """Adds ``lang_pred`` and ``score``, the posterior of the predicted language.
 
     Null texts and texts without a letter give ``und`` with score 0, as does a model without languages.
-    Ties go to the language first in alphabetical order.
+    Ties go to the language first in alphabetical order. Older columns of those names are replaced; the text goes.
     """
     names, weights, priors = model
     shared = docs.sparkSession.sparkContext.broadcast((names, weights, priors))
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
-    kept = docs.columns
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*kept, F.when(lettered, F.col(text)).alias("_text")) if text in kept else docs
     slim = rows.select(*[c for c in kept if c != text], "_text")
     schema = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes if n != "_text") + ", lang_pred string, score double"

@@ -187,8 +187,10 @@ def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "do
     """The other columns and n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also ``kept``, the bytes left as text (characters cut in two are dropped).
 
     A null text is empty. Repeated rows with one doc_id each give a row, and do not remove each other's bytes.
+    Older columns of those names, and of the working columns doc, packed, marks, are dropped.
     """
-    rest = [k for k in docs.columns if k not in (text, "doc", "_text", "packed", "marks")]
+    made = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "doc", "_text", "packed", "marks")
+    rest = [k for k in docs.columns if k != text and k not in made]
     rows = docs.select(*rest, F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("_text"))
     slim = rows.select("doc", "_text")
     repeated = saved(_anchors(slim, False).groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), folder, "anchors")
