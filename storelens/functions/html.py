@@ -64,22 +64,20 @@ class Node:
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
 
     def walk(self):
-        yield self
-        for p in self.parts:
-            if isinstance(p, Node):
-                yield from p.walk()
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack += [p for p in reversed(n.parts) if isinstance(p, Node)]
 
     def text(self, skip=frozenset(SKIPPED)) -> str:
-        out = []
-
-        def visit(n):
-            for p in n.parts:
-                if isinstance(p, str):
-                    out.append(p)
-                elif p.tag not in skip:
-                    visit(p)
-
-        visit(self)
+        out, stack = [], [*reversed(self.parts)]
+        while stack:
+            p = stack.pop()
+            if isinstance(p, str):
+                out.append(p)
+            elif p.tag not in skip:
+                stack += reversed(p.parts)
         return re.sub(r"\s+", " ", "".join(out)).strip()
 
     def up(self):

@@ -150,9 +150,9 @@ def prefix_stems(w: Column) -> Column:
     """FN-14: the word without one, two, three leading prefix letters (longest first)."""
     can = lambda x: x.rlike(f"^[{PREFIX_LETTERS}]") & (F.length(x) > 3)
     hebrew = w.rlike("^[\\u05d0-\\u05ea]+$")
-    s1 = F.when(hebrew & can(w), F.substring(w, 2, 1000))
-    s2 = F.when(can(s1), F.substring(s1, 2, 1000))
-    s3 = F.when(can(s2), F.substring(s2, 2, 1000))
+    s1 = F.when(hebrew & can(w), w.substr(F.lit(2), F.length(w)))
+    s2 = F.when(can(s1), s1.substr(F.lit(2), F.length(s1)))
+    s3 = F.when(can(s2), s2.substr(F.lit(2), F.length(s2)))
     return F.filter(F.array(s1, s2, s3), lambda x: x.isNotNull())
 
 
@@ -193,7 +193,7 @@ def swap_typo(x: Column) -> Column:
     longest = F.element_at(F.filter(ws, lambda w: F.length(w) == best), 1)
     i = F.floor(F.length(longest) / 2).cast("int")
     swapped = F.concat(F.substring(longest, F.lit(1), i - 1), F.substring(longest, i + 1, F.lit(1)),
-                       F.substring(longest, i, F.lit(1)), F.substring(longest, i + 2, F.lit(1000)))
+                       F.substring(longest, i, F.lit(1)), F.substring(longest, i + 2, F.length(longest)))
     pos = F.array_position(ws, longest).cast("int")
     out = F.array_join(F.transform(ws, lambda w, k: F.when(k == pos - 1, swapped).otherwise(w)), " ")
     return F.when((best >= 4) & (out != x), out)
@@ -211,7 +211,7 @@ def title_matches(query: Column, title: Column) -> Column:
     Both arguments are audit-normalised text (final letters folded).
     """
     def forms(w):
-        bare = F.when((F.length(w) > 3) & w.rlike("^[הובל]"), F.substring(w, 2, 1000)).otherwise(w)
+        bare = F.when((F.length(w) > 3) & w.rlike("^[הובל]"), w.substr(F.lit(2), F.length(w))).otherwise(w)
         cut = F.when(F.length(bare) > 4, F.regexp_replace(bare, "(ימ|ות|ה)$", "")).otherwise(bare)
         return F.array(w, bare, cut)
 

@@ -33,11 +33,12 @@ def unique_purchases(purchases: DataFrame) -> DataFrame:
 
 
 def as_of(events: DataFrame, searches: DataFrame, keys: list[str], tolerance: Column, values: list[str],
-          bucket_us: int = BUCKET_US, max_tolerance_us: int = 1440 * MINUTE_US) -> DataFrame:
+          bucket_us: int = BUCKET_US, max_tolerance_us: int | None = None) -> DataFrame:
     """Each event with ``hit`` = struct(t, values) of the latest search at or before it.
 
     Equal keys, ``tolerance`` (microseconds, inclusive, may differ per row) on the
-    distance. Among searches at the same instant the smallest event id wins. Events
+    distance; ``max_tolerance_us``, if given, is a bound of it that lets older searches
+    go early. Among searches at the same instant the smallest event id wins. Events
     with a null key keep a null hit and never enter a shuffle on the key.
     """
     has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
@@ -58,10 +59,10 @@ def as_of(events: DataFrame, searches: DataFrame, keys: list[str], tolerance: Co
     wanted = left.select(*keys, bucket).distinct().withColumn("_want", F.lit(True))
     steps = last.withColumn("_want", F.lit(False)).unionByName(wanted, allowMissingColumns=True)
     steps = steps.groupBy(*keys, "_b").agg(F.max("_last").alias("_last"), F.max("_want").alias("_want"))
+    recent = F.lit(True) if max_tolerance_us is None else F.col("_prev._us") >= F.col("_b") * bucket_us - max_tolerance_us
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = (steps.withColumn("_prev", F.last("_last", ignorenulls=True).over(before))
-             .filter(F.col("_want") & F.col("_prev").isNotNull()
-                     & (F.col("_prev._us") >= F.col("_b") * bucket_us - max_tolerance_us))
+             .filter(F.col("_want") & F.col("_prev").isNotNull() & recent)
              .select(*keys, "_b", F.col("_prev._us").alias("_us"), side(0), F.col("_prev._tie").alias("_tie"),
                      F.col("_prev._v").alias("_v")))
 
@@ -84,13 +85,13 @@ def stage_tolerance(windows: dict[str, int] = WINDOWS, kind: str = "kind") -> Co
 
 def preceding_search(events: DataFrame, searches: DataFrame, windows: dict[str, int] = WINDOWS) -> DataFrame:
     """JOI-01: adds ``hit_q`` and ``hit_t`` of the latest search of the session within the stage window."""
-    out = as_of(events, searches, ["s"], stage_tolerance(windows), ["q"])
+    out = as_of(events, searches, ["s"], stage_tolerance(windows), ["q"], max_tolerance_us=max(windows.values()))
     return out.select(*events.columns, F.col("hit.q").alias("hit_q"), F.col("hit.t").alias("hit_t"))
 
 
 def searched_before(events: DataFrame, searches: DataFrame, windows: dict[str, int] = WINDOWS) -> DataFrame:
     """JOI-02: adds ``searched``: the session searched the event's query ``q`` within the stage window."""
-    out = as_of(events, searches, ["s", "q"], stage_tolerance(windows), [])
+    out = as_of(events, searches, ["s", "q"], stage_tolerance(windows), [], max_tolerance_us=max(windows.values()))
     return out.select(*events.columns, F.col("hit").isNotNull().alias("searched"))
 
 

@@ -126,14 +126,14 @@ def to_checkout_starts(df: DataFrame, id_col: str = "event_id") -> DataFrame:
     return out.filter(F.col("t").isNotNull())
 
 
-def in_window(df: DataFrame, start: str, end: str, t: str = "t", now: str | None = None) -> DataFrame:
-    """FLT-01: rows of the half-open window; 1 to 90 days, not ending in the future of ``now``."""
+def in_window(df: DataFrame, start: str, end: str, t: str = "t", now: str | None = None, max_days: int | None = None) -> DataFrame:
+    """FLT-01: rows of the half-open window, not ending in the future of ``now``; over ``max_days``, if given, it is refused."""
     import datetime as dt
 
     parse = lambda v: dt.datetime.fromisoformat(v).replace(tzinfo=dt.timezone.utc)
     a, b = parse(start), parse(end)
-    if not a < b or b - a > dt.timedelta(days=90):
-        raise ValueError("window must be positive and at most 90 days")
+    if not a < b or max_days is not None and b - a > dt.timedelta(days=max_days):
+        raise ValueError("window must be positive and within the allowed number of days")
     if now is not None and b > parse(now) + dt.timedelta(minutes=1):
         raise ValueError("window ends in the future")
     lo, hi = [F.timestamp_seconds(F.lit(int(v.timestamp()))) for v in (a, b)]

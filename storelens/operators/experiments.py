@@ -21,11 +21,12 @@ def first_exposure(exposures: DataFrame) -> DataFrame:
 
 
 def experiment_metrics(exposures: DataFrame, ev: Events, arms: list[str], queries: list[str], start: Column, now: Column,
-                       primary: str = "cart", complete: bool = True, windows: dict[str, int] = WINDOWS) -> DataFrame:
+                       primary: str = "cart", complete: bool = True, windows: dict[str, int] = WINDOWS, feature: str | None = None) -> DataFrame:
     """AGG-30: per arm exposures, mature sessions, conversions, rate and Wilson interval.
 
     Only sessions whose attribution day is over enter the rate; a conversion must
-    follow the session's own first exposure and belong to a targeted query.
+    follow the session's own first exposure and belong to a targeted query. ``feature`` is the
+    mark by which a client confirms the presentation; without one any mark does.
     """
     asked = [q.lower() for q in queries]
     valid = exposures.filter(F.col("s").isNotNull() & F.col("arm").isin(*arms) & query_key(F.col("q")).isin(*asked)
@@ -40,7 +41,7 @@ def experiment_metrics(exposures: DataFrame, ev: Events, arms: list[str], querie
         "s").distinct().withColumn("hit", F.lit(True))
     j = first.join(converted, "s", "left").groupBy("arm").agg(
         F.count("*").alias("exposures"), F.count_if(mature).alias("sessions"), F.count_if(mature & F.col("hit")).alias("k"),
-        F.count_if(F.array_contains("features", "weekly-serp-v1")).alias("presentation_confirmed"))
+        F.count_if(F.array_contains("features", feature) if feature else F.size("features") > 0).alias("presentation_confirmed"))
     every = exposures.sparkSession.createDataFrame([(a,) for a in arms], "arm string").join(j, "arm", "left").na.fill(0)
     out = every.withColumn("pending", F.col("exposures") - F.col("sessions"))
     known = F.lit(complete)

@@ -50,10 +50,11 @@ def rewrite_queries(df: DataFrame, fn: Callable[[str], str], col: str = "query")
     return df.withColumn("rewritten", F.coalesce(run(c(col)), c(col)))
 
 
-def rerank(df: DataFrame, fn: Callable[[str, pd.DataFrame], list], n: int = 1000) -> DataFrame:
+def rerank(df: DataFrame, fn: Callable[[str, pd.DataFrame], list], n: int | None = None) -> DataFrame:
     """UDF-03: final order per query from ``fn(query, rows)``; ids left out are dropped, unknown ones ignored.
 
-    The function sees the first ``n`` results of a query in order; later ones follow unchanged.
+    The function sees all results of a query in order, so one query's results must fit a task;
+    with ``n`` it sees the first ``n`` only and later ones follow unchanged.
     """
     def run(key, pdf):
         pdf = pdf.sort_values("rank")
@@ -62,8 +63,10 @@ def rerank(df: DataFrame, fn: Callable[[str, pd.DataFrame], list], n: int = 1000
         return pd.DataFrame({"query_id": key[0], "product_id": order, "rank": range(1, len(order) + 1)})
 
     ids = {x: df.schema[x].dataType.simpleString() for x in ("query_id", "product_id")}
-    head = df.filter(c("rank") <= n).groupBy("query_id").applyInPandas(
+    head = (df if n is None else df.filter(c("rank") <= n)).groupBy("query_id").applyInPandas(
         run, f"query_id {ids['query_id']}, product_id {ids['product_id']}, rank int")
+    if n is None:
+        return head
     return head.unionByName(df.filter(c("rank") > n).select("query_id", "product_id", c("rank").cast("int").alias("rank")))
 
 

@@ -64,12 +64,14 @@ def _sold(n: dict) -> bool:
 
 def _nodes(v):
     """Every object of a JSON-LD document, outer ones first."""
-    if isinstance(v, dict):
-        yield v
-        v = list(v.values())
-    if isinstance(v, list):
-        for x in v:
-            yield from _nodes(x)
+    stack = [v]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, dict):
+            yield v
+            v = list(v.values())
+        if isinstance(v, list):
+            stack += reversed(v)
 
 
 def _facts(url: str, html: str) -> dict:
@@ -79,7 +81,7 @@ def _facts(url: str, html: str) -> dict:
     for s in H.select(root, "script[type=application/ld+json]"):
         try:
             doc = json.loads("".join(p for p in s.parts if isinstance(p, str)))
-        except ValueError:
+        except (ValueError, RecursionError):  # broken, or nested deeper than the reader goes
             continue
         top = doc if isinstance(doc, list) else doc.get("@graph") or [doc] if isinstance(doc, dict) else []
         blocks += [json.dumps(b, ensure_ascii=False) for b in top if isinstance(b, dict)]

@@ -35,7 +35,7 @@ def first_exposure(spark, sf):
 def metrics(spark, sf):
     ev = D.events(spark, sf)
     return X.experiment_metrics(exposures(spark, sf), ev, ["control", "v1"], ASKED, ts("2024-01-03"), ts("2024-01-28"),
-                                "purchase", True, A.WINDOWS_24H)
+                                "purchase", True, A.WINDOWS_24H, feature="weekly-serp-v1")
 
 
 CTES["hit24"] = ("""select o.s, o.t, coalesce(nullif(o.q, ''), (select arg_max(x.q, (x.t, -x.event_id)) from search x where x.s = o.s and x.t <= o.t and x.t >= o.t - interval 24 hour)) as aq from orders_ o where o.s is not null""", ("orders_", "search"))

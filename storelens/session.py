@@ -32,11 +32,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set, as in local tests, a temporary one."""
+    """The session's ``spark.checkpoint.dir``; only a local session (tests) may go without and gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
