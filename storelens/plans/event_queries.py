@@ -138,6 +138,14 @@ def searched_before(spark, sf):
     return A.searched_before(rows, ev.searches, A.WINDOWS_24H).select("kind", "event_id", "searched")
 
 
+@query("joi_02_searched_before_48h", sql("""select e.kind, e.event_id, exists (select 1 from search x where x.s = e.s and x.q = e.q
+    and x.t <= e.t and x.t >= e.t - interval 48 hour) as searched from stage e where e.q <> ''""", "stage", "search"))
+def searched_before_48h(spark, sf):
+    ev = D.events(spark, sf)
+    rows = ev.stages.select("event_id", "kind", "q", "s", "t").filter("q <> ''")
+    return A.searched_before(rows, ev.searches, {k: 2880 * A.MINUTE_US for k in A.WINDOWS}).select("kind", "event_id", "searched")
+
+
 @query("joi_03_attribute", sql("select kind, event_id, aq, how, searched from attr", "attr"))
 def attribute(spark, sf):
     ev = D.events(spark, sf)

@@ -250,9 +250,9 @@ def unreadable_store(spark, sf):
     return G.unreadable_store(checks(spark, sf))
 
 
-@query("srt_07_rank_leads", "select 'h' || c_custkey as host, cast(floor(c_acctbal) as bigint) % 100 as score, cast(floor(c_acctbal) as bigint) % 100 < 70 and c_custkey % 5 > 0 as lead from customer where c_acctbal >= 0")
+@query("srt_07_rank_leads", "select 'h' || c_custkey as host, cast(floor(c_acctbal) as bigint) % 100 as score, cast(floor(c_acctbal) as bigint) % 100 < 70 and c_custkey % 5 > 0 as lead from customer")
 def rank_leads(spark, sf):
-    a = D.table(spark, sf, "customer").filter("c_acctbal >= 0").select(F.concat(F.lit("h"), "c_custkey").alias("host"), (F.floor("c_acctbal") % 100).alias("score"), F.when(c("c_custkey") % 5 == 0, "low").otherwise("high").alias("confidence"))
+    a = D.table(spark, sf, "customer").select(F.concat(F.lit("h"), "c_custkey").alias("host"), (F.floor("c_acctbal") % 100).alias("score"), F.when(c("c_custkey") % 5 == 0, "low").otherwise("high").alias("confidence"))
     return G.rank_leads(a).drop("confidence")
 
 
