@@ -61,7 +61,7 @@ def block_masks(radius: int = RADIUS) -> list[int]:
 
 def numbered(hashes: str) -> Column:
     """The multiset as a set: each hash with the number of its occurrence."""
-    s = F.array_sort(F.col(hashes))
+    s = F.sort_array(F.col(hashes))
     return F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x)))
 
 
@@ -122,7 +122,7 @@ def text_matches(docs: DataFrame, items: DataFrame, folder: str, similarity: flo
     # how many of the item's shingles begin within the window that starts at this one
     hits = saved(found.distinct(), folder, "hits")
     place = "doc_id", "text_key", "item_id"
-    ahead = hits.groupBy(*place, "n", "k", "length", "need").agg(F.array_sort(F.collect_list("pos")).alias("all")).where(F.size("all") >= F.least("need", F.col("length") - F.col("k") + 1) * F.lit(0.5))
+    ahead = hits.groupBy(*place, "n", "k", "length", "need").agg(F.sort_array(F.collect_list("pos")).alias("all")).where(F.size("all") >= F.least("need", F.col("length") - F.col("k") + 1) * F.lit(0.5))
     # windows at the hits, those too near the end moved back onto the text
     room = F.greatest(F.lit(0), F.col("length") - F.col("k") + 1 - F.col("n"))
     starts = F.array_distinct(F.transform("all", lambda p: F.least(p, room)))
@@ -135,13 +135,13 @@ def text_matches(docs: DataFrame, items: DataFrame, folder: str, similarity: flo
         part = met.select("doc_id", "text_key", shingles("w", k).alias("all"), F.explode(F.filter("spans", lambda s: s["k"] == k)).alias("span"))
         part = part.select("doc_id", "text_key", F.col("span.k").alias("k"), F.col("span.n").alias("n"), F.col("span.start").alias("start"), F.slice("all", F.col("span.start") + 1, F.col("span.n")).alias("h"))
         windows = part if windows is None else windows.union(part)
-    windows = saved(windows.select("doc_id", "text_key", "k", "n", "start", "h", simhash("h").alias("fp")), folder, "windows")
+    windows = saved(windows.select("doc_id", "text_key", "k", "n", "start", numbered("h").alias("set"), simhash("h").alias("fp")), folder, "windows")
     index = _small(bench.select("item_id", "k", "n", "item_fp", "item_set", F.explode(_blocks("item_fp", radius)).alias("b")).select("*", "b.block", "b.bits").drop("b"), count, broadcast_rows)
-    probes = windows.select("doc_id", "text_key", "k", "n", "start", "h", "fp", F.explode(_blocks("fp", radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
+    probes = windows.select("doc_id", "text_key", "k", "n", "start", "set", "fp", F.explode(_blocks("fp", radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(block_masks(radius))])
     near = probes.join(index, ["k", "n", "block", "bits"]).where((F.bit_count(apart) <= radius) & (first == F.col("block")))
-    shared = F.size(F.array_intersect(numbered("h"), F.col("item_set")))
-    judged = near.select("doc_id", "text_key", "item_id", "start", (shared / (F.size("h") + F.size("item_set") - shared)).alias("similarity")).where(F.col("similarity") >= similarity)
+    judged = near.select("doc_id", "text_key", "item_id", "start", (F.size("set") + F.size("item_set")).alias("both"), F.size(F.array_intersect("set", "item_set")).alias("shared"))
+    judged = judged.withColumn("similarity", F.col("shared") / (F.col("both") - F.col("shared"))).where(F.col("similarity") >= similarity)
     best = judged.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
     return best.select("doc_id", "text_key", "item_id", "b.similarity", (-F.col("b.back")).alias("start"))
