@@ -51,7 +51,7 @@ CHROME_CLASS = re.compile(r"related|recommend|upsell|cross-sell|recently|mini-?c
 CHECK_WEIGHTS = {"head": 25, "product": 10, "brand": 10, "typo": 15, "layout": 10, "prefix": 5, "translit": 8, "synonym": 9, "natural": 8}
 
 PARSED = """page_id {id}, url string, title string, text string, body string, h1 array<string>, inputs string,
-    links array<struct<href:string,text:string,chrome:boolean,nav:boolean>>, metas array<struct<name:string,content:string>>, itemtypes array<string>,
+    links array<struct<href:string,text:string,title:string,chrome:boolean,nav:boolean>>, metas array<struct<name:string,content:string>>, itemtypes array<string>,
     specs array<struct<key:string,value:string>>, products array<string>, blocks array<string>"""
 
 
@@ -91,7 +91,7 @@ def _facts(url: str, html: str) -> dict:
         ups = list(a.up())
         chrome = any(n.tag in CHROME or CHROME_CLASS.search(n.attrs.get("class") or "") for n in ups)
         nav = any(n.tag in ("nav", "header") or "menu" in (n.attrs.get("class") or "") or n.attrs.get("role") == "navigation" for n in ups)
-        links.append({"href": a.attrs["href"], "text": a.attrs.get("title") or a.text(), "chrome": chrome, "nav": nav})
+        links.append({"href": a.attrs["href"], "text": a.text(), "title": a.attrs.get("title") or "", "chrome": chrome, "nav": nav})
     specs = []
     for tr in H.select(root, "tr"):
         cells = [x.text() for x in tr.parts if isinstance(x, H.Node) and x.tag in ("th", "td")]
@@ -266,12 +266,12 @@ def parse_result_page(parsed: DataFrame, query: str = "query") -> DataFrame:
     """
     site = bare_host(host(c("url")))
     outside = F.filter("links", lambda l: ~l["chrome"])
-    keyed = F.transform(outside, lambda l: F.struct(absolute(F.trim(l["href"]), c("url")).alias("u"), l["text"].alias("t")))
+    keyed = F.transform(outside, lambda l: F.struct(absolute(F.trim(l["href"]), c("url")).alias("u"), F.coalesce(F.nullif(l["title"], F.lit("")), l["text"]).alias("t")))
     own = F.filter(keyed, lambda x: x["u"].rlike(PRODUCT_PATH) & (bare_host(host(x["u"])) == site))
     key = lambda u: F.regexp_replace(F.regexp_replace(u, "[?#].*$", ""), "/+$", "")
     keys = F.array_distinct(F.transform(own, lambda x: key(x["u"])))
     titles = F.transform(keys, lambda k: F.coalesce(F.try_element_at(F.filter(F.transform(F.filter(own, lambda x: key(x["u"]) == k), lambda x: F.trim(x["t"])),
-                                                                     lambda t: t != ""), F.lit(1)), F.element_at(F.split(k, "/"), -1)))
+                                                                     lambda t: t != ""), F.lit(1)), F.coalesce(F.try_url_decode(F.element_at(F.split(k, "/"), -1)), F.element_at(F.split(k, "/"), -1))))
     seen = parsed.withColumn("_echo", F.contains(audit_normalize(F.concat_ws(" ", "title", "inputs", "body")), audit_normalize(c(query)))).withColumn(
         "_none", c("body").rlike(NO_RESULTS)).withColumn("_titles", titles)
     ok = c("_echo") & ((F.size("_titles") > 0) | c("_none"))
@@ -308,29 +308,28 @@ def badges(pages: DataFrame, products: DataFrame) -> DataFrame:
     def gone(n):
         return any("hidden" in x.attrs or x.attrs.get("aria-hidden") == "true" or hidden.search(x.attrs.get("style", "")) for x in n.up())
 
-    def one(page_id, html):
+    def one(html):
         root = H.parse(html)
         cards = H.select(root, CARDS)
         marks = {id(x) for x in cards}
         nearest = lambda n: next((x for x in n.up() if id(x) in marks), None)
-        for card in cards:
+        for number, card in enumerate(cards):
             inside = [n for n in card.walk() if nearest(n) is card]
             hrefs = [n.attrs["href"] for n in inside if n.tag == "a" and n.attrs.get("href")]
             for n in inside:
                 text = n.text() if any(H.matches(n, s) for s in BADGES.split(",")) and not gone(n) else ""
                 if 0 < len(text) <= 100:
                     kind = "sale" if "onsale" in n.classes else "stock" if "sold-out-label" in n.classes else "merchant"
-                    yield page_id, list(dict.fromkeys(hrefs)), text, kind
+                    yield number, list(dict.fromkeys(hrefs)), text, kind
 
     def run(batches):
         for pdf in batches:
-            rows = [r for p, h in zip(pdf["page_id"], pdf["html"]) for r in one(p, h or "")]
-            yield pd.DataFrame(rows, columns=["page_id", "hrefs", "text", "kind"])
+            rows = [(p, u, *r) for p, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]) for r in one(h or "")]
+            yield pd.DataFrame(rows, columns=["page_id", "url", "_card", "hrefs", "text", "kind"])
 
     from storelens.functions.urls import product_url_key
     t = pages.schema["page_id"].dataType.simpleString()
-    seen = pages.select("page_id", "html").mapInPandas(run, f"page_id {t}, hrefs array<string>, text string, kind string")
-    seen = seen.withColumn("_card", F.monotonically_increasing_id()).join(pages.select("page_id", "url"), "page_id")
+    seen = pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {t}, url string, _card int, hrefs array<string>, text string, kind string")
     links = seen.select("page_id", "_card", "text", "kind", F.explode("hrefs").alias("h"), "url").withColumn("_k", product_url_key(absolute(c("h"), c("url"))))
     known = products.select(product_url_key(c("url")).alias("_k"), c("id").alias("product_id"))
     hit = links.join(known, "_k").groupBy("page_id", "_card", "text", "kind").agg(F.min("product_id").alias("product_id"), F.max("product_id").alias("_last"))

@@ -108,7 +108,7 @@ CTES["exact"] = (f"""select p.query_id, s.id as product_id from plan p join sp s
       and list_has_all(s.tags, p.tags) and (p.max_price is null or s.price <= p.max_price) and list_has_all(s.words, p.terms)""", ("plan", "sp"))
 
 
-@query("sch_04_match_exact", sql("select query_id, product_id from exact where query_id not in (select query_id from plan where norm like 'sku %') or true", "exact", "plan"))
+@query("sch_04_match_exact", sql("select query_id, product_id from exact", "exact"))
 def match_exact(spark, sf):
     cards, _, ids = indexed(spark, sf)
     return S.match_exact(plans(spark, sf), cards, ids)
