@@ -57,12 +57,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         yield t, np.append(borders(t), t.num_rows)
 
 
-def pairs_in(starts: np.ndarray, part: np.ndarray, cross: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j within each group (rows starts[k] up to starts[k + 1]), about ``most`` at a time; in cross tiles those of different parts only."""
+def pairs_in(starts: np.ndarray, part: np.ndarray, cross: np.ndarray, most: int = 1 << 16, up_to: int = 1 << 62) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j within each group (rows starts[k] up to starts[k + 1]), about ``most`` at a time; in cross tiles those of different parts only.
+
+    Groups of over ``up_to`` rows are left to the caller.
+    """
     sizes = np.diff(starts)
     group = np.repeat(np.arange(len(sizes)), sizes)
     last = starts[1:][group]
-    i = np.arange(len(group))
+    i = np.flatnonzero(sizes[group] <= up_to)
+    sizes = sizes[sizes <= up_to]
     wait_a: list[np.ndarray] = []
     wait_b: list[np.ndarray] = []
     waiting = 0

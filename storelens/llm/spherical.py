@@ -28,6 +28,7 @@ THRESHOLD = 0.98
 ROTATIONS, BLOCKS, WORDS = 16, 2, 64
 CAP = 3.35  # cap height in standard deviations of a random unit vector's inner product
 TILE = 1024
+DENSE = 48  # groups of more rows are compared as matrices
 
 
 def codes(dim: int, blocks: int = BLOCKS, words: int = WORDS, rotations: int = ROTATIONS, seed: int = 17) -> list[tuple[np.ndarray, list[np.ndarray]]]:
@@ -44,6 +45,19 @@ def codes(dim: int, blocks: int = BLOCKS, words: int = WORDS, rotations: int = R
     return out
 
 
+def filters(dim: int, cap: float = CAP) -> tuple[list[tuple[np.ndarray, list[np.ndarray]]], float]:
+    """Codes and cap height for a number of dimensions.
+
+    Below 32 dimensions a cap of that many deviations would be too small for two near vectors to
+    share (or empty), so the height stops at 0.6 and fewer directions give lists of about the same length.
+    """
+    if cap / dim**0.5 <= 0.6:
+        return codes(dim), cap / dim**0.5
+    r = np.random.default_rng(23).standard_normal((50_000, dim))
+    share = max((r[:, 0] / np.linalg.norm(r, axis=1) >= 0.6).mean(), 1e-4)
+    return codes(dim, words=min(WORDS, max(4, int(np.ceil((24 / share / 8) ** 0.5)))), rotations=8), 0.6
+
+
 def decode(x: np.ndarray, code: list[np.ndarray], height: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of every filter direction whose inner product with the unit vector of that row is at least ``height``."""
     cuts = np.cumsum([0] + [c.shape[1] for c in code])
@@ -66,6 +80,35 @@ def decode_all(x: np.ndarray, turned: list[tuple[np.ndarray, list[np.ndarray]]],
     return row[order], number[order]
 
 
+def dense_links(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links of a spanning forest of the graph whose upper triangle is ``near``."""
+    label, a, b = np.arange(len(near)), [], []
+    for i in range(len(near)):
+        j = np.flatnonzero(near[i])
+        j = j[label[j] != label[i]]
+        while len(j):
+            a.append(i)
+            b.append(int(j[0]))
+            label[label == label[j[0]]] = label[i]
+            j = j[label[j] != label[i]]
+    return a, b
+
+
+def shared_below(lists: list[list[int]], limit: int) -> np.ndarray:
+    """Whether two lists share a number below ``limit``, for all pairs of lists."""
+    size = np.array([len(x) for x in lists])
+    flat, row = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]), np.repeat(np.arange(len(lists)), size)
+    flat, row = flat[flat < limit], row[flat < limit]
+    names, column = np.unique(flat, return_inverse=True)
+    shared = np.zeros((len(lists), len(lists)), dtype=np.float32)
+    for k in range(0, len(names), 4096):
+        some = (column >= k) & (column < k + 4096)
+        m = np.zeros((len(lists), min(4096, len(names) - k)), dtype=np.float32)
+        m[row[some], column[some] - k] = 1
+        shared += m @ m.T
+    return shared > 0.5
+
+
 def _unit(raw: list[bytes], dim: int) -> np.ndarray:
     x = np.stack([np.frombuffer(b, dtype="<f4" if len(b) == 4 * dim else "<f8").astype(np.float64) for b in raw])
     x /= np.abs(x).max(axis=1, keepdims=True)
@@ -105,16 +148,16 @@ def near_duplicates(rows: DataFrame, folder: str, key: str = "vec_id", vector: s
     nodes = saved(live.groupBy("label", "raw").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("dim").alias("dim")), folder, "nodes")
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list] = {}
+        known: dict[int, tuple] = {}
         for batch in batches:
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims):
-                code = known[int(dim)] = known.get(int(dim)) or codes(int(dim))
+                code, height = known[int(dim)] = known.get(int(dim)) or filters(int(dim), cap)
                 for part in np.array_split(np.flatnonzero(dims == dim), 1 + len(dims) // 512):
                     if not len(part):
                         continue
                     some = batch.take(pa.array(part))
-                    row, number = decode_all(_unit(some.column(1).to_pylist(), int(dim)), code, cap / int(dim) ** 0.5)
+                    row, number = decode_all(_unit(some.column(1).to_pylist(), int(dim)), code, height)
                     starts = np.searchsorted(row, np.arange(len(part) + 1))
                     lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(number, pa.int64()))
                     yield pa.RecordBatch.from_arrays([some.column(0), lists], names=["id", "filters"])
@@ -140,7 +183,22 @@ def near_duplicates(rows: DataFrame, folder: str, key: str = "vec_id", vector: s
             table = np.full((len(lists), longest), -1, dtype=np.int64)
             for i, f in enumerate(lists):
                 table[i, : len(f)] = f
-            for i, j in pairs_in(starts, part, cross, 1 << 14):
+            for p, q in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if q - p <= DENSE:
+                    continue
+                some = slice(p, q)
+                near = np.triu(x[some] @ x[some].T >= threshold, 1)
+                for v in (kinds[some], dims[some], here[some]):
+                    if (v != v[0]).any():
+                        near &= v[:, None] == v[None, :]
+                if cross[p]:
+                    near &= part[some][:, None] != part[some][None, :]
+                a, b = dense_links(near)
+                forest.add(np.array(a, dtype=np.int64) + p, np.array(b, dtype=np.int64) + p)
+                if near.any():
+                    near &= ~shared_below(lists[p:q], int(here[p]))
+                    degree[some] += near @ copies[some] + near.T @ copies[some]
+            for i, j in pairs_in(starts, part, cross, 1 << 14, DENSE):
                 same = (kinds[i] == kinds[j]) & (dims[i] == dims[j]) & (here[i] == here[j])
                 i, j = i[same], j[same]
                 near = np.einsum("nd,nd->n", x[i], x[j]) >= threshold
