@@ -85,7 +85,8 @@ def test_near_copies_keep_one(spark, odd_docs, folder):
     assert simhash_dedup.keep_one(odd_docs.limit(0), folder()).count() == 0
 
 
-def brute_repeats(docs, length=100):
+def cover_of_repeats(docs, length=100):
+    """Which bytes of each document, a list of (doc_id, bytes), repeat strings of earlier places."""
     first = {}
     for i, b in docs:
         for p in range(len(b) - length + 1):
@@ -98,10 +99,21 @@ def brute_repeats(docs, length=100):
             if first[b[p : p + length]] < (i, p):
                 flags[p] += 1
                 flags[p + length] -= 1
-        cover = np.cumsum(flags[:-1]) > 0
-        kept = bytes(c for c, k in zip(b, cover) if not k)
-        out.append((i, len(b), int(cover.sum()), int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+        out.append((i, b, np.cumsum(flags[:-1]) > 0))
+    return out
+
+
+def left_of(b, cover):
+    return bytes(c for c, k in zip(b, cover) if not k)
+
+
+def what_is_left(docs):
+    return {i: (len(b), left_of(b, cover)) for i, b, cover in cover_of_repeats(docs)}
+
+
+def brute_repeats(docs):
+    return sorted((i, len(b), int(cover.sum()), int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum()), hashlib.sha256(left_of(b, cover)).hexdigest())
+                  for i, b, cover in cover_of_repeats(docs))
 
 
 @pytest.mark.parametrize("tile", [4, 4096])
