@@ -9,8 +9,9 @@ Burrows-Wheeler transform is made by itself, the transforms are merged by interl
 to depth 100, and the blocks of the merged order are the repeated strings. An anchor with many
 variants is cut into tiles of bounded size, so no anchor has to fit one task.
 
-Ordering is by (doc_id, start). A null doc_id comes after all others. Rows that share a doc_id
-are read as one document: what they have at the same start is not earlier.
+Ordering is by (doc_id, start). A null doc_id comes after all others. Repeated rows of a doc_id
+and text are one document; different texts of one doc_id are ordered by start, then by a hash of
+the text.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ GRAM = 20
 SLICE = 1 << 20
 SEPARATOR = 0xFF  # no UTF-8 text holds this byte
 TILE = 4096
-SHARD_BYTES = 1 << 18
+SHARD_BYTES = 1 << 15
 LAST = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -83,9 +84,13 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[by
     return buffer, places, h[anchor[begin]], text[begin], starts[begin], np.diff(np.append(begin, len(starts)))
 
 
-def _anchors(docs: DataFrame, full: bool) -> DataFrame:
-    """h (anchor), and in full: doc, lo (first start in the text), n (starts), c (hash of the snippet)."""
-    schema = "h long, doc long, lo int, n int, c long" if full else "h long"
+def text_key(text: bytes) -> int:
+    return int(np.uint32(xxhash.xxh32_intdigest(text)).astype(np.int32))
+
+
+def _anchors(docs: DataFrame) -> DataFrame:
+    """h (anchor), doc, tk (hash of the text), lo (first start in the text), n (starts), c (hash of the snippet) of every run."""
+    schema = "h long, doc long, tk int, lo int, n int, c long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,12 +98,11 @@ def _anchors(docs: DataFrame, full: bool) -> DataFrame:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for a, z in slices(texts, SLICE):
                 buffer, places, h, text, start, n = runs(texts[a:z])
-                cols = [pa.array(h.view(np.int64))]
-                if full:
-                    of = xxhash.xxh3_64_intdigest
-                    c = np.array([of(buffer[i : i + k]) for i, k in zip(start.tolist(), (n + LENGTH - 1).tolist())], dtype=np.uint64)
-                    cols += [pa.array(ids[a + text]), pa.array((start - places[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(c.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "doc", "lo", "n", "c"][: len(cols)])
+                of = xxhash.xxh3_64_intdigest
+                c = np.array([of(buffer[i : i + k]) for i, k in zip(start.tolist(), (n + LENGTH - 1).tolist())], dtype=np.uint64)
+                tk = np.array([text_key(t) for t in texts[a:z]], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a + text]), pa.array(tk[text]), pa.array((start - places[text]).astype(np.int32)),
+                                                  pa.array(n.astype(np.int32)), pa.array(c.view(np.int64))], names=["h", "doc", "tk", "lo", "n", "c"])
 
     return docs.mapInArrow(run, schema)
 
@@ -110,14 +114,17 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of variants' first occurrences that repeat an earlier string of another variant of the anchor, as (doc, lo, c, from, to)."""
-    for t, _ in whole_groups(batches, ["h", "_a", "_b"], 8_000):
+    """Starts of variants' first occurrences that repeat an earlier string of another variant of the anchor, as (doc, tk, lo, from, to).
+
+    Small batches keep the arrays of the refinement in the processor's cache; a large group still makes four shards at most.
+    """
+    for t, _ in whole_groups(batches, ["h", "_a", "_b"], 500):
         group = t.column("h").to_numpy()
-        doc, lo, n, c = (t.column(k).to_numpy() for k in ("doc", "lo", "n", "c"))
+        doc, tk, lo, n = (t.column(k).to_numpy() for k in ("doc", "tk", "lo", "n"))
         tile = t.column("_a").to_numpy().astype(np.int64) << 32 | t.column("_b").to_numpy()
         snippets = t.column("snippet").to_pylist()
         size = np.array([len(s) + 1 for s in snippets])
-        shard = np.cumsum(size) // SHARD_BYTES
+        shard = np.cumsum(size) // max(SHARD_BYTES, int(size.sum()) // 4 + 1)
         shards, rows, offs = [], [], []
         for k in np.unique(shard):
             at = np.flatnonzero(shard == k)
@@ -127,6 +134,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offs.append(np.arange(len(text)) - np.repeat(np.cumsum(size[at]) - size[at], size[at]))
         cls, row, off = np.concatenate(classes(shards, LENGTH)), np.concatenate(rows), np.concatenate(offs)
         live = off < n[row]
+        live &= np.bincount(cls[live], minlength=int(cls.max()) + 1)[cls] > 1
+        if not live.any():
+            continue
         cls, row, off = cls[live], row[live], off[live]
         start = lo[row] + off
         # the earliest of each string; strings of different anchors or tiles are never equal or not to be compared
@@ -135,50 +145,42 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (group[row[1:]] != group[row[:-1]]) | (tile[row[1:]] != tile[row[:-1]])])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         late = (doc[row] != doc[row[head]]) | (start != start[head])
-        found: dict[int, np.ndarray] = {}
-        for r, o in zip(row[late].tolist(), off[late].tolist()):
-            found.setdefault(r, np.zeros(int(n[r]), dtype=bool))[o] = True
-        out = [(int(doc[r]), int(lo[r]), int(c[r]), a, z) for r, flags in found.items() for a, z in _ranges(flags)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))],
-                                         names=["doc", "lo", "c", "a", "z"])
+        spot = np.unique(row[late].astype(np.int64) << 32 | off[late])
+        first = np.concatenate([[True], np.diff(spot) != 1])[: len(spot)]
+        r, a = spot[first] >> 32, spot[first] & 0xFFFFFFFF
+        z = a + np.diff(np.append(np.flatnonzero(first), len(spot)))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(tk[r]), pa.array(lo[r]), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))],
+                                         names=["doc", "tk", "lo", "a", "z"])
 
 
 def _packed(docs: DataFrame, rest: list[str]) -> DataFrame:
     """The texts compressed for the shuffles."""
-    schema = "".join(f"`{k}` {t}, " for k, t in docs.select(*rest).dtypes) + "doc long, packed binary"
+    schema = "".join(f"`{k}` {t}, " for k, t in docs.select(*rest).dtypes) + "doc long, tk int, packed binary"
 
     def make():
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            return {f: batch.column(i) for i, f in enumerate(batch.schema.names[:-1])} | {"packed": [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in texts]}
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            return {f: batch.column(i) for i, f in enumerate(batch.schema.names[:-1])} | {"tk": [text_key(t) for t in texts], "packed": [squeeze(t) for t in texts]}
 
         return step
 
     return over_batches(docs.select(*rest, "doc", "_text"), make, schema)
 
 
-def _cut(text: bytes, marks: list[dict], length: int) -> tuple[bytes, int]:
+def _cut(text: bytes, marks: dict[str, np.ndarray], length: int) -> tuple[bytes, int]:
     """What is left of the text, and the number of maximal removed runs. Kinds: 0 a run's occurrence, 1 the first of its variant, 2 repeats within a first."""
-    if not marks:
+    kind, lo = marks["kind"], marks["lo"]
+    whole = (kind == 0) & ~np.isin(lo, lo[kind == 1])
+    part = kind == 2
+    a = np.concatenate([lo[whole], lo[part] + marks["a"][part]])
+    z = np.concatenate([lo[whole] + marks["n"][whole], lo[part] + marks["z"][part]]) + length - 1
+    if not len(a):
         return text, 0
-    of, first, part = xxhash.xxh3_64_intdigest, set(), {}
-    whole = []
-    for m in marks:
-        if m["kind"] == 0:
-            whole.append((m["lo"], m["n"], m["c"]))
-        elif m["kind"] == 1:
-            first.add((m["lo"], m["c"]))
-        else:
-            part.setdefault((m["lo"], m["c"]), []).append((m["a"], m["z"]))
     flags = np.zeros(len(text) + 1, dtype=np.int32)
-    for lo, n, c in set(whole):
-        if np.uint64(of(text[lo : lo + n + length - 1])).astype(np.int64) != c:
-            continue  # a run of another row with the same doc_id
-        for a, z in [(0, n)] if (lo, c) not in first else part.get((lo, c), ()):
-            flags[lo + a] += 1
-            flags[min(lo + z + length - 1, len(text))] -= 1
+    np.add.at(flags, a, 1)
+    np.add.at(flags, np.minimum(z, len(text)), -1)
     covered = np.cumsum(flags[:-1]) > 0
     return np.frombuffer(text, dtype=np.uint8)[~covered].tobytes(), len(_ranges(covered))
 
@@ -193,38 +195,42 @@ def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "do
     rest = [k for k in docs.columns if k != text and k not in made]
     rows = docs.select(*rest, F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("_text"))
     slim = rows.select("doc", "_text")
-    repeated = saved(_anchors(slim, False).groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), folder, "anchors")
-    hits = saved(_anchors(slim, True).join(repeated, "h"), folder, "runs")
-    firsts = saved(hits.groupBy("h", "c").agg(F.min(F.struct("doc", "lo")).alias("f"), F.max("n").alias("n")).select("h", "c", "f.doc", "f.lo", "n"), folder, "variants")
+    every = saved(_anchors(slim), folder, "anchors")
+    repeated = saved(every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), folder, "repeated")
+    hits = saved(every.join(repeated, "h"), folder, "runs")
+    firsts = saved(hits.groupBy("h", "c").agg(F.min(F.struct("doc", "lo", "tk")).alias("f"), F.max("n").alias("n")).select("h", "c", "f.doc", "f.tk", "f.lo", "n"), folder, "variants")
     several = saved(firsts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), folder, "several")
-    wanted = firsts.join(several, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "c", "lo", "n")).alias("want"))
+    wanted = firsts.join(several, "h").groupBy("doc", "tk").agg(F.collect_list(F.struct("h", "c", "lo", "n")).alias("want"))
 
     def make_snippets():
         expand = zstandard.ZstdDecompressor().decompress
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            out: dict[str, list] = {k: [] for k in ("h", "c", "doc", "lo", "n", "snippet")}
-            for doc, packed, want in zip(*(c.to_pylist() for c in batch.columns)):
+            want = batch.column(3)
+            at, each = want.offsets.to_numpy(), want.flatten()
+            first = at[0]
+            h, c, lo, n = (each.field(k) for k in range(4))
+            los, ns, snippets = lo.to_numpy().tolist(), n.to_numpy().tolist(), []
+            for k, packed in enumerate(batch.column(2).to_pylist()):
                 body = expand(packed)
-                for w in want:
-                    snippet = body[w["lo"] : w["lo"] + w["n"] + LENGTH - 1]
-                    if np.uint64(xxhash.xxh3_64_intdigest(snippet)).astype(np.int64) == w["c"]:
-                        for k, v in (("h", w["h"]), ("c", w["c"]), ("doc", doc), ("lo", w["lo"]), ("n", w["n"]), ("snippet", snippet)):
-                            out[k].append(v)
-            return out
+                snippets += [body[los[i] : los[i] + ns[i] + LENGTH - 1] for i in range(at[k] - first, at[k + 1] - first)]
+            times = np.diff(at)
+            return {"h": h, "c": c, "doc": np.repeat(batch.column(0).to_numpy(), times), "tk": np.repeat(batch.column(1).to_numpy(), times), "lo": lo, "n": n, "snippet": snippets}
 
         return step
 
     bodies = _packed(rows, [])
-    snippets = over_batches(bodies.join(wanted, "doc").select("doc", "packed", "want"), make_snippets, "h long, c long, doc long, lo int, n int, snippet binary")
+    # repeated rows of a document give the same snippets
+    joined = bodies.join(wanted, ["doc", "tk"]).select("doc", "tk", "packed", "want").dropDuplicates(["doc", "tk"])
+    snippets = over_batches(joined, make_snippets, "h long, c long, doc long, tk int, lo int, n int, snippet binary")
     met = tiled(snippets, "h", "c", TILE, folder, "snippets")
-    parts = saved(met.select("h", "_a", "_b", "doc", "lo", "n", "c", "snippet").mapInArrow(_compare, "doc long, lo int, c long, a int, z int"), folder, "repeats")
+    parts = saved(met.select("h", "_a", "_b", "doc", "tk", "lo", "n", "snippet").mapInArrow(_compare, "doc long, tk int, lo int, a int, z int"), folder, "repeats")
     none = F.lit(None).cast("int")
-    marks = (hits.select("doc", F.lit(0).alias("kind"), "lo", "n", "c", none.alias("a"), none.alias("z"))
-             .union(firsts.select("doc", F.lit(1), "lo", "n", "c", none, none))
-             .union(parts.select("doc", F.lit(2), "lo", none, "c", "a", "z")))
-    per_doc = marks.groupBy("doc").agg(F.collect_list(F.struct("kind", "lo", "n", "c", "a", "z")).alias("marks"))
-    joined = _packed(rows, rest).join(per_doc, "doc", "left").select(*rest, "packed", "marks")
+    marks = (hits.select("doc", "tk", F.lit(0).alias("kind"), "lo", "n", none.alias("a"), none.alias("z"))
+             .union(firsts.select("doc", "tk", F.lit(1), "lo", "n", none, none))
+             .union(parts.select("doc", "tk", F.lit(2), "lo", none, "a", "z")))
+    per_doc = marks.groupBy("doc", "tk").agg(F.collect_list(F.struct(*[F.coalesce(k, F.lit(0)).alias(k) for k in ("kind", "lo", "n", "a", "z")])).alias("marks"))
+    joined = _packed(rows, rest).join(per_doc, ["doc", "tk"], "left").select(*rest, "packed", F.coalesce("marks", F.array().cast(per_doc.schema["marks"].dataType)).alias("marks"))
     schema = "".join(f"`{k}` {t}, " for k, t in docs.select(*rest).dtypes) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
 
     def make_cut():
@@ -232,9 +238,12 @@ def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "do
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             out: dict[str, list] = {f: batch.column(i) for i, f in enumerate(rest)} | {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for packed, found in zip(*(c.to_pylist() for c in batch.columns[-2:])):
-                body = expand(packed)
-                kept, spans = _cut(body, found or [], LENGTH)
+            lists = batch.column(batch.num_columns - 1)
+            at, each = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            fields = {each.type.field(k).name: each.field(k).to_numpy(zero_copy_only=False) for k in range(each.type.num_fields)}
+            for i, packed in enumerate(batch.column(batch.num_columns - 2)):
+                body = expand(packed.as_py())
+                kept, spans = _cut(body, {k: v[at[i] : at[i + 1]] for k, v in fields.items()}, LENGTH)
                 for k, v in (("n_bytes", len(body)), ("n_removed", len(body) - len(kept)), ("n_spans", spans), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept.decode("utf-8", "ignore") if keep_text else "")):
                     if k != "kept" or keep_text:
                         out[k].append(v)
