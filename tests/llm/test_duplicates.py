@@ -85,6 +85,20 @@ def test_near_copies_keep_one(spark, odd_docs, folder):
     assert simhash_dedup.keep_one(odd_docs.limit(0), folder()).count() == 0
 
 
+def test_near_copies_with_a_repeated_line(spark, folder):
+    """Copies that repeat a short line often have nearly the same shingle sets."""
+    r = random.Random(5)
+    rows = []
+    for k in range(12):
+        text = " ".join(f"u{r.randrange(10**6)}" for _ in range(300))
+        line = " ".join(f"l{r.randrange(10**6)}" for _ in range(5))
+        rows += [(10 * k, text), (10 * k + 1, text + (" " + line) * 200)]
+    sets = [set(simhash_dedup.shingle_set(t.encode()).tolist()) for _, t in rows]
+    root = components(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), folder())
+    assert {r["doc_id"] for r in got.collect()} == {rows[i][0] for i in set(root)} == {10 * k for k in range(12)}
+
+
 def cover_of_repeats(docs, length=100):
     """Which bytes of each document, a list of (doc_id, bytes), repeat strings of earlier places."""
     first = {}
