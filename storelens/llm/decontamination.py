@@ -4,10 +4,11 @@ Words are runs of letters and digits in lower case; a text is the sequence of ha
 five-word shingles (a shorter item: its whole sequence). Windows of an item's size are taken
 where a document holds enough of the item's shingles to reach the similarity at all; such a
 window may be moved right until it begins with one of them and loses none, so those starts are
-all that is needed. Each window gets a SimHash over its shingles, repeats included. Radius + 1
-bit blocks make the index: two fingerprints within the radius agree on one block at least, so
-the equi-join on (size, block, bits) holds every such pair. Candidates are verified by the
-weighted Jaccard similarity of their shingle multisets.
+all that is needed. Each window gets a SimHash over its shingles, a repeat counting as a shingle of
+its own, so that the fingerprints measure what is verified. Radius + 1 bit blocks make the index:
+two fingerprints within the radius agree on one block at least, so the equi-join on (size, block,
+bits) holds every such pair. Candidates are verified by the weighted Jaccard similarity of their
+shingle multisets.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from storelens.llm.common import saved
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 16
+RADIUS = 26  # over five deviations above the mean distance at the similarity, for all but the shortest items
 BROADCAST_ROWS = 500_000
 _LANES = (1 << 42) | (1 << 21) | 1
 
@@ -105,7 +106,7 @@ def text_matches(docs: DataFrame, items: DataFrame, folder: str, similarity: flo
     for k in range(1, SHINGLE + 1):
         hashed = hashed.when(F.col("k") == k, shingles("w", k))
     bench = bench.withColumn("h", hashed)
-    bench = saved(bench.select("item_id", "k", "h", F.size("h").alias("n"), simhash("h").alias("item_fp"), numbered("h").alias("item_set")), folder, "items")
+    bench = saved(bench.select("item_id", "k", "h", F.size("h").alias("n"), numbered("h").alias("item_set")).withColumn("item_fp", simhash("item_set")), folder, "items")
     count = bench.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
     sizes = sorted(r[0] for r in bench.select("k").distinct().collect())  # five at most
     need = F.ceil(F.lit(similarity) * F.col("n") * 2 / (1 + similarity) - F.lit(1e-9)).cast("int")
@@ -135,7 +136,7 @@ def text_matches(docs: DataFrame, items: DataFrame, folder: str, similarity: flo
         part = met.select("doc_id", "text_key", shingles("w", k).alias("all"), F.explode(F.filter("spans", lambda s: s["k"] == k)).alias("span"))
         part = part.select("doc_id", "text_key", F.col("span.k").alias("k"), F.col("span.n").alias("n"), F.col("span.start").alias("start"), F.slice("all", F.col("span.start") + 1, F.col("span.n")).alias("h"))
         windows = part if windows is None else windows.union(part)
-    windows = saved(windows.select("doc_id", "text_key", "k", "n", "start", numbered("h").alias("set"), simhash("h").alias("fp")), folder, "windows")
+    windows = saved(windows.select("doc_id", "text_key", "k", "n", "start", numbered("h").alias("set")).withColumn("fp", simhash("set")), folder, "windows")
     index = _small(bench.select("item_id", "k", "n", "item_fp", "item_set", F.explode(_blocks("item_fp", radius)).alias("b")).select("*", "b.block", "b.bits").drop("b"), count, broadcast_rows)
     probes = windows.select("doc_id", "text_key", "k", "n", "start", "set", "fp", F.explode(_blocks("fp", radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))

@@ -195,6 +195,23 @@ def test_contamination_equals_brute_force(spark, folder):
     assert decontamination.matches(frames[0], frames[1].limit(0), folder()).count() == 0
 
 
+def test_contamination_at_the_similarity_with_defaults(spark, folder):
+    """Pairs barely over the similarity, and windows with a repeated word, are found with the production settings."""
+    r = random.Random(9)
+    items = [(k, [f"x{r.randrange(10**7)}" for _ in range(58 if k < 300 else 200)]) for k in range(320)]
+    docs, want = [], {}
+    for k, w in items:
+        if k < 300:
+            docs.append((k, ["edit", *w[1:29], "edit", *w[30:]]))
+            want[k, k] = 48 / 60
+        else:
+            docs.append((k, w[:180] + ["again"] * 20))
+            want[k, k] = 176 / 216
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontamination.matches(*frames, folder()).collect()}
+    assert len(got) == len(want) and got == pytest.approx(want)
+
+
 def test_vectors_equal_brute_force(spark, folder, monkeypatch):
     monkeypatch.setattr(spherical, "TILE", 16)
     monkeypatch.setattr(spherical, "DENSE", 12)
