@@ -109,12 +109,14 @@ def text_matches(docs: DataFrame, items: DataFrame, folder: str, similarity: flo
     bench = saved(bench.select("item_id", "k", "h", F.size("h").alias("n"), numbered("h").alias("item_set")).withColumn("item_fp", simhash("item_set")), folder, "items")
     count = bench.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
     sizes = sorted(r[0] for r in bench.select("k").distinct().collect())  # five at most
-    need = F.ceil(F.lit(similarity) * F.col("n") * 2 / (1 + similarity) - F.lit(1e-9)).cast("int")
+    m = F.col("length") - F.col("k") + 1
+    # shingles that a window, which a short text does not fill, must share with the item to reach the similarity
+    need = F.ceil(F.lit(similarity) * (F.col("n") + F.least("n", m)) / (1 + similarity) - F.lit(1e-9)).cast("int")
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words("text").alias("w"))
     found = None
     for k in sizes:
-        keys = bench.where(F.col("k") == k).select("item_id", "n", need.alias("need"), F.explode(F.array_distinct("h")).alias("s"))
+        keys = bench.where(F.col("k") == k).select("item_id", "n", F.explode(F.array_distinct("h")).alias("s"))
         spots = rows.select("doc_id", "text_key", F.size("w").alias("length"), F.posexplode(shingles("w", k)).alias("pos", "s"))
         hits = spots.join(_small(keys, count, broadcast_rows), "s").drop("s").withColumn("k", F.lit(k))
         found = hits if found is None else found.union(hits)
@@ -123,11 +125,11 @@ def text_matches(docs: DataFrame, items: DataFrame, folder: str, similarity: flo
     # how many of the item's shingles begin within the window that starts at this one
     hits = saved(found.distinct(), folder, "hits")
     place = "doc_id", "text_key", "item_id"
-    ahead = hits.groupBy(*place, "n", "k", "length", "need").agg(F.sort_array(F.collect_list("pos")).alias("all")).where(F.size("all") >= F.least("need", F.col("length") - F.col("k") + 1) * F.lit(0.5))
+    ahead = hits.groupBy(*place, "n", "k", "length").agg(F.sort_array(F.collect_list("pos")).alias("all")).withColumn("need", need).where(F.size("all") >= F.col("need"))
     # windows at the hits, those too near the end moved back onto the text
-    room = F.greatest(F.lit(0), F.col("length") - F.col("k") + 1 - F.col("n"))
+    room = F.greatest(F.lit(0), m - F.col("n"))
     starts = F.array_distinct(F.transform("all", lambda p: F.least(p, room)))
-    dense = F.filter(starts, lambda s: F.size(F.filter("all", lambda p: (p >= s) & (p < s + F.col("n")))) >= F.col("need") * F.lit(0.9))
+    dense = F.filter(starts, lambda s: F.size(F.filter("all", lambda p: (p >= s) & (p < s + F.col("n")))) >= F.col("need"))
     spans = ahead.select(*place[:2], "k", "n", F.explode(dense).alias("start")).distinct()
     per_text = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("k", "n", "start")).alias("spans"))
     met = rows.join(per_text, rows["doc_id"].eqNullSafe(per_text["doc_id"]) & (rows["text_key"] == per_text["text_key"])).select(rows["doc_id"], rows["text_key"], rows["w"], "spans")

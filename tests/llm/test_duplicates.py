@@ -212,6 +212,16 @@ def test_contamination_at_the_similarity_with_defaults(spark, folder):
     assert len(got) == len(want) and got == pytest.approx(want)
 
 
+def test_contamination_of_texts_shorter_than_the_item(spark, folder):
+    """Items of 9 to 21 words against texts cut by some words: n shingles, of which the first m are left, give m / n."""
+    items = [(n, [f"y{n}x{i}" for i in range(n)]) for n in range(9, 22)]
+    docs = [(100 * n + cut, w[:-cut]) for n, w in items for cut in range(1, 5)]
+    want = {(100 * n + cut, n): (n - 4 - cut) / (n - 4) for n, _ in items for cut in range(1, 5) if (n - 4 - cut) / (n - 4) >= 0.8}
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontamination.matches(*frames, folder()).collect()}
+    assert len(got) == len(want) and got == pytest.approx(want)
+
+
 def test_vectors_equal_brute_force(spark, folder, monkeypatch):
     monkeypatch.setattr(spherical, "TILE", 16)
     monkeypatch.setattr(spherical, "DENSE", 12)
