@@ -85,12 +85,12 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[by
 
 
 def text_key(text: bytes) -> int:
-    return int(np.uint32(xxhash.xxh32_intdigest(text)).astype(np.int32))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
     """h (anchor), doc, tk (hash of the text), lo (first start in the text), n (starts), c (hash of the snippet) of every run."""
-    schema = "h long, doc long, tk int, lo int, n int, c long"
+    schema = "h long, doc long, tk long, lo int, n int, c long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +100,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 buffer, places, h, text, start, n = runs(texts[a:z])
                 of = xxhash.xxh3_64_intdigest
                 c = np.array([of(buffer[i : i + k]) for i, k in zip(start.tolist(), (n + LENGTH - 1).tolist())], dtype=np.uint64)
-                tk = np.array([text_key(t) for t in texts[a:z]], dtype=np.int32)
+                tk = np.array([text_key(t) for t in texts[a:z]], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a + text]), pa.array(tk[text]), pa.array((start - places[text]).astype(np.int32)),
                                                   pa.array(n.astype(np.int32)), pa.array(c.view(np.int64))], names=["h", "doc", "tk", "lo", "n", "c"])
 
@@ -155,7 +155,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(docs: DataFrame, rest: list[str]) -> DataFrame:
     """The texts compressed for the shuffles."""
-    schema = "".join(f"`{k}` {t}, " for k, t in docs.select(*rest).dtypes) + "doc long, tk int, packed binary"
+    schema = "".join(f"`{k}` {t}, " for k, t in docs.select(*rest).dtypes) + "doc long, tk long, packed binary"
 
     def make():
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -222,9 +222,9 @@ def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "do
     bodies = _packed(rows, [])
     # repeated rows of a document give the same snippets
     joined = bodies.join(wanted, ["doc", "tk"]).select("doc", "tk", "packed", "want").dropDuplicates(["doc", "tk"])
-    snippets = over_batches(joined, make_snippets, "h long, c long, doc long, tk int, lo int, n int, snippet binary")
+    snippets = over_batches(joined, make_snippets, "h long, c long, doc long, tk long, lo int, n int, snippet binary")
     met = tiled(snippets, "h", "c", TILE, folder, "snippets")
-    parts = saved(met.select("h", "_a", "_b", "doc", "tk", "lo", "n", "snippet").mapInArrow(_compare, "doc long, tk int, lo int, a int, z int"), folder, "repeats")
+    parts = saved(met.select("h", "_a", "_b", "doc", "tk", "lo", "n", "snippet").mapInArrow(_compare, "doc long, tk long, lo int, a int, z int"), folder, "repeats")
     none = F.lit(None).cast("int")
     marks = (hits.select("doc", "tk", F.lit(0).alias("kind"), "lo", "n", none.alias("a"), none.alias("z"))
              .union(firsts.select("doc", "tk", F.lit(1), "lo", "n", none, none))

@@ -147,6 +147,19 @@ def test_repeats_equal_brute_force(spark, odd_docs, folder, monkeypatch, tile):
         assert suffix_dedup.deduplicate(odd_docs.limit(0), folder()).count() == 0
 
 
+def test_texts_without_id_and_equal_short_hashes(spark, folder):
+    """Different texts of which 32 bits of a hash agree keep their own removal marks, also without an id."""
+    import xxhash
+
+    r = random.Random(12)
+    passage, other = ("".join(r.choice("abcdefghij ") for _ in range(150)) for _ in range(2))
+    seen = {xxhash.xxh32_intdigest(t.encode()): t for t in (f"{passage}{r.getrandbits(64):016x}" for _ in range(200_000))}
+    b = next(t for t in (f"{other}{r.getrandbits(64):016x}" for _ in range(1_000_000)) if xxhash.xxh32_intdigest(t.encode()) in seen)
+    rows = [(1, passage), (None, seen[xxhash.xxh32_intdigest(b.encode())]), (None, b)]
+    got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), folder(), keep_text=True)
+    assert sorted((x["n_removed"], x["kept"]) for x in got.collect()) == [(0, b), (0, passage), (150, rows[1][1][150:])]
+
+
 def test_merged_transforms_equal_sorted_suffixes():
     r = np.random.default_rng(4)
     shards = [r.integers(97, 99, size=n).astype(np.uint8) for n in (300, 1, 77, 512)]
