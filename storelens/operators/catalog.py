@@ -277,9 +277,13 @@ def add_catalog_field(df: DataFrame, target: str, category: str | None = None, v
     return df.withColumn("specifications", merge_maps(c("specifications"), new))
 
 
-def import_field(cards: DataFrame, source: DataFrame, field: str, target: str) -> DataFrame:
-    """PRJ-27: a source row's field copied into the specifications by product id; existing targets are left alone."""
-    rows = source.select("id", F.substring(field_text(source, field), 1, 2000).alias("_v")).filter("_v <> ''")
+def import_field(cards: DataFrame, source: DataFrame, field: str, target: str, limit: int | None = 2000) -> DataFrame:
+    """PRJ-27: a source row's field copied into the specifications by product id; existing targets are left alone.
+
+    Values are cut at ``limit`` characters, the reference's rule; None keeps them whole.
+    """
+    value = field_text(source, field)
+    rows = source.select("id", (value if limit is None else F.substring(value, 1, limit)).alias("_v")).filter("_v <> ''")
     j = cards.join(rows, "id", "left")
     fresh = c("_v").isNotNull() & ~F.map_contains_key("specifications", target)
     new = F.when(fresh, F.create_map(F.lit(target), c("_v")))
@@ -293,10 +297,11 @@ def apply_distinct_mapping(df: DataFrame, source: str, target: str, mapping: Dat
     return j.withColumn("specifications", merge_maps(c("specifications"), new)).drop("_value", "_r")
 
 
-def document_text() -> Column:
-    """PRJ-29: the text a product is embedded by, at most 20 000 characters."""
+def document_text(limit: int | None = 20000) -> Column:
+    """PRJ-29: the text a product is embedded by, cut at ``limit`` characters, the reference's rule; None keeps it whole."""
     specs = F.transform(F.map_entries("specifications"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return F.left(F.array_join(F.concat(F.array("title", "description"), c("categories"), c("tags"), specs), "\n"), F.lit(20000))
+    text = F.array_join(F.concat(F.array("title", "description"), c("categories"), c("tags"), specs), "\n")
+    return text if limit is None else F.left(text, F.lit(limit))
 
 
 def public_product(df: DataFrame) -> DataFrame:

@@ -121,3 +121,14 @@ def test_page_parse(spark):
     assert {r["link"] for r in G.page_links(p).collect()} == {"https://s.com/c/x", "https://s.com/products/a", "https://s.com/c/y?page=2"}
     assert G.product_evidence(p).first()["evidence"] == "jsonld" and G.spec_tables(p).first()["value"] == "L"
     assert [r["term"] for r in G.nav_terms(p).collect()] == ["Dresses"]
+
+
+def test_text_cuts_can_be_lifted(spark):
+    from storelens.operators import catalog as C
+
+    row = spark.createDataFrame([("1", "t", "d" * 30000, ["c"], ["g"], {"k": "v"})], "id string, title string, description string, categories array<string>, tags array<string>, specifications map<string,string>")
+    sizes = row.select(F.length(C.document_text()), F.length(C.document_text(None))).first()
+    assert tuple(sizes) == (20000, 30000 + len("t\n\nc\ng\nk: v"))
+    source = spark.createDataFrame([("1", "x" * 3000)], "id string, text string")
+    got = [C.import_field(row, source, "text", "long", **k).first()["specifications"]["long"] for k in ({}, {"limit": None})]
+    assert [len(v) for v in got] == [2000, 3000]
