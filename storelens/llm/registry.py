@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 CHECKS: dict[str, str] = {}
-MODULES = ("language_id", "bpe", "warc", "html_content", "toxicity", "simhash", "spherical", "decontamination", "suffix_dedup", "lattice_lm")
+MODULES = ("language_id", "bpe", "warc", "html_content", "toxicity", "simhash", "spherical", "decontamination", "suffix_dedup", "lattice_lm",
+           "impact_index", "periodic_runs", "spelling")
 
 
 def query(name: str, check: str | None = None) -> Callable[[QueryFn], QueryFn]:
