@@ -95,20 +95,46 @@ def searched_before(events: DataFrame, searches: DataFrame, windows: dict[str, i
     return out.select(*events.columns, F.col("hit").isNotNull().alias("searched"))
 
 
-def attribute(events: DataFrame, searches: DataFrame, windows: dict[str, int] = WINDOWS) -> DataFrame:
-    """JOI-03: adds ``aq`` (query), ``how`` (explicit / inferred / null) and ``searched``.
-
-    A tagged event only needs the (session, query) test, an untagged one only the
-    session test, whose hit proves the former; every event is scanned once.
+def attributed_stages(stages: DataFrame, searches: DataFrame, windows: dict[str, int] = WINDOWS, bucket_us: int = BUCKET_US) -> DataFrame:
+    """Every stage row with ``hit_q`` and ``hit_t`` (JOI-01) and ``aq``, ``how`` and ``searched`` (JOI-03), in one pass.
+
+    Both searches a row needs, the session's latest and its latest with the row's own query, are
+    among the searches of its (session, bucket) and two carried into it: the last of the session
+    and the last of (session, query) in earlier buckets. Rows, searches and carried searches are
+    dealt once, by (session, bucket), and read by two windows of that layout. Rows without a session
+    pass by.
     """
-    tagged = F.col("q") != ""
-    explicit = searched_before(events.filter(tagged), searches, windows).select(
-        *events.columns, F.col("q").alias("aq"), F.lit("explicit").alias("how"), "searched")
-    found = preceding_search(events.filter(~tagged), searches, windows)
-    inferred = found.select(*events.columns, F.col("hit_q").alias("aq"),
-                            F.when(F.col("hit_q").isNotNull(), F.lit("inferred")).alias("how"),
-                            F.col("hit_q").isNotNull().alias("searched"))
-    return explicit.unionByName(inferred)
+    us, bucket, cols = F.unix_micros("t"), F.floor(F.unix_micros("t") / bucket_us), stages.columns
+    side = lambda n: F.lit(n).cast("int").alias("_side")
+    rows = stages.filter("s is not null").select("s", "q", us.alias("_us"), bucket.alias("_b"), side(1), F.lit(0).cast("bigint").alias("_tie"), F.struct(*cols).alias("_e"))
+    asked = searches.filter("s is not null").select("s", "q", us.alias("_us"), bucket.alias("_b"), side(0), (-F.col("event_id")).alias("_tie"))
+
+    either = lambda q: F.explode(F.array(F.lit(None).cast("string"), q)).alias("_q")
+    last = asked.select("s", "_b", F.struct("_us", "_tie", "q").alias("_last"), F.lit(False).alias("_want"), either(F.col("q")))
+    want = rows.select("s", "_b", F.lit(None).cast(last.schema["_last"].dataType).alias("_last"), F.lit(True).alias("_want"), either(F.nullif("q", F.lit("")))).distinct()
+    steps = last.unionByName(want).groupBy("s", "_q", "_b").agg(F.max("_last").alias("_last"), F.max("_want").alias("_want"))
+    before = Window.partitionBy("s", "_q").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (steps.withColumn("_prev", F.last("_last", ignorenulls=True).over(before))
+               .filter(F.col("_want") & (F.col("_prev._us") >= F.col("_b") * bucket_us - max(windows.values())))
+               .select("s", F.col("_prev.q").alias("q"), F.col("_prev._us").alias("_us"), "_b", side(0), F.col("_prev._tie").alias("_tie")))
+
+    upto = lambda *keys: Window.partitionBy("s", "_b", *keys).orderBy("_us", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.when(F.col("_side") == 0, F.struct("_us", "q"))
+    frame = rows.unionByName(asked, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    found = frame.withColumn("_any", F.last(seen, ignorenulls=True).over(upto())).withColumn("_own", F.last(seen, ignorenulls=True).over(upto("q")))
+    found = found.filter("_side = 1").select("_us", "_e.*", "_any", "_own")
+    near = lambda hit: F.coalesce(F.col("_us") - F.col(f"{hit}._us") <= stage_tolerance(windows), F.lit(False))
+    found = found.select(*cols, F.when(near("_any"), F.col("_any.q")).alias("hit_q"), F.when(near("_any"), F.timestamp_micros("_any._us")).alias("hit_t"), near("_own").alias("_own"))
+    none = stages.filter("s is null").select(*cols, F.lit(None).cast("string").alias("hit_q"), F.lit(None).cast("timestamp").alias("hit_t"), F.lit(False).alias("_own"))
+    tagged, hit = F.col("q") != "", F.col("hit_q").isNotNull()
+    return found.unionByName(none).select(
+        *cols, "hit_q", "hit_t", F.when(tagged, F.col("q")).otherwise(F.col("hit_q")).alias("aq"),
+        F.when(tagged, "explicit").when(hit, "inferred").alias("how"), F.when(tagged, F.col("_own")).otherwise(hit).alias("searched"))
+
+
+def attribute(events: DataFrame, searches: DataFrame, windows: dict[str, int] = WINDOWS) -> DataFrame:
+    """JOI-03: adds ``aq`` (query), ``how`` (explicit / inferred / null) and ``searched``."""
+    return attributed_stages(events, searches, windows).drop("hit_q", "hit_t")
 
 
 def stage_events(clicks: DataFrame, carts: DataFrame, checkouts: DataFrame, purchases: DataFrame) -> DataFrame:
@@ -116,7 +142,8 @@ def stage_events(clicks: DataFrame, carts: DataFrame, checkouts: DataFrame, purc
     base = ["event_id", "kind", "q", "s", "t"]
     products = clicks.unionByName(carts).select(*base, "pid", "name", "url")
     starts = checkouts.withColumn("kind", F.lit("checkout")).select(*base)
-    orders = purchases.withColumn("kind", F.lit("purchase")).select(*base, "order_id", "total", "currency")
+    orders = purchases.withColumn("kind", F.lit("purchase"))
+    orders = orders.select(*base, *[c for c in ("order_id", "total", "currency", "items", "copies") if c in purchases.columns])
     return products.unionByName(starts, allowMissingColumns=True).unionByName(orders, allowMissingColumns=True)
 
 

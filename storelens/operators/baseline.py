@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from storelens.functions.numbers import ratio
 from storelens.functions.text import DROPPED, query_key, squash
 from storelens.functions.urls import decoded, path_key, url_tail
-from storelens.operators.attribution import WINDOWS, attribute
+from storelens.operators.attribution import WINDOWS
 from storelens.operators.funnel import Events
 
 STATUS_ORDER = {"lost": 0, "partial": 1, "kept": 2}
@@ -88,12 +88,11 @@ def lookup_first(links: DataFrame, products: DataFrame, site: str, href: str = "
 
 def chosen_products(ev: Events, windows: dict[str, int] = WINDOWS) -> DataFrame:
     """AGG-12: clicks, carts and purchase lines per (query, product key), explicit or inferred."""
-    rows = attribute(ev.stages.filter("kind <> 'checkout'").select("event_id", "kind", "q", "s", "t", "pid", "name", "url"),
-                     ev.searches, windows).filter("aq is not null")
-    lines = ev.orders.select("event_id", F.posexplode("items").alias("line", "i")).select(
-        "event_id", "line", F.col("i.pid").alias("pid"), F.col("i.name").alias("name"), F.lit("").alias("url"))
-    bought = rows.filter("kind = 'purchase'").drop("pid", "name", "url").join(lines, "event_id")
-    picks = rows.filter("kind <> 'purchase'").withColumn("line", F.lit(0)).unionByName(bought)
+    rows = ev.attributed(windows).filter("kind <> 'checkout' and aq is not null")
+    item = F.posexplode("items").alias("line", "i")
+    bought = rows.filter("kind = 'purchase'").select("aq", "kind", "t", "event_id", item).select(
+        "aq", "kind", "t", "event_id", "line", F.col("i.pid").alias("pid"), F.col("i.name").alias("name"), F.lit("").alias("url"))
+    picks = rows.filter("kind <> 'purchase'").select("aq", "kind", "t", "event_id", F.lit(0).alias("line"), "pid", "name", "url").unionByName(bought)
     key = F.when(F.col("pid") != "", F.col("pid")).otherwise(F.col("name"))
     k = F.col("kind")
     seq = F.struct(F.when(k == "click", 0).when(k == "cart", 1).otherwise(2).alias("k"), "t", "event_id", "line")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.functions.numbers import ratio, two_proportion_z, wilson
 from storelens.functions.text import query_key
-from storelens.operators.attribution import WINDOWS, attribute
+from storelens.operators.attribution import WINDOWS
 from storelens.operators.baseline import match_catalog
 from storelens.operators.funnel import Events
 
@@ -34,8 +34,7 @@ def experiment_metrics(exposures: DataFrame, ev: Events, arms: list[str], querie
     first = first_exposure(valid).filter(~F.col("contaminated"))
     us = F.unix_micros
     mature = us(F.col("t")) + DAY_US <= us(now)
-    events = ev.stages.filter(F.col("kind") == primary).select("event_id", "kind", "q", "s", "t")
-    hits = attribute(events.filter("s is not null"), ev.searches, windows).filter(
+    hits = ev.attributed(windows).filter((F.col("kind") == primary) & F.col("s").isNotNull()).filter(
         F.col("searched") & F.col("aq").isin(*asked)).select("s", F.col("t").alias("et"))
     converted = first.join(hits, "s").filter((F.col("et") >= F.col("t")) & (us("et") <= us("t") + windows[primary])).select(
         "s").distinct().withColumn("hit", F.lit(True))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from storelens.functions.numbers import local_day, money, ratio
-from storelens.operators.attribution import (WINDOWS, attribute, preceding_search, stage_events, unique_purchases)
+from storelens.operators.attribution import WINDOWS, attributed_stages, stage_events, unique_purchases
+from storelens.session import written
 
 STAGES = ("click", "cart", "checkout", "purchase")
 
@@ -13,24 +16,69 @@ STAGES = ("click", "cart", "checkout", "purchase")
 class Events:
     """The five normalised event tables and the source status table of one store.
 
-    Nearly every report reads the searches and the stage rows several times (both
-    as-of joins read each side twice), so these two narrow tables are persisted on
-    first use; ``release`` frees them.
+    Reports do not read the raw tables. ``log`` is written once, a folder per kind, with orders
+    already unique; every table of the bundle is a scan of its kinds. ``attributed`` is the
+    stage table after both as-of joins, written once per set of windows: all reports on
+    what followed a search aggregate it and join nothing. Copies of a bundle share both.
     """
 
+    SEARCH = ("event_id", "q", "s", "t", "delivered", "zero", "names")
+    PRODUCT = ("event_id", "kind", "q", "s", "t", "pid", "name", "url")
+    STAGE = (*PRODUCT, "order_id", "total", "currency", "items", "copies")
+
     def __init__(self, searches: DataFrame, clicks: DataFrame, carts: DataFrame, checkouts: DataFrame,
                  purchases: DataFrame, sources: DataFrame | None = None):
-        self.searches, self.clicks, self.carts = searches.persist(), clicks, carts
-        self.checkouts, self.purchases, self.sources = checkouts, purchases, sources
-        self.orders = unique_purchases(purchases)
-        self.stages = stage_events(clicks, carts, checkouts, self.orders).persist()
+        self._raw, self.sources, self._kept = (searches, clicks, carts, checkouts, purchases), sources, {}
+
+    def _keep(self, name, make) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = written(make(), "kind")
+        return self._kept[name]
+
+    @property
+    def log(self) -> DataFrame:
+        searches, clicks, carts, checkouts, purchases = self._raw
+        stages = lambda: stage_events(clicks, carts, checkouts, unique_purchases(purchases))
+        asked = searches.withColumn("kind", F.lit("search")).select("kind", *self.SEARCH)
+        return self._keep("log", lambda: stages().unionByName(asked, allowMissingColumns=True))
+
+    def _of(self, kind: str, *columns: str) -> DataFrame:
+        return self.log.filter(F.col("kind") == kind).select(*columns)
+
+    @property
+    def searches(self) -> DataFrame:
+        return self._kept["searches"] if "searches" in self._kept else self._of("search", *self.SEARCH)
+
+    @property
+    def clicks(self) -> DataFrame:
+        return self._of("click", *self.PRODUCT)
+
+    @property
+    def carts(self) -> DataFrame:
+        return self._of("cart", *self.PRODUCT)
+
+    @property
+    def checkouts(self) -> DataFrame:
+        return self._of("checkout", "event_id", "q", "s", "t")
+
+    @property
+    def orders(self) -> DataFrame:
+        """Unique purchases, with the number of rows each stands for."""
+        return self._of("purchase", "event_id", "q", "s", "t", "order_id", "total", "currency", "items", "copies")
+
+    @property
+    def stages(self) -> DataFrame:
+        return self.log.filter(F.col("kind") != "search").select(*self.STAGE)
 
-    def release(self) -> None:
-        self.searches.unpersist()
-        self.stages.unpersist()
+    def attributed(self, windows: dict[str, int] = WINDOWS) -> DataFrame:
+        """The stage rows with hit_q, hit_t, aq, how and searched (``attribution.attributed_stages``)."""
+        return self._keep(tuple(sorted(windows.items())), lambda: attributed_stages(self.stages, self.searches, windows))
 
     def with_searches(self, searches: DataFrame) -> "Events":
-        return Events(searches, self.clicks, self.carts, self.checkouts, self.purchases, self.sources)
+        """The same stage rows with other searches."""
+        new = copy(self)
+        new._kept = {"log": self.log, "searches": searches}
+        return new
 
 
 def _flag(cond: Column) -> Column:
@@ -39,8 +87,7 @@ def _flag(cond: Column) -> Column:
 
 def session_stages(ev: Events, windows: dict[str, int] = WINDOWS) -> DataFrame:
     """One row per session: searched, any cart / order, and the stages reached after a search."""
-    found = preceding_search(ev.stages.select("event_id", "kind", "q", "s", "t").filter("s is not null"),
-                             ev.searches, windows)
+    found = ev.attributed(windows).filter("s is not null")
     long = found.select("s", "kind", F.col("hit_q").isNotNull().alias("hit")).unionByName(
         ev.searches.filter("s is not null").select("s", F.lit("search").alias("kind"), F.lit(True).alias("hit")))
     k, hit = F.col("kind"), F.col("hit")
@@ -57,7 +104,7 @@ def store_funnel(ev: Events, windows: dict[str, int] = WINDOWS) -> DataFrame:
         F.sum("cart_after").alias("carted"), F.sum("checkout_after").alias("checkout"),
         F.sum("purchase_after").alias("purchased"))
     n = {c: F.coalesce(F.col(c), F.lit(0)) for c in one.columns}
-    bought = ev.purchases.agg((F.count("*") > 0).alias("b")).scalar()
+    bought = ev.orders.agg((F.count("*") > 0).alias("b")).scalar()
     return one.select(*[v.alias(k) for k, v in n.items()],
                       ratio(n["clicked"], n["searched"]).alias("click_rate"),
                       ratio(n["carted"], n["searched"]).alias("cart_rate"),
@@ -67,12 +114,9 @@ def store_funnel(ev: Events, windows: dict[str, int] = WINDOWS) -> DataFrame:
 
 def assisted_orders(ev: Events, windows: dict[str, int] = WINDOWS) -> DataFrame:
     """Unique orders with ``via`` = explicit / inferred / null; a tag counts without a session."""
-    orders = ev.orders.withColumn("kind", F.lit("purchase")).select(
-        "event_id", "kind", "q", "s", "t", "order_id", "total", "currency", "copies")
-    tagged = F.col("q") != ""
-    found = preceding_search(orders.filter(~tagged), ev.searches, windows)
-    return orders.filter(tagged).withColumn("via", F.lit("explicit")).unionByName(
-        found.withColumn("via", F.when(F.col("hit_q").isNotNull(), "inferred")).drop("hit_q", "hit_t"))
+    via = F.when(F.col("q") != "", "explicit").when(F.col("hit_q").isNotNull(), "inferred")
+    return ev.attributed(windows).filter("kind = 'purchase'").select(
+        "event_id", "kind", "q", "s", "t", "order_id", "total", "currency", "copies", via.alias("via"))
 
 
 def order_assistance(ev: Events, windows: dict[str, int] = WINDOWS) -> DataFrame:
@@ -99,7 +143,7 @@ def cart_session_purchase_rate(ev: Events) -> DataFrame:
     bit = lambda df, name: df.filter("s is not null").select("s", F.lit(name).alias("k"))
     per = bit(ev.carts, "cart").unionByName(bit(ev.orders, "order")).unionByName(bit(ev.searches, "search"))
     flags = per.groupBy("s").agg(*[_flag(F.col("k") == x).alias(x) for x in ("cart", "order", "search")])
-    bought = ev.purchases.agg((F.count("*") > 0).alias("b")).scalar()
+    bought = ev.orders.agg((F.count("*") > 0).alias("b")).scalar()
     carted, searched = F.col("cart") == 1, F.col("search") == 1
     one = flags.agg(F.count_if(carted & searched).alias("with_search_sessions"),
                     F.count_if(carted & ~searched).alias("without_search_sessions"),
@@ -147,8 +191,7 @@ def query_funnel(ev: Events, windows: dict[str, int] = WINDOWS) -> DataFrame:
     row expansion and a query or a null session holding most rows is combined
     before the shuffle.
     """
-    attributed = attribute(ev.stages.select("event_id", "kind", "q", "s", "t", "total", "currency"), ev.searches,
-                           windows).filter("aq is not null").persist()
+    attributed = ev.attributed(windows).filter("aq is not null")
     searches = ev.searches.select(
         F.col("q").alias("aq"), "s", F.lit("search").alias("kind"), F.lit(None).cast("string").alias("how"),
         F.lit(False).alias("searched"), "zero",
@@ -177,7 +220,7 @@ def query_funnel(ev: Events, windows: dict[str, int] = WINDOWS) -> DataFrame:
                                                                     F.count("*").alias("orders"))
                .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("amount", "currency", "orders")), False)
                                      .alias("attributed_revenue")))
-    bought = ev.purchases.agg((F.count("*") > 0).alias("b")).scalar()
+    bought = ev.orders.agg((F.count("*") > 0).alias("b")).scalar()
     d = F.col("search_sessions")
     empty = F.array().cast("array<string>")
     return per_query.join(revenue, "query", "left").filter(

@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def raw_base(spark: SparkSession, sf: str) -> DataFrame:
     """events with the derived attributes every raw collection is made of."""
-    return raw_rows(table(spark, sf, "events"))
+    return once("raw", spark, sf, lambda: raw_rows(table(spark, sf, "events")))
 
 
 def raw_rows(ev: DataFrame) -> DataFrame:
@@ -81,6 +81,10 @@ def raw_carts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_checkouts(spark: SparkSession, sf: str) -> DataFrame:
+    return once("raw checkouts", spark, sf, lambda: _raw_checkouts(spark, sf))
+
+
+def _raw_checkouts(spark: SparkSession, sf: str) -> DataFrame:
     b = raw_base(spark, sf).filter("event_type in ('error', 'purchase')")
     e = F.col("event_id")
     kind = F.when(F.col("event_type") == "error", "checkout_initiated").when(e % 6 != 0, "checkout_completed")

@@ -148,9 +148,7 @@ def searched_before_48h(spark, sf):
 
 @query("joi_03_attribute", sql("select kind, event_id, aq, how, searched from attr", "attr"))
 def attribute(spark, sf):
-    ev = D.events(spark, sf)
-    rows = ev.stages.select("event_id", "kind", "q", "s", "t")
-    return A.attribute(rows, ev.searches).select("kind", "event_id", "aq", "how", "searched")
+    return D.events(spark, sf).attributed().select("kind", "event_id", "aq", "how", "searched")
 
 
 @query("win_01_unique_purchases", sql("select event_id, order_id, total, copies from orders_", "orders_"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,3 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written to the shared checkpoint folder, so that later plans start from them."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared folder, a folder per value of ``by``: later plans start from a scan of it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

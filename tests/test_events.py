@@ -164,3 +164,34 @@ def test_window_validation(spark):
         with pytest.raises(ValueError):
             E.in_window(df, *bad, max_days=90)
     assert E.in_window(df, "2026-01-01", "2026-09-11").count() == 1
+
+
+@pytest.mark.parametrize("bucket", [A.BUCKET_US, 60 * A.MINUTE_US])
+def test_attributed_stages_match_brute_force_with_a_hot_session(spark, bucket):
+    rng = random.Random(6)
+    who, what = lambda: rng.choice(["hot", "hot", "hot", "b", "c", None]), lambda: rng.choice(["x", "y", "z"])
+    t = lambda: T0 + dt.timedelta(minutes=rng.randrange(0, 2500))
+    searches = [(i, who(), t(), what()) for i in range(250)]
+    stages = [(i, rng.choice(["click", "cart", "checkout", "purchase"]), rng.choice(["", what()]), who(), t()) for i in range(400)]
+    s = spark.createDataFrame(searches, "event_id long, s string, t timestamp, q string")
+    e = spark.createDataFrame(stages, "event_id long, kind string, q string, s string, t timestamp")
+    got = {r["event_id"]: r for r in A.attributed_stages(e, s, bucket_us=bucket).collect()}
+    assert len(got) == 400
+    of = {i: (q, at_) for i, _, at_, q in searches}
+    for i, kind, q, sess, at_ in stages:
+        hit = brute_as_of([(i, sess, at_)], searches, A.WINDOWS[kind])[i]
+        own = brute_as_of([(i, sess, at_)], [x for x in searches if x[3] == q], A.WINDOWS[kind])[i]
+        r = got[i]
+        assert (r["hit_q"], r["hit_t"] and r["hit_t"].timestamp()) == ((None, None) if hit is None else (of[hit][0], of[hit][1].timestamp()))
+        assert r["aq"] == (q or r["hit_q"]) and r["how"] == ("explicit" if q else "inferred" if hit is not None else None)
+        assert r["searched"] == ((own if q else hit) is not None)
+
+
+def test_a_bundle_attributes_once(spark):
+    ev = bundle(spark, [{"query": "gin", "session_id": "a", "timestamp": at(0)}], [{"session_id": "a", "timestamp": at(1), "product_id": "p"}])
+    assert ev.attributed() is ev.attributed() and ev.attributed() is not ev.attributed(A.WINDOWS_24H)
+    assert [r["aq"] for r in ev.attributed().collect()] == ["gin"]
+    without = ev.with_searches(ev.searches.filter("q <> 'gin'"))
+    assert [r["aq"] for r in without.attributed().collect()] == [None] and [r["aq"] for r in ev.attributed().collect()] == ["gin"]
+    plan = U.query_funnel(ev)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 8 and "Window" not in plan
