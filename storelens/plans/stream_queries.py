@@ -57,22 +57,42 @@ def stream_daily_activity(spark, sf):
     return out.select(F.unix_micros("day").alias("day_us"), "kind", "n")
 
 
-@query("str_04_stream_attribute")
+@query("str_04_stream_attribute", sql("""select e.event_id, epoch_us(e.t) as et_us, arg_max(x.q, (x.t, -x.event_id)) as hit_q, epoch_us(max(x.t)) as hit_us
+    from tagged e left join search x on e.s = x.s and x.t <= e.t and x.t >= e.t - interval 2 hour
+    where e.event_type = 'signup' and (e.s is null or e.t < least((select max(t) from search), (select max(t) from tagged where event_type = 'signup')) - interval 1 hour)
+    group by e.event_id, e.t""", "tagged", "search"))
 def stream_attribute(spark, sf):
     searches = J.stream_normalize(raw_kind(spark, sf, "view", "search"), "search")
     carts = J.stream_normalize(raw_kind(spark, sf, "signup", "cart").drop("event_type"), "cart")
-    return run_stream(J.stream_attribute(carts, searches, "cart"))
+    out = run_stream(J.stream_attribute(carts, searches, "cart", "1 hour"))
+    return out.select("event_id", F.unix_micros("et").alias("et_us"), "hit_q", F.unix_micros("hit_t").alias("hit_us"))
 
 
-@query("str_05_stream_catalog_changes", sql("select outcome, count(*) as n from fed where outcome <> 'ignored' group by 1", "fed"))
-def stream_catalog_changes(spark, sf):
+def fed_in_pieces(spark, sf) -> J.CatalogLog:
+    """The feed in three files, one a batch: half of the products, the other half of them, and the end row."""
     cards, feed = CQ.feed_inputs(spark, sf)
     base = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
-    cards.write.parquet(f"{base}/cards/v=0")
-    feed.write.parquet(f"{base}/feed")
-    stream = spark.readStream.schema(feed.schema).parquet(f"{base}/feed")
+    log = J.CatalogLog(spark, f"{base}/cards")
+    log.create(cards)
+    rows = feed.withColumn("feed", F.lit(1).cast("bigint")).withColumn("end_rows", F.lit(None).cast("bigint"))
+    second = F.pmod(F.crc32(c("id").cast("binary")), F.lit(2)) == 1
+    end = rows.agg(F.count("*").alias("end_rows")).select(*[F.lit(None).cast(t).alias(n) for n, t in feed.dtypes], F.lit(1).cast("bigint").alias("feed"), "end_rows")
+    for part in (rows.filter(~second), rows.filter(second), end):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/feed")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
     J.stream_catalog_changes(stream, f"{base}/cards", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/cards/v=1").groupBy("outcome").agg(F.count("*").alias("n"))
+    return log
+
+
+@query("str_05_stream_catalog_changes", sql("select outcome, count(*) as n from fed where outcome <> 'ignored' group by 1", "fed"))
+def stream_catalog_changes(spark, sf):
+    return fed_in_pieces(spark, sf).outcomes().select("outcome", "n")
+
+
+@query("str_05_cards_after_feed", sql("""select id, case when infeed and n % 4 = 1 then price + 5 else price end as price,
+    case when outcome = 'removed' then true when outcome in ('restored', 'added') then false else hid end as hidden from fed where outcome <> 'ignored'""", "fed"))
+def cards_after_feed(spark, sf):
+    return fed_in_pieces(spark, sf).cards().select("id", "price", "hidden")
 
 
 def feed_docs(spark, sf, row, wrap):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, functions as F
 
 from storelens.operators import events as E
-from storelens.operators.attribution import WINDOWS
-from storelens.operators.changes import apply_feed
+from storelens.streaming.attribution import stream_attribute
+from storelens.streaming.feeds import CatalogLog, catalog_writer, stream_catalog_changes
+
+__all__ = ["CatalogLog", "catalog_writer", "stream_attribute", "stream_catalog_changes", "stream_daily_activity", "stream_normalize", "stream_unique_orders"]
 
 c = F.col
 
@@ -36,41 +36,3 @@ def stream_daily_activity(events: DataFrame, lateness: str = "1 day") -> DataFra
     """STR-03: events per UTC day and kind; rows later than the watermark are dropped."""
     return events.withWatermark("t", lateness).groupBy(F.window("t", "1 day").alias("day"), "kind").agg(F.count("*").alias("n")).select(
         c("day.start").alias("day"), "kind", "n")
-
-
-def stream_attribute(events: DataFrame, searches: DataFrame, stage: str, lateness: str = "1 hour") -> DataFrame:
-    """STR-04: each event with the latest search of its session in the stage window, or null.
-
-    An interval join keeps the searches of the last window per session as state; the
-    candidates of one event are then reduced to the latest. Among searches at the
-    same instant the smallest id wins, as in the batch job.
-    """
-    w = WINDOWS[stage] // 1_000_000
-    e = events.select("event_id", "s", c("t").alias("et")).withWatermark("et", lateness)
-    s = searches.select(c("event_id").alias("sid"), c("s").alias("ss"), c("q").alias("sq"), c("t").alias("st")).withWatermark("st", lateness)
-    near = (c("s") == c("ss")) & (c("st") <= c("et")) & (c("st") >= c("et") - F.expr(f"interval {w} seconds"))
-    pairs = e.join(s, near, "leftOuter")
-    return pairs.groupBy("event_id", "et").agg(F.max_by("sq", F.struct("st", -c("sid"))).alias("hit_q"), F.max("st").alias("hit_t"))
-
-
-def catalog_writer(folder: str) -> Callable[[DataFrame, int], None]:
-    """STR-05: a foreachBatch function that applies each feed batch to the cards in ``folder``.
-
-    Versions are ``v=<n>``: the batch of epoch n reads the newest version below n + 1
-    and writes v = n + 1, so a batch that is run again gives the same result.
-    """
-    def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        versions = spark.read.parquet(folder)
-        last = versions.filter(c("v") <= epoch).agg(F.max("v")).first()[0]
-        cards = versions.filter(c("v") == last).drop("v", "outcome")
-        out = apply_feed(cards, batch)
-        out.write.mode("overwrite").parquet(f"{folder}/v={epoch + 1}")
-
-    return apply
-
-
-def stream_catalog_changes(feed: DataFrame, folder: str, checkpoint: str):
-    """STR-05: starts the feed stream over the versioned catalog; returns the streaming query."""
-    return (feed.writeStream.foreachBatch(catalog_writer(folder)).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())

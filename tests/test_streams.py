@@ -35,3 +35,48 @@ def test_stream_unique_orders(spark, tmp_path):
     p.coalesce(1).write.parquet(str(tmp_path / "p"))
     out = run(J.stream_unique_orders(spark.readStream.schema(p.schema).parquet(str(tmp_path / "p"))), tmp_path, "o")
     assert sorted(r["order_id"] or "" for r in out.collect()) == ["", "", "o"]
+
+
+def test_hot_and_missing_sessions_over_many_batches(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    who = lambda: rng.choice(["hot", "hot", "hot", "a", "b", None])
+    s = [(i, who(), at(rng.randrange(600) / 2), f"q{i}") for i in range(300)] + [(9000, "end", at(9000), "end")]
+    e = [(i, who(), at(rng.randrange(600) / 2)) for i in range(300)] + [(9001, "end", at(9000))]
+    for name, rows, schema in (("s", s, "event_id long, s string, t timestamp, q string"), ("e", e, "event_id long, s string, t timestamp")):
+        rows = sorted(rows, key=lambda r: r[2])
+        for k in range(0, len(rows), 60):
+            spark.createDataFrame(rows[k : k + 60], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = lambda n, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n))
+    out = run(J.stream_attribute(stream("e", "event_id long, s string, t timestamp"), stream("s", "event_id long, s string, t timestamp, q string"), "click", "30 days"), tmp_path, "o")
+    assert out.filter("event_id < 9000").count() == sum(r[1] is None for r in e)  # the watermark has passed none with a session
+    out = run(J.stream_attribute(stream("e", "event_id long, s string, t timestamp"), stream("s", "event_id long, s string, t timestamp, q string"), "click", "5 hours"), tmp_path, "o2")
+    got = {r["event_id"]: (r["hit_q"], r["hit_t"]) for r in out.collect() if r["event_id"] < 9000}
+    frame = spark.createDataFrame(e, "event_id long, s string, t timestamp").withColumn("kind", F.lit("click"))
+    want = A.preceding_search(frame, spark.createDataFrame(s, "event_id long, s string, t timestamp, q string"))
+    assert got == {r["event_id"]: (r["hit_q"], r["hit_t"]) for r in want.collect() if r["event_id"] < 9000}
+
+
+FEED = "id string, title string, price double, published boolean, feed bigint, end_rows bigint"
+
+
+def test_feeds_in_pieces(spark, tmp_path):
+    cards = spark.createDataFrame([(f"c{i}", f"t{i}", 1.0, False, False) for i in range(4)], "id string, title string, price double, hidden boolean, feed_hidden boolean")
+    log = J.CatalogLog(spark, str(tmp_path / "cards"), compact=2)
+    log.create(cards)
+    row = lambda feed, i, price=1.0: (f"c{i}", f"t{i}", price, True, feed, None)
+    end = lambda feed, n: (None, None, None, None, feed, n)
+    state = lambda: {r["id"]: (r["price"], r["hidden"]) for r in log.cards().collect()}
+    same = {f"c{i}": (1.0, False) for i in range(4)}
+    batches = [([row(1, 0, 2.0), row(1, 1)], same), ([end(1, 3), row(2, 0)], same),  # neither feed is whole, nothing is hidden
+               ([row(1, 2), row(1, 2)], {"c0": (2.0, False), "c1": (1.0, False), "c2": (1.0, False), "c3": (1.0, True)}),
+               ([row(4, 3), end(4, 2)], None), ([end(2, 1)], {"c0": (1.0, False), "c1": (1.0, True), "c2": (1.0, True), "c3": (1.0, True)}),
+               ([row(4, 0)], {"c0": (1.0, False), "c1": (1.0, True), "c2": (1.0, True), "c3": (1.0, False)})]
+    for epoch, (rows, want) in enumerate(batches):
+        for _ in range(2):  # a batch that runs again changes nothing
+            log.apply(spark.createDataFrame(rows, FEED), epoch)
+            assert want is None or state() == want, epoch
+    assert {(r["feed"], r["id"], r["outcome"]) for r in log.changes().collect()} == {
+        (1, "c0", "updated"), (1, "c3", "removed"), (2, "c0", "updated"), (2, "c1", "removed"), (2, "c2", "removed"), (4, "c3", "restored")}
+    assert log._done("snapshot") == [-1, 2] and log._done("full") == [] and log._done("staged") == [5]
