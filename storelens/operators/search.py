@@ -423,50 +423,81 @@ def closest_score(products: DataFrame, queries: list[str], n: int = 100, ascii_o
     return rows.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= n)
 
 
-MAX_QUERY_VECTORS = 4096
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 1024
+
+
+def _blocks(df: DataFrame, number: str | None = None) -> DataFrame:
+    """Vectors (id, vector) as rows of (ids, unit, width): up to a block of unit vectors in one matrix, in order of id.
+
+    With ``number`` a block is the rows of one value of that column; otherwise blocks are cut where the rows
+    are, without a shuffle. A null vector is a zero one; vectors of a block must have equally many components.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(df.schema["id"].dataType)
+
+    def pack(t) -> pa.RecordBatch:
+        t = t.sort_by("id")
+        raw = t.column("vector").to_pylist()
+        width = len(next((v for v in raw if v is not None), ()))
+        x = np.array([v if v is not None else [0.0] * width for v in raw], dtype=np.float64).reshape(len(raw), width)
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        unit = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        return pa.RecordBatch.from_arrays([pa.array([t.column("id").to_pylist()], pa.list_(kind)), pa.array([unit.tobytes()]), pa.array([width], pa.int32())], names=["ids", "unit", "width"])
+
+    schema = f"ids array<{df.schema['id'].dataType.simpleString()}>, unit binary, width int"
+    if number:
+        def one(key, t):
+            block = pack(t.select(["id", "vector"]))
+            return pa.Table.from_batches([block]).append_column(number, pa.array([key[0].as_py()], pa.int64()))
+
+        return df.groupBy(number).applyInArrow(one, f"{schema}, {number} bigint")
+
+    def cut_up(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, VECTOR_BLOCK):
+                yield pack(pa.Table.from_batches([batch.slice(i, VECTOR_BLOCK)]))
+
+    return df.mapInArrow(cut_up, schema)
 
 
 def vector_rank(queries: DataFrame, vectors: DataFrame, k: int, decimals: int = 9) -> DataFrame:
     """SCH-14: the ``k`` nearest vectors per query by cosine, ties by id: (query_id, product_id, score, rank).
 
-    ``queries`` is (query_id, vector), ``vectors`` (product_id, vector); a null vector
-    scores 0. Query vectors, at most 4096 per pass, travel to the tasks as one
-    matrix; each Arrow batch keeps only its own best ``k`` per query.
+    ``queries`` is (query_id, vector), equal rows counting once, ``vectors`` (product_id, vector); a null vector
+    scores 0. Queries are dealt over blocks by a hash, vectors packed into blocks where they lie.
+    Blocks meet in a join on the query block's number: few query blocks are broadcast by their size,
+    many are shuffled. A pair of blocks is one matrix product that keeps ``k`` rows a query.
     """
     import numpy as np
-    import pandas as pd
-
-    rows = queries.select("query_id", "vector").orderBy("query_id").limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(rows) > MAX_QUERY_VECTORS:
-        edge = rows[MAX_QUERY_VECTORS]["query_id"]
-        return vector_rank(queries.filter(c("query_id") < F.lit(edge)), vectors, k, decimals).unionByName(
-            vector_rank(queries.filter(c("query_id") >= F.lit(edge)), vectors, k, decimals))
-    if not rows:
-        return queries.join(vectors, F.lit(False)).select("query_id", "product_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    ids = np.array([r["query_id"] for r in rows])
-    q = np.array([r["vector"] for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(q, axis=1, keepdims=True)
-    q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
-    width = q.shape[1]
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    q = queries.select(c("query_id").alias("id"), "vector").distinct()
+    count = q.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / QUERY_BLOCK)).cast("bigint").alias("n"))
+    asked = _blocks(q.withColumn("block", F.pmod(F.xxhash64("id", "vector"), count.scalar())), "block")
+    asked = asked.select("block", c("ids").alias("query_ids"), c("unit").alias("query_unit"), c("width").alias("query_width"))
+    packed = _blocks(vectors.select(c("product_id").alias("id"), "vector"))
+    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), count.scalar() - 1))).join(asked, "block").drop("block")
+    qt, pt = queries.schema["query_id"].dataType, vectors.schema["product_id"].dataType
+    names, kinds = ["query_id", "product_id", "score"], [to_arrow_type(qt), to_arrow_type(pt), pa.float64()]
 
     def best(batches):
-        for pdf in batches:
-            known = pdf["vector"].notna().to_numpy()
-            v = np.zeros((len(pdf), width))
-            if known.any():
-                v[known] = np.stack(pdf["vector"][known].to_numpy())
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-            s = np.round(v @ q.T, decimals)
-            names = pdf["product_id"].to_numpy()
-            order = np.lexsort((np.arange(len(names)), np.argsort(np.argsort(names, kind="stable"), kind="stable")))
-            s, names = s[order], names[order]
-            top = np.argsort(-s, axis=0, kind="stable")[:k]
-            cols = np.broadcast_to(np.arange(len(ids)), top.shape)
-            yield pd.DataFrame({"query_id": ids[cols.ravel()], "product_id": names[top.ravel()], "score": s[top.ravel(), cols.ravel()]})
-
-    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, product_id {vectors.schema['product_id'].dataType.simpleString()}, score double"
-    partial = vectors.select("product_id", "vector").mapInPandas(best, types)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, unit, width, qids, qunit, qwidth = (batch.column(i)[r].as_py() for i in range(6))
+                s = np.zeros((len(ids), len(qids)))
+                if width and qwidth:
+                    s = np.round(np.frombuffer(unit).reshape(len(ids), width) @ np.frombuffer(qunit).reshape(len(qids), qwidth).T, decimals)
+                top = np.argsort(-s, axis=0, kind="stable")[:k]
+                at = np.broadcast_to(np.arange(len(qids)), top.shape)
+                columns = ([qids[i] for i in at.ravel().tolist()], [ids[i] for i in top.ravel().tolist()], s[top.ravel(), at.ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(columns, kinds)], names=names)
+
+    partial = pairs.select("ids", "unit", "width", "query_ids", "query_unit", "query_width").mapInArrow(
+        best, f"query_id {qt.simpleString()}, product_id {pt.simpleString()}, score double")
     w = Window.partitionBy("query_id").orderBy(c("score").desc(), "product_id")
     return partial.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= k)
 

@@ -92,7 +92,7 @@ def test_vectors_in_one_and_many_passes(spark, monkeypatch):
     v = spark.createDataFrame([(i, vec()) for i in range(60)] + [(60, None)], "product_id long, vector array<double>").repartition(5)
     q = v.filter("product_id < 9").withColumnRenamed("product_id", "query_id")
     a = S.vector_rank(q, v, 4).orderBy("query_id", "rank").collect()
-    monkeypatch.setattr(S, "MAX_QUERY_VECTORS", 4)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 4)
     assert S.vector_rank(q, v, 4).orderBy("query_id", "rank").collect() == a
     assert all(r["product_id"] == r["query_id"] for r in a if r["rank"] == 1)
 
@@ -105,3 +105,30 @@ def test_text_forms(spark):
     assert one(T.article_prefixed(F.lit("שמלה"))) == "השמלה" and one(T.article_prefixed(F.lit("הבית"))) is None
     assert set(one(T.inflections(F.lit("תפוחים")))) == {"תפוח"} and one(T.inflections(F.lit("apple"))) == []
     assert one(T.query_key(F.lit("  A  b "))) == "a b"
+
+
+def test_vector_rank_in_many_blocks(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    vec = lambda: None if rng.random() < 0.05 else [float(rng.randrange(-2, 3)) for _ in range(4)]
+    q, v = [(f"q{i}", vec()) for i in range(150)], [(i, vec()) for i in range(400)]
+    qs, vs = spark.createDataFrame(q + q[:20], "query_id string, vector array<double>"), spark.createDataFrame(v, "product_id int, vector array<float>")
+    unit = lambda x: np.zeros(4) if x is None or not any(x) else np.array(x) / np.linalg.norm(x)
+    want = {}
+    for name, x in q:
+        scored = sorted((-round(float(unit(x) @ unit(y)), 9), i) for i, y in v)[:6]
+        want[name] = [(i, -s) for s, i in scored]
+    for sizes in ((1024, 1024), (16, 32)):
+        monkeypatch.setattr(S, "QUERY_BLOCK", sizes[0])
+        monkeypatch.setattr(S, "VECTOR_BLOCK", sizes[1])
+        got = {}
+        for r in S.vector_rank(qs, vs, 6).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["product_id"], r["score"]))
+        assert got.keys() == want.keys() and all([i for i, _ in got[n]] == [i for i, _ in want[n]] for n in want)
+        assert all(abs(a[1] - b[1]) < 1e-8 for n in want for a, b in zip(got[n], want[n]))
+    assert S.vector_rank(qs.limit(0), vs, 3).count() == 0 and S.vector_rank(qs, vs.limit(0), 3).count() == 0
+    once = spark.range(5000).selectExpr("'q' as query_id", "array(cast(id as double), 1D) as vector")  # more rows of one query than a block holds
+    assert S.vector_rank(once, spark.createDataFrame([(1, [1.0, 0.0])], "product_id int, vector array<double>"), 2).count() == 2
