@@ -25,7 +25,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "\t-\r \x85\xa0  -     　"
 WORD_END = "</w>"
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 60_000  # of each of two generations of two caches, about 300 bytes each
 CACHE_LENGTH = 40
 
 

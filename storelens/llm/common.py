@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,7 +68,10 @@ def slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
 
 
 def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str) -> DataFrame:
-    """``make()`` runs once per task and returns the function that maps each Arrow batch to columns of ``schema``."""
+    """``make()`` runs once per task and returns the function that maps rows in Arrow columns to columns of ``schema``.
+
+    A batch is handed on in parts of about ``BATCH_BYTES``, so that what the function makes of it is bounded by bytes, not rows.
+    """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -74,8 +80,9 @@ def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                got = step(batch)
+            rows = max(1, batch.num_rows * BATCH_BYTES // max(batch.nbytes, BATCH_BYTES))
+            for at in range(0, batch.num_rows, rows):
+                got = step(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in kinds], schema=kinds)
 
     return df.mapInArrow(run, schema)

@@ -161,17 +161,18 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     Null and empty texts score like a text without toxic windows; without a model every score is 0.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    slim = docs.select(*kept, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes if n != "_text") + ", score double, predicted int"
+    slim = docs.select(*kept) if text in kept else docs.select(*kept, text)
+    at = slim.columns.index(text)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*kept).dtypes) + ", score double, predicted int"
 
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             if model is None:
                 p = np.zeros(len(texts))
             else:
                 p = 1 / (1 + np.exp(-np.clip(measure(texts, model[0], model[1]) @ model[2][:-1] + model[2][-1], -30, 30)))
-            return {f: batch.column(i) for i, f in enumerate(batch.schema.names[:-1])} | {"score": p, "predicted": (p >= THRESHOLD).astype(np.int32)}
+            return {f: batch.column(i) for i, f in enumerate(kept)} | {"score": p, "predicted": (p >= THRESHOLD).astype(np.int32)}
 
         return step
 
