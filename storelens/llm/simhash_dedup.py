@@ -92,8 +92,39 @@ def groups(docs: DataFrame, folder: str, similarity: float = SIMILARITY) -> Data
     met = saved(tiled(nodes.select("node", F.explode("keys").alias("key")), "key", "node", TILE, folder, "keys"), folder, "met")
     some = nodes.join(met.select("node").distinct(), "node").where("id is not null").select("id", "node")
     sets = saved(_sets(slim.join(some.select("id").distinct(), "id").select("text")).dropDuplicates(["node"]), folder, "sets")
+    slight = sets.select("node", "fp", (F.length("set") / 8).cast("int").alias("size")).join(nodes.select("node", "keys"), "node")
     to = pivots()
 
+    def near(i: np.ndarray, j: np.ndarray, size: np.ndarray, table: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose sizes, pivot distances and fingerprints are close enough."""
+        close = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])) & (np.abs(table[i] - table[j]).max(axis=1) <= RADIUS)
+        i, j = i[close], j[close]
+        close = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
+        return i[close], j[close]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nodes of a tile that have a near partner in it with which they share no smaller key."""
+        for t, starts in whole_groups(batches, ["key", "_a", "_b"], 20_000):
+            here, part = t.column("key").to_numpy(), t.column("_part").to_numpy()
+            cross = t.column("_a").to_numpy() != t.column("_b").to_numpy()
+            fp, size = t.column("fp").to_numpy().view(np.uint64), t.column("size").to_numpy()
+            lists = t.column("keys").combine_chunks()
+            row = np.repeat(np.arange(len(here)), np.diff(lists.offsets.to_numpy()))
+            keys = np.zeros((len(here), MEETINGS), dtype=np.int64)
+            there = np.zeros((len(here), MEETINGS), dtype=bool)
+            at = np.arange(len(row)) - (lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py())[row]
+            keys[row, at], there[row, at] = lists.flatten().to_numpy(), True
+            there &= keys < here[:, None]
+            table, wanted = distances(fp, to), np.zeros(len(here), dtype=bool)
+            for i, j in pairs_in(starts, part, cross):
+                i, j = near(i, j, size, table, fp)
+                fresh = ~(wanted[i] & wanted[j])
+                i, j = i[fresh], j[fresh]
+                shared = ((keys[i][:, :, None] == keys[j][:, None, :]) & there[i][:, :, None]).any(axis=(1, 2))
+                wanted[i[~shared]] = wanted[j[~shared]] = True
+            some = t.select(["key", "_a", "_b", "_part", "node"]).filter(pa.array(wanted))
+            yield from some.to_batches()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["key", "_a", "_b"], 2_000):
             node, part = t.column("node").to_numpy(), t.column("_part").to_numpy()
@@ -103,17 +134,17 @@ def groups(docs: DataFrame, folder: str, similarity: float = SIMILARITY) -> Data
             size = np.array([len(s) for s in sets])
             table, forest = distances(fp, to), Forest(len(fp))
             for i, j in pairs_in(starts, part, cross):
-                near = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])) & (np.abs(table[i] - table[j]).max(axis=1) <= RADIUS)
-                i, j = i[near], j[near]
-                near = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
-                for a, b in zip(i[near].tolist(), j[near].tolist()):
+                for a, b in zip(*[x.tolist() for x in near(i, j, size, table, fp)]):
                     if forest.find(a) != forest.find(b):
                         both = len(sets[a] & sets[b])
                         if both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
                             forest.add(np.array([a]), np.array([b]))
             yield pa.RecordBatch.from_arrays([pa.array(node[forest.a]), pa.array(node[forest.b])], names=["a", "b"])
 
-    full = met.join(sets, "node").repartition("key", "_a", "_b").sortWithinPartitions("key", "_a", "_b")
+    # sets go only where a pair is to be verified, and a pair is verified at its smallest shared key
+    tiles = met.join(slight, "node").repartition("key", "_a", "_b").sortWithinPartitions("key", "_a", "_b")
+    marked = saved(tiles.select("key", "_a", "_b", "_part", "node", "fp", "size", "keys").mapInArrow(mark, "key long, _a int, _b int, _part int, node long"), folder, "marked")
+    full = marked.join(sets, "node").repartition("key", "_a", "_b").sortWithinPartitions("key", "_a", "_b")
     edges = saved(full.select("key", "_a", "_b", "_part", "node", "fp", "set").mapInArrow(compare, "a long, b long"), folder, "links")
     roots = components(edges, folder)
     rooted = saved(nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), folder, "rooted")
