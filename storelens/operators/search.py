@@ -121,11 +121,11 @@ def sellable_struct() -> Column:
 
 
 def search_cards(products: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """(product_id, p): what retrieval needs of a product, its title words and text tokens included."""
-    title = search_normalize(c("title"), ascii_only)
+    """(product_id, p): what retrieval needs of a product, its title words, text and text tokens included."""
     opt = lambda name, default: c(name) if name in products.columns else default
-    return products.select(c("id").alias("product_id"), F.struct(
-        title.alias("title"), F.array_distinct(tokens(title)).alias("words"), F.array_distinct(tokens(index_text(products, ascii_only))).alias("tokens"),
+    read = products.withColumn("_title", search_normalize(c("title"), ascii_only)).withColumn("_text", index_text(products, ascii_only))
+    return read.select(c("id").alias("product_id"), F.struct(
+        c("_title").alias("title"), F.array_distinct(tokens(c("_title"))).alias("words"), c("_text").alias("text"), F.array_distinct(tokens(c("_text"))).alias("tokens"),
         opt("product_type", F.lit(None).cast("string")).alias("product_type"), opt("colors", EMPTY()).alias("colors"),
         opt("finishes", EMPTY()).alias("finishes"), "tags", "price", "hidden", "stock_status",
         F.coalesce(opt("popularity", F.lit(0.0)), F.lit(0.0)).alias("popularity")).alias("p"))
@@ -234,7 +234,7 @@ def _costed(wants: DataFrame, resolved: DataFrame, postings: DataFrame, cards: D
         postings, "term").select("query_id", "product_id").distinct()
     best = F.transform("needs", lambda rs: F.array_min(F.transform(F.filter(rs, lambda r: F.array_contains("p.tokens", r["target"])), lambda r: r["cost"])))
     return pairs.join(driver.select("query_id", "needs"), "query_id").join(cards, "product_id").withColumn("_c", best).filter(
-        F.forall("_c", lambda x: x.isNotNull())).join(plans.select("query_id", "norm", "terms", "product_type", "colors", "finishes", "tags", "max_price"), "query_id").filter(
+        F.forall("_c", lambda x: x.isNotNull())).join(plans.select("query_id", "norm", "terms", "scoped_rules", "product_type", "colors", "finishes", "tags", "max_price"), "query_id").filter(
         filters_hold()).withColumn("penalty", F.aggregate("_c", F.lit(0.0), lambda a, x: a + x))
 
 
@@ -258,33 +258,85 @@ def term_rows(plans: DataFrame) -> DataFrame:
     return plans.select("query_id", F.posexplode("terms").alias("no", "term"))
 
 
-def retrieve(plans: DataFrame, postings: DataFrame, cards: DataFrame, identifiers: DataFrame, n: int | None = None) -> DataFrame:
-    """SCH-06: ranked results of every query; an identifier overrides terms and filters.
+def _links(rules: list[dict]) -> Column:
+    """The linked phrases {id, term, mode, product_ids} of the profile as an array of structs; ``open`` ones also admit products that hold the phrase."""
+    return F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.lit(r["mode"] != "only").alias("open"), F.lit(r["term"]).alias("term"),
+                              F.array(*[F.lit(str(x)) for x in r["product_ids"]]).cast("array<string>").alias("ids")) for r in rules])
+
+
+def phrases_hold(rules: list[dict]) -> Column:
+    """Whether a product joined to a plan satisfies every linked phrase of the query: it is linked, or (unless mode is only) its text holds the phrase."""
+    if not rules:
+        return F.lit(True)
+    text = F.concat(F.lit(" "), "p.text", F.lit(" "))
+    return F.forall(F.filter(_links(rules), lambda r: F.array_contains("scoped_rules", r["id"])), lambda r: F.array_contains(r["ids"], c("product_id")) | (
+        r["open"] & F.contains(text, F.concat(F.lit(" "), r["term"], F.lit(" ")))))
+
+
+def _phrase_only(plans: DataFrame, postings: DataFrame, cards: DataFrame, rules: list[dict]) -> DataFrame:
+    """Products of queries that are linked phrases and nothing else but filters.
+
+    The query's first phrase drives it: its linked products and, if it is open, the postings of its longest word.
+    Title hits count the phrases, as there are no terms.
+    """
+    mine = plans.withColumn("_r", F.filter(_links(rules), lambda r: F.array_contains("scoped_rules", r["id"]))).withColumn("_d", F.try_element_at("_r", F.lit(1)))
+    mine = mine.withColumn("terms", F.transform("_r", lambda r: r["term"]))
+    words = F.array_sort(F.split("_d.term", " "), lambda x, y: F.length(y) - F.length(x))
+    linked = mine.select("query_id", F.explode("_d.ids").alias("product_id"))
+    holding = mine.filter("_d.open").select("query_id", words[0].alias("term")).join(postings, "term").select("query_id", "product_id")
+    pairs = linked.unionByName(holding).distinct()
+    return pairs.join(mine.drop("_r", "_d"), "query_id").join(cards, "product_id").filter(filters_hold() & phrases_hold(rules)).withColumn("penalty", F.lit(0.0))
+
+
+def retrieve(plans: DataFrame, postings: DataFrame, cards: DataFrame, identifiers: DataFrame, n: int | None = None, rules: list[dict] | None = None) -> DataFrame:
+    """SCH-06: ranked results of every query; an identifier overrides terms, phrases and filters.
 
-    Terms are a conjunction over their readings, at summed cost. Queries without
-    terms are driven by their filters.
+    Terms are a conjunction over their readings, at summed cost. Linked phrases (``rules``, the profile's
+    ``scoped``) narrow the results, and drive queries without terms; other queries without terms are driven by
+    their filters.
     """
+    rules = rules or []
     by_id = identifier_hits(plans, identifiers).join(cards, "product_id").filter(sellable_struct()).join(
         plans.select("query_id", "norm", "terms"), "query_id").withColumn("penalty", F.lit(0.0))
     rest = plans.join(identifier_hits(plans, identifiers).select("query_id").distinct(), "query_id", "left_anti")
     wants = term_rows(rest)
     # Query- and term-grained, read several times below.
     resolved = cut(resolve_terms(wants, vocabulary(postings)))
-    found = _costed(wants, resolved, postings, cards, rest)
+    found = _costed(wants, resolved, postings, cards, rest).filter(phrases_hold(rules))
     bare = rest.filter((F.size("terms") == 0) & (c("norm") != ""))
+    phrased = F.size(F.array_intersect("scoped_rules", F.array(*[F.lit(r["id"]) for r in rules]).cast("array<string>"))) > 0
     key = F.coalesce(F.concat(F.lit("p:"), "product_type"), F.concat(F.lit("c:"), F.try_element_at("colors", F.lit(1))),
                      F.concat(F.lit("g:"), F.try_element_at("tags", F.lit(1))), F.concat(F.lit("f:"), F.try_element_at("finishes", F.lit(1))), F.lit("any"))
-    only = bare.withColumn("key", key).join(_anchors(cards, "words"), "key").join(cards, "product_id").filter(filters_hold()).withColumn("penalty", F.lit(0.0))
+    only = bare.filter(~phrased).withColumn("key", key).join(_anchors(cards, "words"), "key").join(cards, "product_id").filter(filters_hold()).withColumn("penalty", F.lit(0.0))
     cols = ["query_id", "product_id", "penalty", "terms", "norm", "p"]
-    return ranked(by_id.select(*cols).unionByName(found.select(*cols)).unionByName(only.select(*cols)), n)
+    every = by_id.select(*cols).unionByName(found.select(*cols)).unionByName(only.select(*cols))
+    if rules:
+        every = every.unionByName(_phrase_only(bare.filter(phrased), postings, cards, rules).select(*cols))
+    return ranked(every, n)
+
+
+def matched_variants(plans: DataFrame, products: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """SCH-06, variant part: (query_id, product_id, variant) where the query is an id, sku, mpn or gtin of a product's variant, the first such variant."""
+    have = products.schema["variants"].dataType.elementType.fieldNames()
+    rows = products.select(c("id").alias("product_id"), F.posexplode("variants").alias("pos", "variant"))
+    keys = rows.select("*", F.explode(F.array_compact(F.array(*[c(f"variant.{x}").cast("string") for x in ("id", "sku", "mpn", "gtin") if x in have]))).alias("_k"))
+    keyed = keys.withColumn("norm", search_normalize(c("_k"), ascii_only)).filter("norm <> ''")
+    return plans.select("query_id", "norm").join(keyed, "norm").groupBy("query_id", "product_id").agg(F.min_by("variant", "pos").alias("variant"))
+
 
+def _not_identifiers(plans: DataFrame, identifiers: DataFrame | None) -> DataFrame:
+    """Plans whose query is no identifier; those are neither relaxed nor explained."""
+    return plans if identifiers is None else plans.join(identifier_hits(plans, identifiers).select("query_id").distinct(), "query_id", "left_anti")
 
-def relax_one_term(plans: DataFrame, results: DataFrame, postings: DataFrame, cards: DataFrame) -> DataFrame:
+
+def relax_one_term(plans: DataFrame, results: DataFrame, postings: DataFrame, cards: DataFrame, identifiers: DataFrame | None = None,
+                   rules: list[dict] | None = None) -> DataFrame:
     """SCH-07: for empty queries of several existing terms, the results with one term approximated.
 
-    The term needing the fewest edits wins, then the one with most results, then the first.
+    The term needing the fewest edits wins, then the one with most results, then the first. With ``identifiers``
+    queries that are one stay empty; ``rules`` are the linked phrases, which results have to satisfy here too.
     """
-    empty = cut(plans.filter(F.size("terms") > 1).join(results.select("query_id").distinct(), "query_id", "left_anti"))
+    empty = cut(_not_identifiers(plans, identifiers).filter(F.size("terms") > 1).join(results.select("query_id").distinct(), "query_id", "left_anti"))
     wants = term_rows(empty)
     vocab = cut(vocabulary(postings))
     plain = cut(resolve_terms(wants, vocab))
@@ -297,7 +349,7 @@ def relax_one_term(plans: DataFrame, results: DataFrame, postings: DataFrame, ca
     both = plain.withColumn("_relaxed", F.lit(False)).unionByName(loose.withColumn("_relaxed", F.lit(True)))
     readings = cut(every.join(both, ["term", "_relaxed"]).select("query_id", "no", "term", "target", "cost"))
     trial = cut(picks.join(empty, "query_id").withColumn("query_id", F.concat_ws("#", "query_id", "slot")))
-    found = _costed(every.select("query_id", "no", "term"), readings, postings, cards, trial)
+    found = _costed(every.select("query_id", "no", "term"), readings, postings, cards, trial).filter(phrases_hold(rules or []))
     counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
     split = F.split("query_id", "#")
     best = counts.join(trial.select("query_id", "slot", "edits"), "query_id").withColumn("root", split[0]).groupBy("root").agg(
@@ -306,9 +358,12 @@ def relax_one_term(plans: DataFrame, results: DataFrame, postings: DataFrame, ca
     return chosen.withColumn("relaxed_term", F.split("query_id", "#")[1].cast("int")).withColumn("query_id", F.split("query_id", "#")[0])
 
 
-def explain_empty(plans: DataFrame, results: DataFrame, postings: DataFrame, resolved: DataFrame) -> DataFrame:
-    """SCH-08: why a query found nothing: scoped-only, missing-terms, no-intersection or filtered, with the terms."""
-    empty = plans.filter("norm <> ''").join(results.select("query_id").distinct(), "query_id", "left_anti")
+def explain_empty(plans: DataFrame, results: DataFrame, postings: DataFrame, resolved: DataFrame, identifiers: DataFrame | None = None) -> DataFrame:
+    """SCH-08: why a query found nothing: scoped-only, missing-terms, no-intersection or filtered, with the terms.
+
+    With ``identifiers`` queries that are one are not explained.
+    """
+    empty = _not_identifiers(plans, identifiers).filter("norm <> ''").join(results.select("query_id").distinct(), "query_id", "left_anti")
     vocab = vocabulary(postings)
     hit = resolved.select("term").distinct().withColumn("_any", F.lit(1))
     rows = empty.select("query_id", "scoped_rules", F.size("terms").alias("_n"), F.posexplode_outer("terms").alias("no", "term")).join(
@@ -323,13 +378,8 @@ def explain_empty(plans: DataFrame, results: DataFrame, postings: DataFrame, res
 
 def scoped_alias_filter(results: DataFrame, plans: DataFrame, cards: DataFrame, rules: list[dict]) -> DataFrame:
     """SCH-09: results that satisfy every linked phrase of their query: linked products, or (mode add) the phrase in the text."""
-    links = F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.lit(r["mode"] != "only").alias("open"), F.lit(r["term"]).alias("term"),
-                               F.array(*[F.lit(x) for x in r["product_ids"]]).alias("ids")) for r in rules])
-    j = results.join(plans.select("query_id", "scoped_rules"), "query_id").join(cards, "product_id").withColumn("_l", links)
-    text = F.concat(F.lit(" "), F.array_join("p.tokens", " "), F.lit(" "))
-    ok = F.forall(F.filter("_l", lambda r: F.array_contains("scoped_rules", r["id"])), lambda r: F.array_contains(r["ids"], c("product_id")) | (
-        r["open"] & F.contains(text, F.concat(F.lit(" "), r["term"], F.lit(" ")))))
-    return j.filter(ok).select(*results.columns)
+    j = results.join(plans.select("query_id", "scoped_rules"), "query_id").join(cards, "product_id")
+    return j.filter(phrases_hold(rules)).select(*results.columns)
 
 
 def intersect_scoped_ids(plans: DataFrame, rules: list[dict]) -> DataFrame:
@@ -353,11 +403,12 @@ def title_phrases(products: DataFrame, ascii_only: bool = False) -> DataFrame:
     return rows.filter(F.length("compact").between(6, 24) & ~c("compact").rlike("\\d")).distinct()
 
 
-def repair_spelling(plans: DataFrame, products: DataFrame, ascii_only: bool = False) -> DataFrame:
+def repair_spelling(plans: DataFrame, products: DataFrame, ascii_only: bool = False, cards: DataFrame | None = None) -> DataFrame:
     """SCH-10: (query_id, compact, edits, product_id): the title phrase a misspelt query means.
 
     One edit, two from ten letters. Equally close but dissimilar phrases are
     ambiguous and repair nothing; phrases within one edit of the best are united.
+    With ``cards`` the products also satisfy the plan's own filters.
     """
     phrases = title_phrases(products, ascii_only)
     vocab = phrases.select(c("compact").alias("term")).distinct()
@@ -373,7 +424,11 @@ def repair_spelling(plans: DataFrame, products: DataFrame, ascii_only: bool = Fa
     clear = j.groupBy("term").agg(F.max(F.when(c("edits") == c("best_edits"), c("_apart"))).alias("m")).filter("m <= 1").select("term")
     meant = j.filter("_apart <= 1").join(clear, "term", "left_semi").select("term", "best", "best_edits", c("target").alias("compact"))
     hits = meant.join(phrases.select("compact", "product_id").distinct(), "compact")
-    return asked.join(hits, "term").select("query_id", c("best").alias("compact"), c("best_edits").alias("edits"), "product_id").distinct()
+    out = asked.join(hits, "term").select("query_id", c("best").alias("compact"), c("best_edits").alias("edits"), "product_id").distinct()
+    if cards is None:
+        return out
+    wants = plans.select("query_id", "product_type", "colors", "finishes", "tags", "max_price")
+    return out.join(wants, "query_id").join(cards, "product_id").filter(filters_hold()).select(*out.columns)
 
 
 # ---- prefixes, scores, vectors -------------------------------------------------------------------------------

@@ -147,6 +147,25 @@ def retrieve(spark, sf):
     return found(spark, sf)
 
 
+CTES["phrased"] = ("""select query_id, query as norm, terms, rules from (select distinct a from qn) x, (select unnest([
+    {'k': 0, 'q': 'cog', 't': false, 'r': ['s2']}, {'k': 1, 'q': 'hot gear', 't': false, 'r': ['s1']}, {'k': 2, 'q': 'cog hot gear', 't': false, 'r': ['s1', 's2']},
+    {'k': 3, 'q': ' cog', 't': true, 'r': ['s2']}, {'k': 4, 'q': ' hot gear', 't': true, 'r': ['s1']}]) as u) y,
+    lateral (select u.k || ':' || a as query_id, case when u.t then a || u.q else u.q end as query, case when u.t then [a] else [] end as terms, u.r as rules)""", ("qn",))
+
+
+@query("sch_06_linked_phrases", sql(f"""select query_id, product_id, 0.0::double as penalty, row_number() over (partition by query_id order by hits desc, same desc, popularity desc, product_id) as rank from (
+    select p.query_id, s.id as product_id, s.popularity, s.ltitle = p.norm as same, len(list_intersect(case when len(p.terms) > 0 then p.terms else [case when r = 's1' then 'hot gear' else 'cog' end for r in p.rules] end, s.words)) as hits
+    from phrased p join sp s on {OK} and list_has_all(s.tokens, p.terms) and (not list_contains(p.rules, 's1') or (cast(s.id as bigint) % 7 = 0 and cast(s.id as bigint) < 400))
+      and (not list_contains(p.rules, 's2') or s.id in ('5', '6') or list_contains(s.tokens, 'cog')))""", "phrased", "sp"))
+def linked_phrases(spark, sf):
+    cards, post, ids = indexed(spark, sf)
+    first = D.table(spark, sf, "part").select(F.element_at(F.split("p_name", " "), 1).alias("a")).distinct()
+    texts = [F.lit("cog"), F.lit("hot gear"), F.lit("cog hot gear"), F.concat("a", F.lit(" cog")), F.concat("a", F.lit(" hot gear"))]
+    asked = first.select("a", F.posexplode(F.array(*texts)).alias("k", "query")).select(F.concat_ws(":", "k", "a").alias("query_id"), "query")
+    p = cut(S.plan_queries(asked, {"scoped": PROFILE["scoped"]}))
+    return S.retrieve(p, post, cards, ids, rules=PROFILE["scoped"])
+
+
 def turn_cards(spark, sf):
     """Conversation turns as a catalog: prose has near-identical words, which names of parts have not."""
     none = F.array().cast("array<string>")

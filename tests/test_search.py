@@ -132,3 +132,30 @@ def test_vector_rank_in_many_blocks(spark, monkeypatch):
     assert S.vector_rank(qs.limit(0), vs, 3).count() == 0 and S.vector_rank(qs, vs.limit(0), 3).count() == 0
     once = spark.range(5000).selectExpr("'q' as query_id", "array(cast(id as double), 1D) as vector")  # more rows of one query than a block holds
     assert S.vector_rank(once, spark.createDataFrame([(1, [1.0, 0.0])], "product_id int, vector array<double>"), 2).count() == 2
+
+
+def test_linked_phrases_identifiers_and_filters(spark):
+    """Hebrew fixture: phrases drive and narrow, identifiers are not relaxed or explained, repairs keep filters, variants are named."""
+    rows = [("1", "יומן שבועי", "", "A1", 10.0), ("2", "יומן אישי", "", "B2", 10.0), ("3", "פלנר שולחני", "כולל יומן מתנה", "C3", 10.0), ("4", "עט יוקרתית", "", "D4", 90.0), ("5", "עט יוקרתיח", "", "E5", 5.0)]
+    p = spark.createDataFrame(rows, "id string, title string, description string, sku string, price double").selectExpr(
+        "*", "array() as categories", "cast(array() as array<string>) as tags", "false as hidden", "if(id = '2', 'outofstock', 'instock') as stock_status",
+        "array(named_struct('id', 'v' || id, 'sku', sku || '-x', 'stock_status', 'instock'), named_struct('id', 'w' || id, 'sku', 'B2', 'stock_status', 'instock')) as variants")
+    cards, post, ids = S.search_cards(p).cache(), S.build_postings(p).cache(), S.build_identifiers(p)
+    rules = [{"id": "d", "term": "יומן", "mode": "only", "product_ids": ["1", "3"]}, {"id": "g", "term": "יומן מתנה", "mode": "add", "product_ids": ["4"]}]
+    asked = {"only": "יומן", "narrow": "יומן שולחני", "open": "יומן מתנה", "id": "d4", "gone": "b2", "typo": "עט יוקרתיך עד 50", "none": "יומן בלבלב"}
+    q = spark.createDataFrame(list(asked.items()), "query_id string, query string")
+    plans = S.plan_queries(q, {"scoped": rules}).cache()
+    found = S.retrieve(plans, post, cards, ids, rules=rules).cache()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["product_id"])
+    assert got["only"] == ["1", "3"] and got["narrow"] == ["3"] and sorted(got["open"]) == ["3", "4"] and got["id"] == ["4"] and "none" not in got
+    assert S.retrieve(plans, post, cards, ids).filter("query_id = 'only'").count() == 4  # without rules nothing but stock narrows a query of no terms
+    sold_out = S.build_identifiers(p.filter("id = '2'"))
+    res = S.resolve_terms(S.term_rows(plans), S.vocabulary(post))
+    why = {r["query_id"]: r["why"] for r in S.explain_empty(plans, found.filter("query_id <> 'gone'"), post, res, sold_out).collect()}
+    assert "gone" not in why and why["none"] == "missing-terms"
+    fixed = {r["product_id"] for r in S.repair_spelling(plans.filter("query_id = 'typo'"), p).collect()}
+    assert fixed == {"4", "5"} and {r["product_id"] for r in S.repair_spelling(plans.filter("query_id = 'typo'"), p, cards=cards).collect()} == {"5"}
+    named = {(r["query_id"], r["product_id"]): r["variant"]["id"] for r in S.matched_variants(plans, p).collect()}
+    assert named == {("gone", str(i)): f"w{i}" for i in range(1, 6)}
