@@ -21,14 +21,20 @@ def doc_products(spark, sf):
         F.array("lang").alias("categories"), F.array("source").alias("tags"), F.create_map(F.lit("origin"), c("source")).alias("specifications"))
 
 
+def at(start, size):
+    """``size`` characters of the text, ``start`` after a place that the id spreads over the whole text (the SQL does the same)."""
+    place = c("doc_id") * 7919 % F.greatest(F.length("text") - 60, F.lit(1))
+    return F.substr(c("text"), (place + start).cast("int"), F.lit(size))
+
+
 # One decision per labelled document: a quote from the text, corrupted for some; two decisions for others.
 CTES["dec"] = ("""select '' || d.doc_id as id, 'good' as tag, case when quality = 1 then 'matched' else 'not_matched' end as status, case when toxic = 1 then 'tags' else 'description' end as field,
-    case when d.doc_id % 5 = 0 then 'x§x' || substr(text, 3, 20) when toxic = 1 then source else substr(text, 11, 30) end as quote, d.text, d.source, d.doc_id % 7 = 0 as twice from documents d join labels l using (doc_id)""", ())
+    case when d.doc_id % 5 = 0 then 'x§x' || substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 3, 20) when toxic = 1 then source else substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 11, 30) end as quote, d.text, d.source, d.doc_id % 7 = 0 as twice from documents d join labels l using (doc_id)""", ())
 
 
 def decisions(spark, sf):
     j = D.table(spark, sf, "documents").join(D.table(spark, sf, "labels"), "doc_id")
-    quote = F.when(c("doc_id") % 5 == 0, F.concat(F.lit("x§x"), F.substring("text", 3, 20))).when(c("toxic") == 1, c("source")).otherwise(F.substring("text", 11, 30))
+    quote = F.when(c("doc_id") % 5 == 0, F.concat(F.lit("x§x"), at(3, 20))).when(c("toxic") == 1, c("source")).otherwise(at(11, 30))
     one = j.select(c("doc_id").cast("string").alias("id"), F.lit("good").alias("tag"), F.when(c("quality") == 1, "matched").otherwise("not_matched").alias("status"),
                    F.when(c("toxic") == 1, "tags").otherwise("description").alias("field"), quote.alias("quote"), "doc_id")
     return one.drop("doc_id").unionByName(one.filter("doc_id % 7 = 0").drop("doc_id"))
@@ -46,18 +52,18 @@ def validate_tag_decisions(spark, sf):
 def facts(spark, sf):
     n = c("doc_id")
     d = D.table(spark, sf, "documents")
-    quote = F.substring("text", 1, 40)
+    quote = at(1, 40)
     rows = F.array(
-        F.struct(F.lit("opening").alias("field"), F.substring("text", 1, 10).alias("value"), F.when(n % 4 == 0, F.concat(F.lit("§"), quote)).otherwise(quote).alias("quote")),
-        F.struct(F.lit("opening").alias("field"), F.when(n % 6 == 1, F.substring("text", 5, 10)).otherwise(F.substring("text", 1, 10)).alias("value"), quote.alias("quote")),
-        F.struct(F.lit("price").alias("field"), F.substring("text", 1, 5).alias("value"), quote.alias("quote")),
-        F.struct(F.lit("Origin").alias("field"), F.substring("text", 12, 8).alias("value"), F.substring("text", 10, 30).alias("quote")))
+        F.struct(F.lit("opening").alias("field"), at(1, 10).alias("value"), F.when(n % 4 == 0, F.concat(F.lit("§"), quote)).otherwise(quote).alias("quote")),
+        F.struct(F.lit("opening").alias("field"), F.when(n % 6 == 1, at(5, 10)).otherwise(at(1, 10)).alias("value"), quote.alias("quote")),
+        F.struct(F.lit("price").alias("field"), at(1, 5).alias("value"), quote.alias("quote")),
+        F.struct(F.lit("Origin").alias("field"), at(12, 8).alias("value"), at(10, 30).alias("quote")))
     return d.select(n.cast("string").alias("id"), F.inline(rows))
 
 
 CTES["fact0"] = ("""select doc_id, text, source, unnest([1, 2, 4]) as k from documents""", ())
-CTES["fact1"] = ("""select doc_id, text, source, k, case when k = 4 then 'origin' else 'opening' end as field, case when k = 4 then substr(text, 12, 8) when k = 2 and doc_id % 6 = 1 then substr(text, 5, 10) else substr(text, 1, 10) end as value,
-    case when k = 4 then substr(text, 10, 30) when k = 1 and doc_id % 4 = 0 then '§' || substr(text, 1, 40) else substr(text, 1, 40) end as quote from fact0""", ("fact0",))
+CTES["fact1"] = ("""select doc_id, text, source, k, case when k = 4 then 'origin' else 'opening' end as field, case when k = 4 then substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 12, 8) when k = 2 and doc_id % 6 = 1 then substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 5, 10) else substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 1, 10) end as value,
+    case when k = 4 then substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 10, 30) when k = 1 and doc_id % 4 = 0 then '§' || substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 1, 40) else substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 1, 40) end as quote from fact0""", ("fact0",))
 NORM = "trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(value)), '[®™׳״’''`\"“”„«»″‟]', '', 'g'), '[-–—()\\[\\],:;!?]', ' ', 'g'), '[\\s\\p{Z}]+', ' ', 'g'))"
 CTES["fact2"] = (f"select *, {NORM} as nv from fact1 where trim(value) <> '' and trim(quote) <> '' and contains(quote, value) and (contains(text, quote) or contains('Doc ' || doc_id, quote))", ("fact1",))
 CTES["fact"] = ("""select '' || doc_id as id, field, value, case when min(nv) over (partition by doc_id, field) <> max(nv) over (partition by doc_id, field) or (field = 'origin' and nv <> source) then 'conflict' else 'verified' end as status from fact2""", ("fact2",))
@@ -81,15 +87,15 @@ def open_conflicts(spark, sf):
     return V.open_conflicts(V.validate_facts(facts(spark, sf), doc_products(spark, sf)))
 
 
-@query("evd_04_validate_external_facts", """select id, url, 'tone' as field, value, 'verified' as status from (select '' || doc_id as id, 'https://s/' || doc_id as url, substr(text, 60, 6) as value, case when doc_id % 2 = 0 then 'about MX-' || doc_id || ' here: ' else 'about MX-' || doc_id || '9 here: ' end || text as src, substr(text, 55, 30) as quote from documents)
+@query("evd_04_validate_external_facts", """select id, url, 'tone' as field, value, 'verified' as status from (select '' || doc_id as id, 'https://s/' || doc_id as url, substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 60, 6) as value, case when doc_id % 2 = 0 then 'about MX-' || doc_id || ' here: ' else 'about MX-' || doc_id || '9 here: ' end || text as src, substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 55, 30) as quote from documents)
     where trim(quote) <> '' and contains(lower(quote), lower(value)) and id::bigint % 2 = 0 and instr(src, quote) > 0 and abs(instr(src, quote) - instr(src, 'MX-' || id)) <= 2000""")
 def validate_external_facts(spark, sf):
     n = c("doc_id")
     d = D.table(spark, sf, "documents")
     model = F.concat(F.lit("MX-"), n)
     src = d.select(F.concat(F.lit("https://s/"), n).alias("url"), F.concat(F.lit("about "), model, F.when(n % 2 == 0, "").otherwise("9"), F.lit(" here: "), "text").alias("text"))
-    rows = d.select(n.cast("string").alias("id"), F.concat(F.lit("https://s/"), n).alias("url"), F.lit("tone").alias("field"), F.substring("text", 60, 6).alias("value"),
-                    F.substring("text", 55, 30).alias("quote"), model.alias("identity_quote"))
+    rows = d.select(n.cast("string").alias("id"), F.concat(F.lit("https://s/"), n).alias("url"), F.lit("tone").alias("field"), at(60, 6).alias("value"),
+                    at(55, 30).alias("quote"), model.alias("identity_quote"))
     return V.validate_external_facts(rows, src, d.select(n.cast("string").alias("id"), model.alias("model")))
 
 
@@ -105,11 +111,11 @@ def validate_selection(spark, sf):
     return V.validate_selection(sel, cand, F.lit(2))
 
 
-@query("evd_06_quoted_only", """with s as (select source, 'u' || min(doc_id) as url from documents group by source), st as (select doc_id as row_id, source, substr(text, 5, 8) as value, substr(text, 1, 25) as quote from documents)
+@query("evd_06_quoted_only", """with s as (select source, 'u' || min(doc_id) as url from documents group by source), st as (select doc_id as row_id, source, substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 5, 8) as value, substr(text, doc_id * 7919 % greatest(length(text) - 60, 1) + 1, 25) as quote from documents)
     select row_id, min('u' || d.doc_id) as url from st join documents d on d.source = st.source and contains(d.text, st.quote) where trim(quote) <> '' and contains(quote, value) group by 1""")
 def quoted_only(spark, sf):
     d = D.table(spark, sf, "documents")
-    st = d.select(c("doc_id").alias("row_id"), "source", F.substring("text", 5, 8).alias("value"), F.substring("text", 1, 25).alias("quote"))
+    st = d.select(c("doc_id").alias("row_id"), "source", at(5, 8).alias("value"), at(1, 25).alias("quote"))
     return V.quoted_only(st, d.select("source", F.concat(F.lit("u"), "doc_id").alias("url"), "text"))
 
 

@@ -178,10 +178,13 @@ def turn_cards(spark, sf):
 def relax_one_term(spark, sf):
     cards = turn_cards(spark, sf)
     words = F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: F.length(w) >= 5)
-    asked = D.table(spark, sf, "benchmark").select(c("item_id").cast("string").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("query"))
+    # every two neighbouring long words of the whole text
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 2), " "))
+    asked = D.table(spark, sf, "benchmark").select("item_id", words.alias("w")).select("item_id", F.posexplode(pairs).alias("at", "query"))
+    asked = asked.select(F.concat_ws(":", "item_id", "at").alias("query_id"), "query")
     p = cut(S.plan_queries(asked, {}))
     index, post, ids = cut(S.search_cards(cards)), cut(S.build_postings(cards)), cut(S.build_identifiers(cards))
-    return S.relax_one_term(p, cut(S.retrieve(p, post, index, ids)), post, index)
+    return S.relax_one_term(p, cut(S.retrieve(p, post, index, ids)), post, index, ids)
 
 
 @query("sch_08_explain_empty", sql("""select p.query_id, case when count(*) filter (r.term is null) > 0 then 'missing-terms' when count(*) > 1 and count(v.term) = count(*) then 'no-intersection' else 'filtered' end as why,
@@ -288,11 +291,11 @@ def rank_fusion(spark, sf):
 
 RULES = [{"id": "promo", "action": "boost", "field": "categories", "values": ["promo"], "terms": ["red"], "match": "direct", "weight": 2},
          {"id": "cheap", "action": "bury", "field": "title", "values": ["anvil"], "match": "any"}, {"id": "other", "field": "tags", "values": ["large"], "terms": ["nothing here"]}]
-CTES["rk"] = ("""select f.query_id, f.product_id, f.rank, s.ltitle, s.p_type, q.query, list_filter(string_split(q.query, ' '), lambda x: length(x) > 1) as qw, s.words from found f join q on q.query_id = f.query_id join sp s on s.id = f.product_id where f.rank <= 50""", ("found", "q", "sp"))
+CTES["rk"] = ("""select f.query_id, f.product_id, f.rank, s.ltitle, s.p_type, q.query, list_filter(string_split(q.query, ' '), lambda x: length(x) > 1) as qw, s.words from found f join q on q.query_id = f.query_id join sp s on s.id = f.product_id""", ("found", "q", "sp"))
 
 
-def top_results(spark, sf):
-    return found(spark, sf, 50).join(query_rows(spark, sf), "query_id").select("query_id", "query", "product_id", "rank")
+def all_results(spark, sf):
+    return found(spark, sf).join(query_rows(spark, sf), "query_id").select("query_id", "query", "product_id", "rank")
 
 
 STEM = "case when length({0}) <= 3 then {0} else {0}[1:greatest(3, length({0}) - 2)] end"
@@ -305,7 +308,7 @@ CTES["rk3"] = ("""select *, 2 * (list_contains(qw, 'red') and p_type = 'PROMO' a
 @query("sch_16_apply_ranking_rules", sql("""select query_id, product_id, rank, score, row_number() over (partition by query_id order by case when a then direct::int else 0 end desc, case when a then score else 0 end desc, case when a then (score > 0 and heads)::int else 0 end desc, rank) as new_rank
     from (select *, bool_or(touched) over (partition by query_id) as a from rk3)""", "rk3"))
 def apply_ranking_rules(spark, sf):
-    return K.apply_ranking_rules(top_results(spark, sf), P(spark, sf), RULES)
+    return K.apply_ranking_rules(all_results(spark, sf), P(spark, sf), RULES)
 
 
 @query("sch_17_rule_target_counts", sql("select 'promo' as rule_id, count(*) as products from product where p_type = 'PROMO' union all select 'cheap', count(*) from product where contains(lower(title), 'anvil') union all select 'other', count(*) from product where list_contains(tags, 'large')", "product"))
