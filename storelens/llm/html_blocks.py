@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -18,6 +20,7 @@ IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "d
 SPACE = re.compile(r"\s+")
 
 TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
+OPENS, NAME_END, SIGN = re.compile(r"<[a-zA-Z]"), re.compile(r"[\s/>]"), re.compile("[>\"']")
 ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAME_PART = re.compile(r"[a-z]+")
 
@@ -42,6 +45,48 @@ def _marks(attrs: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class _Tags:
+    """Finds the next tag, comment or declaration of a page; a ``<`` that starts none is text.
+
+    Every such ``<`` could be read up to the page's end in vain. After a few of them one pass from the end finds
+    where tags can end: outside quotes a tag runs on to the next sign (``>`` or a quote), a quote to its like, so
+    whether the end is reached from one sign follows from a later one. A name may hold quotes, read as its own
+    or as those of values, so any sign from the name on may be the first.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.failed, self.signs = page, page.rfind(">"), 0, None
+
+    def search(self, at: int) -> re.Match | None:
+        while (at := self.page.find("<", at)) >= 0:
+            named = OPENS.match(self.page, at)
+            if self.page.startswith("<!--", at) or at < self.last and (not named or self.signs is None or self._ends(named.end() - 1)):
+                if m := TAG.match(self.page, at):
+                    return m
+                self.failed += named is not None
+                if self.failed == 8 and self.signs is None:
+                    self._prepare()
+            at += 1
+        return None
+
+    def _prepare(self) -> None:
+        self.signs, self.name_end = [m.start() for m in SIGN.finditer(self.page)], 0
+        ends, after = [False] * (len(self.signs) + 1), {}
+        for k in range(len(self.signs) - 1, -1, -1):
+            sign = self.page[self.signs[k]]
+            ends[k] = sign == ">" or sign in after and ends[after[sign] + 1]
+            after[sign] = k
+        self.count = [0, *accumulate(map(int, ends))]
+
+    def _ends(self, name: int) -> bool:
+        """Whether the tag whose name starts at ``name`` can end."""
+        if self.name_end <= name:
+            m = NAME_END.search(self.page, name)
+            self.name_end = m.start() if m else len(self.page)
+        a, z = bisect_left(self.signs, name), bisect_left(self.signs, self.name_end)
+        return self.count[z + 1] > self.count[a]
+
+
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order. Broken markup is read as far as it goes; an unclosed comment or script hides the rest."""
     out: list[Block] = []
@@ -88,9 +133,9 @@ def blocks(page: str) -> list[Block]:
                 return -1
         return -1
 
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), _Tags(page)
     while at < n:
-        m = TAG.search(page, at)
+        m = tags.search(at)
         text = page[at : m.start() if m else n]
         if text and not hidden:
             parts.append(text)

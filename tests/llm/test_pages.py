@@ -72,3 +72,26 @@ def test_ranges_join_neighbours():
     fields, http, payload = W.parse(raw)
     assert payload == b"body" and fields["warc-type"] == "response" and http["content-length"] == "4"
     assert zlib.decompress(W._gzip(raw), 31) == raw
+
+
+def test_tags_that_never_close_are_read_in_linear_time():
+    import random
+    import time
+
+    from storelens.llm import html_blocks as H
+
+    r = random.Random(1)
+    for _ in range(4000):  # the same tags as a plain search finds
+        page = "".join(r.choice(["<", "<a", "</b", ">", '"', "'", "/", " ", "x=", "<!--", "-->", "<!", "t", "<a<"]) for _ in range(r.randint(1, 60)))
+        tags, at, got = H._Tags(page), 0, []
+        tags.failed = r.choice([0, 7, 7])
+        while m := tags.search(at):
+            got.append(m.span())
+            at = m.end()
+        assert got == [m.span() for m in H.TAG.finditer(page)], page
+    for part in ("<a ", "<a", '<a "', "<a'", "<p x='", "<b>x<a \"", "< ", "</a ", "<!x"):
+        page = part * (500_000 // len(part))
+        for end in ("", ">"):
+            start = time.time()
+            H.blocks(page + end)
+            assert time.time() - start < 10, (part, end)
