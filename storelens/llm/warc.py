@@ -24,6 +24,7 @@ from storelens.llm.common import saved
 
 FILE_BYTES = 64 << 20
 MAX_GAP = 1 << 16
+TASK_BYTES = 16 << 20  # of archive read by a task
 MAX_READ = 8 << 20
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs in RFC 4122
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -147,6 +148,8 @@ def read_records(index: DataFrame, folder: str, keep_html: bool = False) -> Data
             entries = list(zip(*(c.to_pylist() for c in batch.columns)))
             for file, a, z, i, j in ranges(entries):
                 if file != opened:
+                    if f is not None:
+                        f.close()
                     opened, f = file, fs.open_input_file(f"{root}/{file}")
                 raw, made = f.read_at(z - a, a), []
                 for _, offset, length in entries[i:j]:
@@ -159,5 +162,7 @@ def read_records(index: DataFrame, folder: str, keep_html: bool = False) -> Data
                     made.append(row + (payload.decode(),) * keep_html)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), kinds)], names=names)
 
-    place = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # the index is small beside what it names, so the number of tasks follows from the bytes to be read
+    tasks = index.agg(F.ceil(F.sum("length") / TASK_BYTES)).first()[0] or 1
+    place = index.select("file", "offset", "length").repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
     return place.mapInArrow(run, schema)
