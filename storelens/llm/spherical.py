@@ -140,12 +140,13 @@ def near_duplicates(rows: DataFrame, folder: str, key: str = "vec_id", vector: s
                     threshold: float = THRESHOLD, cap: float = CAP) -> DataFrame:
     """key, n_links (other rows linked directly), component_id (smallest key reachable), kept (whether that is the row's own key).
 
-    Only rows with equal labels and equally many components are compared. Keys should be unique; a row that links with
-    nothing is its own component. Other columns are dropped.
+    Only rows with equal labels and equally many components are compared. Rows that share a key are rows of their own; a row
+    that links with nothing is its own component. Other columns are dropped.
     """
     all_rows = saved(vectors(rows, key, vector, label), folder, "vectors")
     live = all_rows.where("raw is not null")
-    nodes = saved(live.groupBy("label", "raw").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("dim").alias("dim")), folder, "nodes")
+    nodes = saved(live.groupBy("label", "raw").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("dim").alias("dim"))
+                  .withColumn("id", F.monotonically_increasing_id()), folder, "nodes")
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple] = {}
@@ -221,8 +222,10 @@ def near_duplicates(rows: DataFrame, folder: str, key: str = "vec_id", vector: s
     found = saved(tiled(spread, "meet", "id", TILE, folder, "meetings").select(*order).mapInArrow(compare, "id long, n long, to long"), folder, "found")
     degrees = found.where("to is null").groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")), folder)
-    named = saved(nodes.join(degrees, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-                  .select("label", "raw", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")), folder, "named")
+    rooted = saved(nodes.join(degrees, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+                   .select("label", "raw", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")), folder, "rooted")
+    smallest = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), folder, "smallest")
+    named = saved(rooted.join(smallest, "root").select("label", "raw", "n_links", "component_id"), folder, "named")
     linked = live.select("key", "label", "raw").join(named, ["label", "raw"]).select("key", "n_links", "component_id")
     alone = all_rows.where("raw is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     return linked.union(alone).select(F.col("key").alias(key), "n_links", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -258,3 +258,11 @@ def test_vectors_equal_brute_force(spark, folder, monkeypatch):
     assert [got[i]["n_links"] for i in range(900, 910)] == [0, 0, 0, 0, 1, 1, 1, 1, 0, 0]
     assert got[905]["component_id"] == 904 and not got[905]["kept"] and got[901]["kept"]
     assert spherical.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), folder()).count() == 0
+
+
+def test_vectors_that_share_an_id(spark, folder):
+    a, b, far = [1.0, 0.0, 0.0], [1.0, 0.05, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 1), (1, far, 1), (2, b, 1), (3, [0.0, 0.02, 1.0], 1), (3, [0.0, 0.02, 1.0], 1), (0, far, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in spherical.near_duplicates(df, folder()).collect())
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False)]
