@@ -1,12 +1,12 @@
 """Language model scores from a subword lattice.
 
-Text is a sequence of words and one end. A word is either known from the training texts, with its
-discounted relative frequency, or spelled with pieces of an existing vocabulary. Spelling sums
-over all segmentations by a forward recursion in log space. The weights of the pieces start from
-the vocabulary's own scores and take up their expected counts over the distinct training words
-(forward-backward, all words). Both parts add up to a proper distribution:
+Text is a sequence of words and one end. The lattice of a word holds an arc for every piece of an
+existing vocabulary, weighted by the vocabulary's own scores, and, where the word is known from the
+training texts, one arc over the whole word, weighted by its discounted relative frequency. A
+forward recursion in log space sums over all segmentations. The arcs add up to a proper
+distribution:
 
-    P(word) = max(c - d, 0) / N + (d V / N) spell(word)
+    P(word) = max(c - d, 0) / N + (d V / N) sum over segmentations into pieces
 
 Counts, pieces and scores are computed per distinct word, which Spark counts over the whole
 corpus. The most frequent words, a fixed number, are broadcast; the rest of a document's words
@@ -30,8 +30,6 @@ from storelens.llm.common import saved
 HEAD_WORDS = 150_000
 FLUSH_WORDS = 250_000
 DISCOUNT = 0.5
-PRIOR = 300.0  # weight of the vocabulary's own scores, in expected counts
-PASSES = 3  # of forward-backward over the distinct training words
 MARK = "▁"  # stands before the first piece of a word
 _M = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint64(0x243F6A8885A308D3)
@@ -106,8 +104,7 @@ class Lattice:
         # one character by its bytes
         chars, back = np.unique(self.points, return_inverse=True)
         raw = [list(chr(c).encode("utf-8", "surrogatepass")) for c in chars.tolist()]
-        self.raw, self.back = raw, back.reshape(self.points.shape)
-        self.byte_log = np.array([p.bytes_log[r].sum() for r in raw])[self.back]
+        self.byte_log = np.array([p.bytes_log[r].sum() for r in raw])[back.reshape(self.points.shape)]
 
     def _arc(self, j: int, k: int) -> np.ndarray:
         """Log weights of the piece of k characters from j on."""
@@ -132,27 +129,6 @@ class Lattice:
         """Natural log of the probability of spelling each word."""
         return self.forward()[-1] + self.p.stop_log
 
-    def expect(self, first: np.ndarray, on: np.ndarray, of_bytes: np.ndarray) -> None:
-        """Add the expected number of uses of every piece."""
-        a = self.forward()
-        b = np.full_like(a, NONE)
-        b[-1] = self.p.stop_log
-        total = a[-1] + self.p.stop_log
-        for j in range(self.size - 1, -1, -1):
-            terms = [self.byte_log[:, j] + b[j + 1]] + [self._arc(j, k) + b[j + k] for k in range(1, min(len(self.on), self.size - j) + 1)]
-            b[j] = np.logaddexp.reduce(np.stack(terms), axis=0)
-            for k in range(1, len(terms)):
-                at = self.on[k - 1][:, j]
-                hit = at >= 0
-                np.add.at(on, at[hit], np.exp((a[j] + terms[k] - total)[hit]))
-            use = np.exp(a[j] + terms[0] - total)
-            by_char = np.bincount(self.back[:, j], weights=use, minlength=len(self.raw))
-            for c in np.flatnonzero(by_char > 1e-12).tolist():
-                np.add.at(of_bytes, self.raw[c], by_char[c])
-        for i, at in enumerate(self.first):
-            hit = at >= 0
-            np.add.at(first, at[hit], np.exp((self.p.first_log[np.maximum(at, 0)] + b[i] - total)[hit]))
-
 
 def lattices(words: list[str], p: Pieces, cells: int = 1 << 19) -> Iterator[tuple[list[int], Lattice]]:
     """Lattices of the words by length, and which words they hold."""
@@ -190,29 +166,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text", "train").mapInArrow(run, "word binary, train long, total long").groupBy("word").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
 
 
-def fit_pieces(words: DataFrame, p: Pieces) -> Pieces:
-    """Weights from the expected counts over the distinct training words; what reaches the driver is as large as the vocabulary."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, on, of_bytes, n = np.zeros(len(p.first)), np.zeros(len(p.on)), np.zeros(256), 0
-        for batch in batches:
-            some = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            n += len(some)
-            for _, lattice in lattices(some, p):
-                lattice.expect(first, on, of_bytes)
-        every = np.concatenate([[n], first, on, of_bytes])
-        at = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(every[at])], names=["k", "x"])
-
-    got = words.where("train > 0").select("word").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).toPandas()
-    every = np.zeros(1 + len(p.first) + len(p.on) + 256)
-    every[got["k"].to_numpy()] = got["x"].to_numpy()
-    n, first, on, of_bytes = every[0], every[1 : 1 + len(p.first)], every[1 + len(p.first) : -256], every[-256:]
-    first = first + PRIOR * np.exp(p.first_log)
-    on, of_bytes, stop = on + PRIOR * np.exp(p.on_log), of_bytes + PRIOR * np.exp(p.bytes_log), n + PRIOR * np.exp(p.stop_log)
-    total = on.sum() + of_bytes.sum() + stop
-    return Pieces(p.first, np.log(first / first.sum()), p.on, np.log(on / total), np.log(of_bytes / total), float(np.log(stop / total)), p.longest)
-
-
 def score(docs: DataFrame, path: str, folder: str, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -226,8 +179,6 @@ def score(docs: DataFrame, path: str, folder: str, head_words: int = HEAD_WORDS)
     totals = words.agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v")).first()
     n, v = (totals["n"] or 0) + ends, (totals["v"] or 0) + (ends > 0)
     pieces = load(path)
-    for _ in range(PASSES):
-        pieces = fit_pieces(words, pieces)
     room = DISCOUNT * v / n if n else 0.5
     end_base = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1))))
     end_score = float(np.log10((ends - DISCOUNT) / n if ends else 0.5))
