@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from storelens.functions.html import clean
 from storelens.functions.text import search_normalize, text_list
 from storelens.functions.urls import first_capture, host, product_url_key
+from storelens.operators.containment import contained
 
 JOINER = " · "
 # Source fields copied into the specifications.
@@ -402,13 +403,18 @@ def find_by_words(df: DataFrame, term: str, in_stock_only: bool = True, include_
     return df.filter(all_of(cond))
 
 
-def out_of_stock_hits(cards: DataFrame, queries: list[str], n: int = 8, ascii_only: bool = False) -> DataFrame:
-    """FLT-09: per requested query the first sold-out products whose text holds every term."""
-    text = cards.filter(~c("hidden") & (c("stock_status") == "outofstock")).select("id", "title", card_text(ascii_only).alias("_t"))
-    terms = {q: [t for t in q.split() if len(t) >= 2] for q in queries}
-    hits = F.array_compact(F.array(*[F.when(all_of([c("_t").contains(t) for t in ts]), F.lit(q)) for q, ts in terms.items() if ts]))
+def out_of_stock_hits(cards: DataFrame, queries: DataFrame, n: int = 8, ascii_only: bool = False) -> DataFrame:
+    """FLT-09: per query (column query) the first ``n`` sold-out products whose text holds every term of two letters or more.
+
+    Products are met on the query's longest term, the others are tested on them; queries without such a term find nothing.
+    """
+    text = cards.filter(~c("hidden") & (c("stock_status") == "outofstock")).select(c("id").alias("product_id"), "title", card_text(ascii_only).alias("text"))
+    terms = F.filter(F.split("query", "\\s+"), lambda t: F.length(t) >= 2)
+    longest = F.reduce(terms, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    asked = queries.select("query").distinct().select("query", terms.alias("_terms"), longest.alias("asked")).filter("asked <> ''")
+    near = asked.join(contained(asked, text), "asked").join(text, "product_id").filter(F.forall("_terms", lambda t: F.contains("text", t)))
     w = Window.partitionBy("query").orderBy("id")
-    return text.withColumn("query", F.explode(hits)).withColumn("rank", F.row_number().over(w)).filter(c("rank") <= n).drop("_t")
+    return near.select(c("product_id").alias("id"), "title", "query").withColumn("rank", F.row_number().over(w)).filter(c("rank") <= n)
 
 
 # ---- conversations -------------------------------------------------------------------------------------------

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from storelens.functions.text import (PRICE_CLAUSE, apply_spelling, article_prefixed, inflections, keyboard_layout,
                                       prefix_stems, search_normalize, swap_typo, tokens)
 from storelens.operators.catalog import EMPTY, sellable
+from storelens.operators.containment import contained, words_holding
 from storelens.operators.ranks import global_rank, rank_bucket
-from storelens.session import cut
+from storelens.session import cut, written
 
 c = F.col
 # Words that say nothing about a product.
@@ -450,32 +451,79 @@ def autocomplete(prefixes: DataFrame, products: DataFrame, n: int = 8, ascii_onl
     return hits.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= n)
 
 
-def lexical_score(products: DataFrame, requests: list[dict], ascii_only: bool = False) -> DataFrame:
+def lexical_score(products: DataFrame, requests: DataFrame, n: int | None = None, ascii_only: bool = False) -> DataFrame:
     """SCH-12: (query, product_id, score > 0): 4 per shared tag, 4 per shared category, 3 per term contained in the text.
 
-    Requests are {query, tags, categories, terms}; each product is read once for all of them.
+    ``requests`` is (query, tags, categories, terms), one row per query; null lists are empty, blank terms hold nowhere.
+    Tags, categories and terms are features that requests and products meet on, so only products with a hit make rows.
+    With ``n`` the best rows of a query, ties by id.
     """
     text = search_normalize(F.concat_ws(" ", "title", "description", F.array_join(F.map_values("specifications"), " ")), ascii_only)
-    p = products.filter(sellable()).select(c("id").alias("product_id"), "tags", "categories", text.alias("_t"))
-    lits = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else EMPTY()
+    p = products.filter(sellable()).select(c("id").alias("product_id"), "tags", "categories", text.alias("text"))
+    keyed = lambda kind, keys, w: F.transform(F.coalesce(keys, EMPTY()), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key"), F.lit(w).alias("w")))
+    want = requests.select("query", F.explode(F.concat(keyed("tag", F.array_distinct("tags"), 4), keyed("category", F.array_distinct("categories"), 4), keyed("term", c("terms"), 3))).alias("f"))
+    want = want.select("query", "f.*").groupBy("query", "kind", "key").agg(F.sum("w").alias("w"))
+    held = contained(want.filter("kind = 'term'").select(c("key").alias("asked")), p.select("product_id", "text")).select(
+        F.lit("term").alias("kind"), c("asked").alias("key"), "product_id")
+    for kind, column in (("tag", "tags"), ("category", "categories")):
+        held = held.unionByName(p.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(column)).alias("key"), "product_id"))
+    rows = want.join(held, ["kind", "key"]).groupBy("query", "product_id").agg(F.sum("w").cast("int").alias("score"))
+    if n is None:
+        return rows
+    w = Window.partitionBy("query").orderBy(c("score").desc(), "product_id")
+    return rows.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= n)
+
 
-    def score(r):
-        terms = sum([F.when(c("_t").contains(t), 3).otherwise(0) for t in r.get("terms", [])], F.lit(0))
-        return F.size(F.array_intersect("tags", lits(r.get("tags")))) * 4 + F.size(F.array_intersect("categories", lits(r.get("categories")))) * 4 + terms
+BLOCK_PRODUCTS = 1 << 16
 
-    rows = p.select("product_id", F.inline(F.array(*[F.struct(F.lit(r["query"]).alias("query"), score(r).alias("score")) for r in requests])))
-    return rows.filter("score > 0")
 
+def score_postings(products: DataFrame, ascii_only: bool = False, block_products: int = BLOCK_PRODUCTS) -> DataFrame:
+    """SCH-13, index: (term, product_id, block, weight) of sellable products, as a table in the shared folder.
 
-def closest_score(products: DataFrame, queries: list[str], n: int = 100, ascii_only: bool = False) -> DataFrame:
-    """SCH-13: the ``n`` closest products per query: 4 per term in the title, 1 per term in the rest."""
+    A word weighs 4 in the title, 1 in the rest, 5 in both; the empty term stands for the product itself. Blocks are
+    ranges of ids of about ``block_products`` products.
+    """
     title = search_normalize(c("title"), ascii_only)
     rest = search_normalize(F.concat_ws(" ", "description", F.array_join("categories", " "), F.array_join(F.map_values("specifications"), " ")), ascii_only)
-    p = products.filter(sellable()).select(c("id").alias("product_id"), title.alias("_t"), rest.alias("_r"))
-    score = lambda q: sum([F.when(c("_t").contains(t), 4).otherwise(0) + F.when(c("_r").contains(t), 1).otherwise(0) for t in q.split()], F.lit(0))
-    rows = p.select("product_id", F.inline(F.array(*[F.struct(F.lit(q).alias("query"), score(q).alias("score")) for q in queries])))
-    w = Window.partitionBy("query").orderBy(c("score").desc(), "product_id")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= n)
+    p = products.filter(sellable()).select(c("id").alias("product_id"), F.split(title, " ").alias("_t"), F.split(rest, " ").alias("_r"))
+    blocks = max(1, -(-p.count() // block_products))
+    placed = p.repartitionByRange(blocks, "product_id").withColumn("block", F.spark_partition_id())
+    words = F.array_distinct(F.concat(F.array(F.lit("")), F.coalesce("_t", EMPTY()), F.coalesce("_r", EMPTY())))
+    has = lambda col, w: F.coalesce(F.array_contains(c(col), w), F.lit(False)).cast("int")
+    return written(placed.select("product_id", "block", F.inline(F.transform(words, lambda w: F.struct(
+        w.alias("term"), (has("_t", w) * 4 + has("_r", w)).alias("weight"))))))
+
+
+def closest_score(products: DataFrame | None, queries: DataFrame, n: int = 100, ascii_only: bool = False, postings: DataFrame | None = None) -> DataFrame:
+    """SCH-13: the ``n`` closest products per query (column query): 4 per term in the title, 1 per term in the rest.
+
+    Ties go to the smaller id; a query with fewer hits is filled up with the first products, at score 0. ``postings``
+    is a stored index (``score_postings``). A block's best weights of a query's terms bound the scores inside it: each
+    query reads the block of the highest bound (ties: the first) and then only blocks that can still reach its n-th row.
+    """
+    posts = score_postings(products, ascii_only) if postings is None else postings
+    asked = queries.select("query").distinct()
+    terms = asked.select("query", F.explode(F.filter(F.split("query", "\\s+"), lambda t: t != "")).alias("asked")).groupBy("query", "asked").agg(F.count("*").alias("k"))
+    # title and rest are told apart, as different words may hold a term in each
+    holds = words_holding(terms, posts.select("term")).join(posts, "term").groupBy("asked", "block", "product_id").agg(
+        (F.max((c("weight") >= 4).cast("int")) * 4 + F.max(c("weight") % 4)).alias("weight"))
+    holds = written(holds)
+    first_ids = posts.filter("term = ''").groupBy("block").agg(F.min("product_id").alias("first_id"))
+    most = holds.groupBy("asked", "block").agg(F.max("weight").alias("weight"))
+    bounds = written(terms.join(most, "asked").groupBy("query", "block").agg(F.sum(c("k") * c("weight")).alias("bound")).join(first_ids, "block"))
+    order = Window.partitionBy("query").orderBy(c("score").desc(), "product_id")
+
+    def best(blocks: DataFrame) -> DataFrame:
+        rows = blocks.select("query", "block").join(terms, "query").join(holds, ["asked", "block"]).groupBy("query", "product_id").agg(F.sum(c("k") * c("weight")).alias("score"))
+        return rows.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= n)
+
+    leading = bounds.groupBy("query").agg(F.min_by("block", F.struct(-c("bound"), c("block"))).alias("block"))
+    floor = best(leading).filter(c("rank") == n).select("query", c("score").alias("_s"), c("product_id").alias("_id"))
+    able = bounds.join(floor, "query", "left").filter(c("_s").isNull() | (c("bound") > c("_s")) | ((c("bound") == c("_s")) & (c("first_id") <= c("_id"))))
+    heads = posts.filter("term = ''").select("product_id").distinct().orderBy("product_id").limit(n)
+    fill = asked.withColumn("product_id", F.explode(heads.agg(F.collect_list("product_id")).scalar())).withColumn("score", F.lit(0).cast("bigint"))
+    rows = best(able).drop("rank").unionByName(fill).groupBy("query", "product_id").agg(F.max("score").cast("int").alias("score"))
+    return rows.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= n)
 
 
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 1024

@@ -328,7 +328,15 @@ def find_by_words(spark, sf):
     select id, unnest(list_filter([case when contains(hay, 'red') and contains(hay, 'promo') then 'red promo' end, case when contains(hay, 'ring') then 'x ring' end], lambda x: x is not null)) as query
     from (select *, lower(title || ' ' || description || ' ' || array_to_string(categories, ' ')) as hay from product where not hidden and stock_status = 'outofstock'))) where rank <= 8""", "product"))
 def out_of_stock_hits(spark, sf):
-    return G.out_of_stock_hits(P(spark, sf), ["red promo", "x ring", "y"]).select("query", "id", "rank")
+    return G.out_of_stock_hits(P(spark, sf), spark.createDataFrame([("red promo",), ("x ring",), ("y",)], "query string")).select("query", "id", "rank")
+
+
+@query("flt_09_sold_out_titles", sql("""select query, id, rank from (select query, id, row_number() over (partition by query order by id) as rank from (select distinct lower(title) as query from product) join
+    (select id, lower(title || ' ' || replace(description, ',', ' ') || ' ' || array_to_string(categories, ' ') || ' ' || array_to_string(tags, ' ') || ' ' || size || ' ' || brand) as hay from product where not hidden and stock_status = 'outofstock')
+    on len(list_filter(string_split(query, ' '), lambda t: len(t) >= 2 and not contains(hay, t))) = 0) where rank <= 8""", "product"))
+def sold_out_titles(spark, sf):
+    products = P(spark, sf)
+    return G.out_of_stock_hits(products, products.select(F.lower("title").alias("query"))).select("query", "id", "rank")
 
 
 # ---- summaries ----

@@ -238,13 +238,23 @@ HAY = "lower(title || ' ' || replace(description, ',', ' ') || ' ' || size || '
 @query("sch_12_lexical_score", sql(f"""select * from (select 'big red' as query, id as product_id, cast(4 * list_contains(tags, 'large')::int + 4 * (p_type = 'PROMO')::int + 3 * contains(h, 'red')::int + 3 * contains(h, 'size 4')::int as integer) as score from (select *, regexp_replace({HAY}, ' +', ' ', 'g') as h from product s where {OK}) union all
     select 'ring', id, 3 * contains(h, 'ring')::int + 3 * contains(h, 'type econ')::int from (select *, regexp_replace({HAY}, ' +', ' ', 'g') as h from product s where {OK})) where score > 0""", "product"))
 def lexical_score(spark, sf):
-    return S.lexical_score(P(spark, sf), REQUESTS)
+    rows = [(r["query"], r.get("tags"), r.get("categories"), r["terms"]) for r in REQUESTS]
+    return S.lexical_score(P(spark, sf), spark.createDataFrame(rows, "query string, tags array<string>, categories array<string>, terms array<string>"))
 
 
 @query("sch_13_closest_score", sql(f"""select query, product_id, score, rank from (select *, row_number() over (partition by query order by score desc, product_id) as rank from (
     select q as query, id as product_id, cast(list_sum(list_transform(string_split(q, ' '), lambda t: 4 * contains(lower(title), t)::int + contains(h, t)::int)) as integer) as score from (select *, lower(description || ' ' || array_to_string(categories, ' ') || ' ' || size || ' ' || brand) as h from product s where {OK}), (select unnest(['red ring large', 'promo cog']) as q))) where rank <= 100""", "product"))
 def closest_score(spark, sf):
-    return S.closest_score(P(spark, sf), ["red ring large", "promo cog"])
+    return S.closest_score(P(spark, sf), spark.createDataFrame([("red ring large",), ("promo cog",)], "query string"))
+
+
+@query("sch_13_closest_to_titles", sql(f"""select query, product_id, score, rank from (select *, row_number() over (partition by query order by score desc, product_id) as rank from (
+    select q as query, id as product_id, cast(list_sum(list_transform(string_split(q, ' '), lambda t: 4 * contains(lower(title), t)::int + contains(h, t)::int)) as integer) as score from (select *, lower(description || ' ' || array_to_string(categories, ' ') || ' ' || size || ' ' || brand) as h from product s where {OK}), (select distinct lower(title) || ' promo' as q from product))) where rank <= 10""", "product"))
+def closest_to_titles(spark, sf):
+    """Every title of the catalog as a query, against a catalog stored in blocks of 500 products."""
+    products = P(spark, sf)
+    asked = products.select(F.concat(F.lower("title"), F.lit(" promo")).alias("query"))
+    return S.closest_score(None, asked, 10, postings=S.score_postings(products, block_products=500))
 
 
 def vector_results(spark, sf, k):
