@@ -8,6 +8,7 @@ from storelens.functions.numbers import ratio
 from storelens.functions.text import DROPPED, query_key, squash
 from storelens.functions.urls import decoded, path_key, url_tail
 from storelens.operators.attribution import WINDOWS
+from storelens.operators.containment import contained
 from storelens.operators.funnel import Events
 
 STATUS_ORDER = {"lost": 0, "partial": 1, "kept": 2}
@@ -274,32 +275,43 @@ def clicked_products(clicks: DataFrame, products: DataFrame, words: list[str]) -
         F.count("*").alias("clicks"))
 
 
-def searches_per_day(searches: DataFrame, queries: list[str]) -> DataFrame:
-    """CLS-05, days: searches per UTC day of the requested queries."""
-    return searches.filter(F.col("q").isin(*queries)).groupBy(
+def _of(rows: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """Rows of the requested queries (column query)."""
+    return rows.join(queries.select(F.col("query").alias(key)).distinct(), key, "left_semi")
+
+
+def searches_per_day(searches: DataFrame, queries: DataFrame) -> DataFrame:
+    """CLS-05, days: searches per UTC day of the requested queries (column query)."""
+    return _of(searches, queries, "q").groupBy(
         F.col("q").alias("query"), F.date_format("t", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("searches"))
 
 
-def results_shown(searches: DataFrame, queries: list[str], n: int = 3) -> DataFrame:
-    """CLS-05, lists: the result lists (first five names) shown most often per requested query."""
-    lists = searches.filter(F.col("q").isin(*queries) & (F.size("names") > 0)).groupBy(
+def results_shown(searches: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
+    """CLS-05, lists: the result lists (first five names) shown most often per requested query (column query)."""
+    lists = _of(searches.filter(F.size("names") > 0), queries, "q").groupBy(
         F.col("q").alias("query"), F.slice("names", 1, 5).alias("names")).agg(F.count("*").alias("searches"))
     w = Window.partitionBy("query").orderBy(F.col("searches").desc(), "names")
     return lists.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def related_queries(rows: DataFrame, queries: list[str], n: int = 8) -> DataFrame:
-    """CLS-05, related: queries containing or contained in a requested one, most searched first."""
-    asked = F.array(*[F.lit(q) for q in queries])
-    mine = F.filter(asked, lambda q: (q != F.col("query")) & (F.contains(F.col("query"), q) | F.contains(q, F.col("query"))))
-    hits = rows.select("query", "searches", F.explode(mine).alias("asked"))
+def related_queries(rows: DataFrame, queries: DataFrame, n: int = 8) -> DataFrame:
+    """CLS-05, related: queries containing or contained in a requested one (column query), most searched first.
+
+    ``rows`` is (query, searches), one row per query. Both directions are equi-joins (``contained``); blank queries relate to none.
+    """
+    asked = queries.select(F.col("query").alias("asked")).distinct()
+    own = rows.select(F.col("query").alias("product_id"), F.col("query").alias("text"))
+    longer = contained(asked, own).select("asked", F.col("product_id").alias("query"))
+    shorter = contained(rows.select(F.col("query").alias("asked")), asked.select(F.col("asked").alias("product_id"), F.col("asked").alias("text"))).select(
+        F.col("product_id").alias("asked"), F.col("asked").alias("query"))
+    hits = longer.unionByName(shorter).filter("asked <> query").distinct().join(rows.select("query", "searches"), "query")
     w = Window.partitionBy("asked").orderBy(F.col("searches").desc(), "query")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def gap_share(tallies: DataFrame, products: DataFrame, queries: list[str], n: int = 15) -> DataFrame:
-    """CLS-05, gap: share of the chosen products' clicks and carts that cannot be bought now."""
-    top = top_per_query(tallies.filter(F.col("query").isin(*queries)), n)
+def gap_share(tallies: DataFrame, products: DataFrame, queries: DataFrame, n: int = 15) -> DataFrame:
+    """CLS-05, gap: share of the chosen products' clicks and carts that cannot be bought now, per requested query (column query)."""
+    top = top_per_query(_of(tallies, queries, "query"), n)
     m = match_catalog(top, products)
     w = F.col("clicks") + F.col("carts")
     ok = F.coalesce("product.available", F.lit(False))

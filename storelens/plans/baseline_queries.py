@@ -216,27 +216,38 @@ ASKED = ["q1", "q12", "q7"]
 IN = "('q1', 'q12', 'q7')"
 
 
+def asked(spark):
+    return spark.createDataFrame([(q,) for q in ASKED], "query string")
+
+
 @query("cls_05_query_evidence", sql(f"""select query, floor(sum(clicks + carts) filter (not available) / sum(clicks + carts) * 100 + 0.5) / 100 as gap_share, count(*) as products
     from (select *, row_number() over (partition by query order by purchases desc, carts desc, clicks desc, key) as rank from matched where query in {IN}) where rank <= 15 group by 1""", "matched"))
 def query_evidence(spark, sf):
-    return B.gap_share(tallies(spark, sf), D.products(spark, sf), ASKED)
+    return B.gap_share(tallies(spark, sf), D.products(spark, sf), asked(spark))
 
 
 @query("cls_05_searches_per_day", sql(f"select q as query, strftime(t, '%Y-%m-%d') as day, count(*) as searches from search where q in {IN} group by 1, 2", "search"))
 def searches_per_day(spark, sf):
-    return B.searches_per_day(D.searches(spark, sf), ASKED)
+    return B.searches_per_day(D.searches(spark, sf), asked(spark))
 
 
 @query("cls_05_results_shown", sql(f"""select query, array_to_string(lst, '|') as names, searches, rank from (select *, row_number() over (partition by query order by searches desc, lst) as rank from (
     select q as query, names[1:5] as lst, count(*) as searches from search where q in {IN} and len(names) > 0 group by 1, 2)) where rank <= 3""", "search"))
 def results_shown(spark, sf):
-    return B.results_shown(D.searches(spark, sf), ASKED).withColumn("names", F.array_join("names", "|"))
+    return B.results_shown(D.searches(spark, sf), asked(spark)).withColumn("names", F.array_join("names", "|"))
 
 
 @query("cls_05_related_queries", sql(f"""select * from (select f.query, f.searches, a.asked, row_number() over (partition by a.asked order by f.searches desc, f.query) as rank
     from funnel f, (select unnest(['q1', 'q12', 'q7']) as asked) a where f.query <> a.asked and (contains(f.query, a.asked) or contains(a.asked, f.query))) where rank <= 8""", "funnel"))
 def related_queries(spark, sf):
-    return B.related_queries(D.report(spark, sf).rows, ASKED).select("query", "searches", "asked", "rank")
+    return B.related_queries(D.report(spark, sf).rows, asked(spark)).select("query", "searches", "asked", "rank")
+
+
+@query("cls_05_related_to_every_query", sql("""select * from (select f.query, f.searches, a.query as asked, row_number() over (partition by a.query order by f.searches desc, f.query) as rank
+    from funnel f, funnel a where f.query <> a.query and (contains(f.query, a.query) or contains(a.query, f.query))) where rank <= 8""", "funnel"))
+def related_to_every_query(spark, sf):
+    rows = D.report(spark, sf).rows
+    return B.related_queries(rows, rows).select("query", "searches", "asked", "rank")
 
 
 CTES["audit"] = ("""select l.*, row_number() over (partition by no order by by_ desc, query) as round from (
