@@ -22,7 +22,8 @@ def catalog_keys(products: DataFrame, order: str = "id") -> DataFrame:
     has = lambda c: F.col(c).cast("string") if c in products.columns else F.lit(None).cast("string")
     pid = has("id")
     keys = [pid, F.when(pid != "", F.concat(F.lit("woo_product_"), pid)), F.nullif(F.regexp_extract(pid, "/(\\d+)$", 1), F.lit("")),
-            has("numeric_id"), has("sku"), has("slug"), decoded(has("handle")), url_tail(has("url")), url_tail(has("permalink"))]
+            has("numeric_id"), has("sku"), has("slug"), decoded(has("handle")), url_tail(has("url")), url_tail(has("permalink")),
+            has("ItemID"), has("Makat")]
     stock = F.col("stock_status")
     card = F.struct(pid.alias("id"), F.coalesce(has("name"), has("title"), F.lit("")).alias("name"),
                     (~F.col("hidden") & F.coalesce(stock == "instock", F.lit(False))).alias("available"),
@@ -40,7 +41,7 @@ def match_catalog(refs: DataFrame, products: DataFrame, order: str = "id") -> Da
 
     Keys are tried in the order id, trailing number of a global id, id without
     platform prefix, url tail, name. Distinct references are matched, not events,
-    so a product holding most events costs one row.
+    so a product holding most events costs one row. Any of the three may be null.
     """
     distinct = refs.select("pid", "name", "url").distinct()
     pid = F.lower(F.trim("pid"))
@@ -53,7 +54,10 @@ def match_catalog(refs: DataFrame, products: DataFrame, order: str = "id") -> Da
     asked = distinct.select("pid", "name", "url", F.posexplode(tried).alias("rank", "key")).filter("key is not null")
     found = asked.join(catalog_keys(products, order), "key").groupBy("pid", "name", "url").agg(
         F.min_by("product", "rank").alias("product"))
-    return refs.join(found, ["pid", "name", "url"], "left")
+    parts = ["pid", "name", "url"]
+    found = found.select(*[F.col(p).alias(f"_{p}") for p in parts], "product")
+    same = [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in parts]
+    return refs.join(found, same, "left").select(*parts, *[x for x in refs.columns if x not in parts], "product")
 
 
 def last_segment(url: Column) -> Column:

@@ -214,13 +214,21 @@ def extract_by_spec(pages: DataFrame, spec: dict) -> DataFrame:
     return out.withColumn("key", product_key(c("url"), spec["product_url"]))
 
 
-def score_extraction(rows: DataFrame, cards: DataFrame, pages: int | None = None) -> DataFrame:
-    """AGG-43: fill rate per extracted field and agreement with the catalog's titles by key (one row)."""
-    j = rows.join(cards.select("key", c("title").alias("_title")), "key", "left")
-    a, b = search_normalize(c("_title")), search_normalize(c("name"))
+def score_extraction(rows: DataFrame, cards: DataFrame, pages: DataFrame | None = None, product_url: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """AGG-43: fill rate per extracted field and agreement with the catalog's titles by key (one row).
+
+    With ``pages`` (page_id, url; one row per page) all rates count every page, also those without an extracted row, and a page
+    meets its card by the key in its url (``product_url``); otherwise only extracted rows count. ``fields`` are further text columns to rate.
+    """
+    if pages is None:
+        every = rows.withColumn("_key", c("key"))
+    else:
+        every = pages.select("page_id", product_key(c("url"), product_url).alias("_key")).join(rows.drop("url"), "page_id", "left")
+    j = every.join(cards.select(c("key").alias("_key"), c("title").alias("_title")), "_key", "left")
+    a, b = search_normalize(c("_title")), search_normalize(F.coalesce("name", F.lit("")))
     rate = lambda cond: F.avg(F.when(F.coalesce(cond, F.lit(False)), 1.0).otherwise(0.0))
     return j.agg(F.count("*").alias("pages"), rate(c("name") != "").alias("name"), rate(c("price").isNotNull()).alias("price"),
-                 rate(c("availability") != "unknown").alias("stock"), rate(c("key").isNotNull()).alias("key"),
+                 rate(c("availability") != "unknown").alias("stock"), rate(c("key").isNotNull()).alias("key"), *[rate(c(f) != "").alias(f) for f in fields],
                  F.avg(F.when(c("_title").isNotNull(), F.contains(b, a).cast("double"))).alias("agreement"))
 
 

@@ -72,6 +72,14 @@ def score_extraction(spark, sf):
     return G.score_extraction(rows, D.products(spark, sf).select(c("id").alias("key"), "title"))
 
 
+@query("agg_43_over_all_pages", sql("""select count(*) as pages, avg(ok) as name, avg(ok) as price, avg(ok) as stock, avg(ok) as key, avg(ok) as author, avg(ok) as agreement
+    from (select case when p_partkey % 5 = 0 then 0.0::double else 1.0::double end as ok from product)""", "product"))
+def score_all_pages(spark, sf):
+    """Every fifth page of the shop has lost its content: it yields no row but counts."""
+    pages = ld_pages(spark, sf).withColumn("html", F.when(c("page_id") % 5 == 0, "<html><body></body></html>").otherwise(c("html")))
+    return G.score_extraction(G.extract_by_spec(pages, SPEC), D.products(spark, sf).select(c("id").alias("key"), "title"), pages, SPEC["product_url"], ("author",))
+
+
 @query("scr_06_page_links")
 def page_links(spark, sf):
     return G.page_links(parsed(spark, sf))

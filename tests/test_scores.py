@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from storelens.operators import catalog as G, search as S
+from storelens.operators import baseline as B, catalog as G, search as S
 from storelens.operators.containment import contained
 
 CARD = "id string, title string, description string, categories array<string>, tags array<string>, specifications map<string,string>, hidden boolean, stock_status string, price double, status string"
@@ -78,3 +78,21 @@ def test_out_of_stock_hits_of_a_query_table(spark):
         hits = [r[0] for r in rows if not r[6] and r[7] == "outofstock" and terms and all(t in " ".join([r[1], r[2], *r[3], *r[4], *r[5].values()]) for t in terms)]
         want += [(q, i, k + 1) for k, i in enumerate(sorted(hits)[:3])]
     assert sorted((g["query"], g["id"], g["rank"]) for g in got) == sorted(want)
+
+
+def test_item_numbers_are_catalog_keys(spark):
+    products = spark.createDataFrame([("1", "lamp", "A7 ", None), ("2", "desk", None, "m-3")], "id string, name string, ItemID string, Makat string").selectExpr(
+        "*", "null as url", "false as hidden", "'instock' as stock_status")
+    refs = spark.createDataFrame([("a7", None, None), ("M-3", None, None), ("zz", None, None)], "pid string, name string, url string")
+    got = {r["pid"]: r["product"] and r["product"]["id"] for r in B.match_catalog(refs, products).collect()}
+    assert got == {"a7": "1", "M-3": "2", "zz": None}
+
+
+def test_related_queries_equal_brute_force(spark):
+    r = random.Random(5)
+    rows = sorted({" ".join(r.choice(WORDS) for _ in range(r.randint(1, 3))) for _ in range(60)})
+    counts = {q: r.randint(1, 9) for q in rows}
+    asked = rows[::4] + ["re", "unseen ring"]
+    got = B.related_queries(spark.createDataFrame(list(counts.items()), "query string, searches long"), spark.createDataFrame([(q,) for q in asked], "query string"), 3).collect()
+    want = [(a, q, k + 1) for a in asked for k, q in enumerate(sorted((q for q in rows if q != a and (a in q or q in a)), key=lambda q: (-counts[q], q))[:3])]
+    assert sorted((g["asked"], g["query"], g["rank"]) for g in got) == sorted(want)
