@@ -261,4 +261,4 @@ def exclude_synthetic(spark, sf):
     ev = D.events(spark, sf)
     bad = C.suspected_synthetic(U.query_funnel(ev), ev.searches, min_sessions=100, share=0.1, click=0.01, cart=0.05)
     return C.exclude_synthetic(ev, bad).searches.groupBy("s").agg(F.count("*").alias("n")).agg(
-        F.count("s").alias("searched"), F.sum("n").alias("searches"))
+        F.count("s").alias("searched"), F.coalesce(F.sum("n"), F.lit(0)).alias("searches"))

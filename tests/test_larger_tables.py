@@ -39,5 +39,9 @@ def test_review_eligibility_without_real_queries(spark, folder):
     check(spark, "agg_33_review_eligibility", folder(events=ALL_SYNTHETIC))
 
 
+def test_exclude_synthetic_without_remaining_searches(spark, folder):
+    check(spark, "cls_03_exclude_synthetic", folder(events=ALL_SYNTHETIC))
+
+
 def test_verify_change_with_keys_beyond_100000(spark, folder):
     check(spark, "cat_17_verify_change", folder(part="select * from part union all select * replace (p_partkey + 100000 as p_partkey) from part"))
