@@ -9,7 +9,7 @@ from storelens.functions.text import (PRICE_CLAUSE, apply_spelling, article_pref
 from storelens.operators.catalog import EMPTY, sellable
 from storelens.operators.containment import contained, words_holding
 from storelens.operators.ranks import global_rank, rank_bucket
-from storelens.session import cut, written
+from storelens.session import cut, large, written
 
 c = F.col
 # Words that say nothing about a product.
@@ -134,7 +134,7 @@ def search_cards(products: DataFrame, ascii_only: bool = False) -> DataFrame:
 
 def identifier_hits(plans: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(query_id, product_id) of queries that are an identifier."""
-    return plans.select("query_id", c("norm").alias("key")).join(identifiers, "key").select("query_id", "product_id")
+    return plans.select("query_id", c("norm").alias("key")).join(large(identifiers), "key").select("query_id", "product_id")
 
 
 def _anchors(cards: DataFrame, words: str) -> DataFrame:
@@ -152,7 +152,7 @@ def match_exact(plans: DataFrame, cards: DataFrame, identifiers: DataFrame) -> D
     the joined product, so a common word never multiplies rows.
     """
     exact = identifier_hits(plans, identifiers)
-    by_id = exact.join(cards, "product_id").filter(sellable_struct()).select("query_id", "product_id")
+    by_id = exact.join(large(cards), "product_id").filter(sellable_struct()).select("query_id", "product_id")
     rest = plans.join(by_id.select("query_id").distinct(), "query_id", "left_anti")
     key = lambda p, col: F.transform(col, lambda x: F.concat(F.lit(p), x))
     kind = F.when(c("product_type").isNotNull(), F.array(F.concat(F.lit("p:"), "product_type"))).otherwise(EMPTY())
@@ -161,9 +161,9 @@ def match_exact(plans: DataFrame, cards: DataFrame, identifiers: DataFrame) -> D
     anchors = _anchors(cards, "words")
     sizes = anchors.join(wants.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
     driver = wants.join(sizes, "key", "left").groupBy("query_id").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), c("key"))).alias("key"))
-    pairs = driver.join(anchors, "key").select("query_id", "product_id")
+    pairs = driver.join(large(anchors), "key").select("query_id", "product_id")
     fits = F.forall("terms", lambda t: F.array_contains("p.words", t)) & filters_hold()
-    found = pairs.join(rest, "query_id").join(cards, "product_id").filter(fits).select("query_id", "product_id")
+    found = pairs.join(rest, "query_id").join(large(cards), "product_id").filter(fits).select("query_id", "product_id")
     return by_id.unionByName(found)
 
 
@@ -232,9 +232,9 @@ def _costed(wants: DataFrame, resolved: DataFrame, postings: DataFrame, cards: D
         F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.collect_list(F.when(c("target").isNotNull(), F.struct("target", "cost"))).alias("readings"))
     driver = per.groupBy("query_id").agg(F.min_by("readings", F.struct("n", "no")).alias("driver"), F.collect_list("readings").alias("needs"))
     pairs = driver.select("query_id", F.explode("driver").alias("d")).select("query_id", c("d.target").alias("term")).join(
-        postings, "term").select("query_id", "product_id").distinct()
+        large(postings), "term").select("query_id", "product_id").distinct()
     best = F.transform("needs", lambda rs: F.array_min(F.transform(F.filter(rs, lambda r: F.array_contains("p.tokens", r["target"])), lambda r: r["cost"])))
-    return pairs.join(driver.select("query_id", "needs"), "query_id").join(cards, "product_id").withColumn("_c", best).filter(
+    return pairs.join(driver.select("query_id", "needs"), "query_id").join(large(cards), "product_id").withColumn("_c", best).filter(
         F.forall("_c", lambda x: x.isNotNull())).join(plans.select("query_id", "norm", "terms", "scoped_rules", "product_type", "colors", "finishes", "tags", "max_price"), "query_id").filter(
         filters_hold()).withColumn("penalty", F.aggregate("_c", F.lit(0.0), lambda a, x: a + x))
 
@@ -284,9 +284,9 @@ def _phrase_only(plans: DataFrame, postings: DataFrame, cards: DataFrame, rules:
     mine = mine.withColumn("terms", F.transform("_r", lambda r: r["term"]))
     words = F.array_sort(F.split("_d.term", " "), lambda x, y: F.length(y) - F.length(x))
     linked = mine.select("query_id", F.explode("_d.ids").alias("product_id"))
-    holding = mine.filter("_d.open").select("query_id", words[0].alias("term")).join(postings, "term").select("query_id", "product_id")
+    holding = mine.filter("_d.open").select("query_id", words[0].alias("term")).join(large(postings), "term").select("query_id", "product_id")
     pairs = linked.unionByName(holding).distinct()
-    return pairs.join(mine.drop("_r", "_d"), "query_id").join(cards, "product_id").filter(filters_hold() & phrases_hold(rules)).withColumn("penalty", F.lit(0.0))
+    return pairs.join(mine.drop("_r", "_d"), "query_id").join(large(cards), "product_id").filter(filters_hold() & phrases_hold(rules)).withColumn("penalty", F.lit(0.0))
 
 
 def retrieve(plans: DataFrame, postings: DataFrame, cards: DataFrame, identifiers: DataFrame, n: int | None = None, rules: list[dict] | None = None) -> DataFrame:
@@ -297,7 +297,7 @@ def retrieve(plans: DataFrame, postings: DataFrame, cards: DataFrame, identifier
     their filters.
     """
     rules = rules or []
-    by_id = identifier_hits(plans, identifiers).join(cards, "product_id").filter(sellable_struct()).join(
+    by_id = identifier_hits(plans, identifiers).join(large(cards), "product_id").filter(sellable_struct()).join(
         plans.select("query_id", "norm", "terms"), "query_id").withColumn("penalty", F.lit(0.0))
     rest = plans.join(identifier_hits(plans, identifiers).select("query_id").distinct(), "query_id", "left_anti")
     wants = term_rows(rest)
@@ -308,7 +308,7 @@ def retrieve(plans: DataFrame, postings: DataFrame, cards: DataFrame, identifier
     phrased = F.size(F.array_intersect("scoped_rules", F.array(*[F.lit(r["id"]) for r in rules]).cast("array<string>"))) > 0
     key = F.coalesce(F.concat(F.lit("p:"), "product_type"), F.concat(F.lit("c:"), F.try_element_at("colors", F.lit(1))),
                      F.concat(F.lit("g:"), F.try_element_at("tags", F.lit(1))), F.concat(F.lit("f:"), F.try_element_at("finishes", F.lit(1))), F.lit("any"))
-    only = bare.filter(~phrased).withColumn("key", key).join(_anchors(cards, "words"), "key").join(cards, "product_id").filter(filters_hold()).withColumn("penalty", F.lit(0.0))
+    only = bare.filter(~phrased).withColumn("key", key).join(large(_anchors(cards, "words")), "key").join(large(cards), "product_id").filter(filters_hold()).withColumn("penalty", F.lit(0.0))
     cols = ["query_id", "product_id", "penalty", "terms", "norm", "p"]
     every = by_id.select(*cols).unionByName(found.select(*cols)).unionByName(only.select(*cols))
     if rules:
@@ -368,7 +368,7 @@ def explain_empty(plans: DataFrame, results: DataFrame, postings: DataFrame, res
     vocab = vocabulary(postings)
     hit = resolved.select("term").distinct().withColumn("_any", F.lit(1))
     rows = empty.select("query_id", "scoped_rules", F.size("terms").alias("_n"), F.posexplode_outer("terms").alias("no", "term")).join(
-        vocab, "term", "left").join(hit, "term", "left")
+        large(vocab), "term", "left").join(large(hit), "term", "left")
     per = rows.groupBy("query_id", "scoped_rules", "_n").agg(
         F.count_if(c("term").isNotNull() & c("_any").isNull()).alias("missing"), F.count("df").alias("present"),
         F.array_join(F.array_sort(F.collect_list(F.when(c("_any").isNull(), c("term")))), ",").alias("missing_terms"))
@@ -379,7 +379,7 @@ def explain_empty(plans: DataFrame, results: DataFrame, postings: DataFrame, res
 
 def scoped_alias_filter(results: DataFrame, plans: DataFrame, cards: DataFrame, rules: list[dict]) -> DataFrame:
     """SCH-09: results that satisfy every linked phrase of their query: linked products, or (mode add) the phrase in the text."""
-    j = results.join(plans.select("query_id", "scoped_rules"), "query_id").join(cards, "product_id")
+    j = results.join(plans.select("query_id", "scoped_rules"), "query_id").join(large(cards), "product_id")
     return j.filter(phrases_hold(rules)).select(*results.columns)
 
 
@@ -424,12 +424,12 @@ def repair_spelling(plans: DataFrame, products: DataFrame, ascii_only: bool = Fa
     j = cand.join(best, "term").withColumn("_apart", apart)
     clear = j.groupBy("term").agg(F.max(F.when(c("edits") == c("best_edits"), c("_apart"))).alias("m")).filter("m <= 1").select("term")
     meant = j.filter("_apart <= 1").join(clear, "term", "left_semi").select("term", "best", "best_edits", c("target").alias("compact"))
-    hits = meant.join(phrases.select("compact", "product_id").distinct(), "compact")
+    hits = meant.join(large(phrases.select("compact", "product_id").distinct()), "compact")
     out = asked.join(hits, "term").select("query_id", c("best").alias("compact"), c("best_edits").alias("edits"), "product_id").distinct()
     if cards is None:
         return out
     wants = plans.select("query_id", "product_type", "colors", "finishes", "tags", "max_price")
-    return out.join(wants, "query_id").join(cards, "product_id").filter(filters_hold()).select(*out.columns)
+    return out.join(wants, "query_id").join(large(cards), "product_id").filter(filters_hold()).select(*out.columns)
 
 
 # ---- prefixes, scores, vectors -------------------------------------------------------------------------------

@@ -54,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` as a join side that is never broadcast: a table of catalog, index or log size, whose compressed files
+    (and the sizes Spark guesses from them for what is derived) can look small enough for it."""
+    return df.hint("merge")
+
+
 def written(df: DataFrame, *by: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder, a folder per value of ``by``: later plans start from a scan of it."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
