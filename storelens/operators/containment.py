@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from storelens.session import large
+
 c = F.col
 GRAM = 3
 
@@ -24,13 +26,13 @@ def words_holding(asked: DataFrame, words: DataFrame) -> DataFrame:
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("term"))), lambda k: F.transform(
         F.sequence(F.lit(1), F.length("term") - k + 1), lambda i: F.substring("term", i, k))))
     have = words.select("term").distinct().filter("term <> ''").select("term", F.explode(F.array_distinct(pieces)).alias("gram"))
-    return want.join(have, "gram").filter(F.contains("term", "_run")).select("asked", "term")
+    return want.join(large(have), "gram").filter(F.contains("term", "_run")).select("asked", "term")
 
 
 def contained(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """(asked, product_id): the texts (product_id, text) that contain an asked term; terms of several words are verified on the text."""
     posts = texts.select("product_id", F.explode(F.array_distinct(_runs(c("text")))).alias("term"))
-    near = words_holding(asked, posts).join(posts, "term").select("asked", "product_id").distinct()
+    near = words_holding(asked, posts).join(large(posts), "term").select("asked", "product_id").distinct()
     several = c("asked").rlike("\\s")
-    verified = near.filter(several).join(texts, "product_id").filter(F.contains("text", "asked")).select("asked", "product_id").distinct()
+    verified = near.filter(several).join(large(texts), "product_id").filter(F.contains("text", "asked")).select("asked", "product_id").distinct()
     return near.filter(~several).unionByName(verified)

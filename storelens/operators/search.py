@@ -467,7 +467,7 @@ def lexical_score(products: DataFrame, requests: DataFrame, n: int | None = None
         F.lit("term").alias("kind"), c("asked").alias("key"), "product_id")
     for kind, column in (("tag", "tags"), ("category", "categories")):
         held = held.unionByName(p.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(column)).alias("key"), "product_id"))
-    rows = want.join(held, ["kind", "key"]).groupBy("query", "product_id").agg(F.sum("w").cast("int").alias("score"))
+    rows = want.join(large(held), ["kind", "key"]).groupBy("query", "product_id").agg(F.sum("w").cast("int").alias("score"))
     if n is None:
         return rows
     w = Window.partitionBy("query").orderBy(c("score").desc(), "product_id")
@@ -505,7 +505,7 @@ def closest_score(products: DataFrame | None, queries: DataFrame, n: int = 100,
     asked = queries.select("query").distinct()
     terms = asked.select("query", F.explode(F.filter(F.split("query", "\\s+"), lambda t: t != "")).alias("asked")).groupBy("query", "asked").agg(F.count("*").alias("k"))
     # title and rest are told apart, as different words may hold a term in each
-    holds = words_holding(terms, posts.select("term")).join(posts, "term").groupBy("asked", "block", "product_id").agg(
+    holds = words_holding(terms, posts.select("term")).join(large(posts), "term").groupBy("asked", "block", "product_id").agg(
         (F.max((c("weight") >= 4).cast("int")) * 4 + F.max(c("weight") % 4)).alias("weight"))
     holds = written(holds)
     first_ids = posts.filter("term = ''").groupBy("block").agg(F.min("product_id").alias("first_id"))
