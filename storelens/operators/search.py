@@ -446,7 +446,7 @@ def autocomplete(prefixes: DataFrame, products: DataFrame, n: int = 8, ascii_onl
         F.array().cast("array<struct<key:string,s:string>>"))))
     keys = products.filter(sellable()).select(c("id").alias("product_id"), F.inline(cut))
     asked = prefixes.select("prefix").distinct().filter(F.length("prefix") >= 2).withColumn("key", F.left("prefix", F.lit(key_length)))
-    hits = asked.join(keys, "key").filter(F.startswith("s", "prefix")).select("prefix", "product_id").distinct()
+    hits = asked.join(large(keys), "key").filter(F.startswith("s", "prefix")).select("prefix", "product_id").distinct()
     w = Window.partitionBy("prefix").orderBy("product_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= n)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions import text as T
 from storelens.operators import ranking as K, search as S
+from storelens.session import cut
 
 
 def lev(a, b):
@@ -159,3 +160,31 @@ def test_linked_phrases_identifiers_and_filters(spark):
     assert fixed == {"4", "5"} and {r["product_id"] for r in S.repair_spelling(plans.filter("query_id = 'typo'"), p, cards=cards).collect()} == {"5"}
     named = {(r["query_id"], r["product_id"]): r["variant"]["id"] for r in S.matched_variants(plans, p).collect()}
     assert named == {("gone", str(i)): f"w{i}" for i in range(1, 6)}
+
+
+def broadcast_columns(df):
+    """The columns of every side that a join of the plan broadcasts."""
+    out, todo = [], [df._jdf.queryExecution().sparkPlan()]
+    while todo:
+        node = todo.pop()
+        if "Broadcast" in node.nodeName() and "Join" in node.nodeName():
+            side = node.right() if "Right" in node.buildSide().toString() else node.left()
+            out.append(side.output().toString())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
+def test_catalog_tables_are_not_broadcast(spark, tmp_path):
+    products(spark, ["red ring", "red bolt", "cog ring"]).withColumn("specifications", F.create_map(F.lit("size"), F.lit("4"))).write.parquet(f"{tmp_path}/p")
+    p = spark.read.parquet(f"{tmp_path}/p")
+    rules = [{"id": "s", "term": "cog", "mode": "add", "product_ids": ["0"]}]
+    asked = spark.createDataFrame([("a", "red ring"), ("b", "cog"), ("c", "1")], "query_id string, query string")
+    plans = cut(S.plan_queries(asked, {"scoped": rules}))
+    found = S.retrieve(plans, S.build_postings(p), S.search_cards(p), S.build_identifiers(p), 5, rules)
+    requests = spark.createDataFrame([("q", ["x"], ["y"], ["red", "red ring"])], "query string, tags array<string>, categories array<string>, terms array<string>")
+    prefixes = spark.createDataFrame([("re",)], "prefix string")
+    results = found.join(asked, "query_id")
+    assert {(r["query_id"], r["product_id"]) for r in found.collect()} == {("a", "0"), ("b", "0"), ("b", "2"), ("c", "1")}
+    for df in (found, S.lexical_score(p, requests), S.autocomplete(prefixes, p), K.apply_ranking_rules(results, p, [{"id": "r", "field": "title", "values": ["cog"]}])):
+        assert not [x for x in broadcast_columns(df) if "product_id" in x]
