@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from storelens.functions.text import search_normalize, word_matches, words
 from storelens.operators.catalog import any_of, field_text, shown
 from storelens.operators.ranks import global_rank, rank_bucket
+from storelens.session import large
 
 c = F.col
 # Fields whose values are labels and match exactly.
@@ -64,7 +65,7 @@ def apply_ranking_rules(results: DataFrame, products: DataFrame, rules: list[dic
         "_q", F.filter(words(search_normalize(c("query"), ascii_only)), lambda w: F.length(w) > 1))
     for i, r in enumerate(rules):
         q = q.withColumn(f"_on{i}", rule_applies(c("_q"), r))
-    j = results.join(q.drop("query"), "query_id").join(p, "product_id").withColumn("_direct", covers(c("_q"), c("_tw")))
+    j = results.join(q.drop("query"), "query_id").join(large(p), "product_id").withColumn("_direct", covers(c("_q"), c("_tw")))
     score, touched = F.lit(0), F.lit(False)
     for i, r in enumerate(rules):
         hit = c(f"_on{i}") & c(f"_in{i}") & (F.lit(True) if r.get("match") == "any" else c("_direct"))
