@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.functions import html as H
+from storelens.functions.batches import map_parts
 from storelens.functions.text import audit_normalize, search_normalize, title_matches
 from storelens.functions.urls import bare_host, host, origin, product_key
 
@@ -55,6 +56,9 @@ PARSED = """page_id {id}, url string, title string, text string, body string, h1
     specs array<struct<key:string,value:string>>, products array<string>, blocks array<string>"""
 
 
+_dumps = json.JSONEncoder(ensure_ascii=False).encode
+
+
 def _sold(n: dict) -> bool:
     kinds = n.get("@type")
     kinds = kinds if isinstance(kinds, list) else [kinds]
@@ -74,50 +78,78 @@ def _nodes(v):
             stack += reversed(v)
 
 
+def _json_ld(scripts: list[H.Node]) -> Iterator:
+    """The readable documents of JSON-LD scripts."""
+    for s in scripts:
+        try:
+            yield json.loads("".join(p for p in s.parts if isinstance(p, str)))
+        except (ValueError, RecursionError):  # broken, or nested deeper than the reader goes
+            continue
+
+
+def _top(doc) -> list[dict]:
+    """The outer objects of a JSON-LD document."""
+    top = doc if isinstance(doc, list) else doc.get("@graph") or [doc] if isinstance(doc, dict) else []
+    return [b for b in top if isinstance(b, dict)]
+
+
+def _is_ld(n: H.Node) -> bool:
+    return n.tag == "script" and n.attrs.get("type") == "application/ld+json"
+
+
 def _facts(url: str, html: str) -> dict:
     """What the page operators need of one page."""
     root = H.parse(html)
+    by_tag = {t: [] for t in ("script", "tr", "dl", "body", "title", "h1", "input", "meta")}
+    links, itemtypes = [], []
+    stack = [(root, False, False)]
+    while stack:  # every element once, with what holds for all below it: outside the page's content, part of a menu
+        n, chrome, nav = stack.pop()
+        attrs = n.attrs
+        if attrs:
+            kind = attrs.get("class")
+            if kind:
+                chrome = chrome or bool(CHROME_CLASS.search(kind))
+                nav = nav or "menu" in kind
+            nav = nav or attrs.get("role") == "navigation"
+            if "itemtype" in attrs:
+                itemtypes.append(attrs["itemtype"])
+        chrome = chrome or n.tag in CHROME
+        nav = nav or n.tag == "nav" or n.tag == "header"
+        if n.tag == "a":
+            if "href" in attrs:
+                links.append({"href": attrs["href"], "text": n.text(), "title": attrs.get("title") or "", "chrome": chrome, "nav": nav})
+        elif n.tag in by_tag:
+            by_tag[n.tag].append(n)
+        stack += [(p, chrome, nav) for p in reversed(n.parts) if not isinstance(p, str)]
     blocks, products = [], []
-    for s in H.select(root, "script[type=application/ld+json]"):
-        try:
-            doc = json.loads("".join(p for p in s.parts if isinstance(p, str)))
-        except (ValueError, RecursionError):  # broken, or nested deeper than the reader goes
-            continue
-        top = doc if isinstance(doc, list) else doc.get("@graph") or [doc] if isinstance(doc, dict) else []
-        blocks += [json.dumps(b, ensure_ascii=False) for b in top if isinstance(b, dict)]
-        products += [json.dumps(n, ensure_ascii=False) for n in _nodes(doc) if _sold(n)]
-    links = []
-    for a in H.select(root, "a[href]"):
-        ups = list(a.up())
-        chrome = any(n.tag in CHROME or CHROME_CLASS.search(n.attrs.get("class") or "") for n in ups)
-        nav = any(n.tag in ("nav", "header") or "menu" in (n.attrs.get("class") or "") or n.attrs.get("role") == "navigation" for n in ups)
-        links.append({"href": a.attrs["href"], "text": a.text(), "title": a.attrs.get("title") or "", "chrome": chrome, "nav": nav})
+    for doc in _json_ld([s for s in by_tag["script"] if _is_ld(s)]):
+        blocks += [_dumps(b) for b in _top(doc)]
+        products += [_dumps(n) for n in _nodes(doc) if _sold(n)]
     specs = []
-    for tr in H.select(root, "tr"):
+    for tr in by_tag["tr"]:
         cells = [x.text() for x in tr.parts if isinstance(x, H.Node) and x.tag in ("th", "td")]
         if len(cells) == 2 and all(cells):
             specs.append({"key": cells[0], "value": cells[1]})
-    for dl in H.select(root, "dl"):
+    for dl in by_tag["dl"]:
         items = [x for x in dl.parts if isinstance(x, H.Node)]
-        specs += [{"key": a.text(), "value": b.text()} for a, b in zip(items, items[1:]) if a.tag == "dt" and b.tag == "dd" and a.text() and b.text()]
-    body = (H.select(root, "body") or [root])[0]
-    return {"url": url, "title": " ".join(n.text() for n in H.select(root, "title")), "text": root.text(), "body": body.text(),
-            "h1": [n.text() for n in H.select(root, "h1")], "inputs": " ".join(n.attrs.get("value", "") for n in H.select(root, "input")),
-            "links": links, "metas": [{"name": n.attrs.get("property") or n.attrs.get("name") or "", "content": n.attrs.get("content", "")} for n in H.select(root, "meta")],
-            "itemtypes": [n.attrs["itemtype"] for n in H.select(root, "[itemtype]")], "specs": specs, "products": products, "blocks": blocks}
+        for a, b in zip(items, items[1:]):
+            key, value = (a.text(), b.text()) if a.tag == "dt" and b.tag == "dd" else ("", "")
+            if key and value:
+                specs.append({"key": key, "value": value})
+    body = by_tag["body"][0] if by_tag["body"] else root
+    return {"url": url, "title": " ".join(n.text() for n in by_tag["title"]), "text": root.text(), "body": body.text(),
+            "h1": [n.text() for n in by_tag["h1"]], "inputs": " ".join(n.attrs.get("value", "") for n in by_tag["input"]),
+            "links": links, "metas": [{"name": n.attrs.get("property") or n.attrs.get("name") or "", "content": n.attrs.get("content", "")} for n in by_tag["meta"]],
+            "itemtypes": itemtypes, "specs": specs, "products": products, "blocks": blocks}
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """One row per page (page_id, url, html) with its text, links, tables, meta tags and JSON-LD."""
-    def run(batches):
-        for pdf in batches:
-            rows = [{"page_id": p, **_facts(u, h or "")} for p, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"])]
-            yield pd.DataFrame(rows, columns=NAMES)
+    def run(ids, urls, htmls):
+        return [{"page_id": p, **_facts(u, h or "")} for p, u, h in zip(ids, urls, htmls)]
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, PARSED.format(id=pages.schema["page_id"].dataType.simpleString()))
-
-
-NAMES = ["page_id", "url", "title", "text", "body", "h1", "inputs", "links", "metas", "itemtypes", "specs", "products", "blocks"]
+    return map_parts(pages.select("page_id", "url", "html"), run, PARSED.format(id=pages.schema["page_id"].dataType.simpleString()))
 
 
 def visible_text(parsed: DataFrame) -> DataFrame:
@@ -179,30 +211,28 @@ def extract_by_spec(pages: DataFrame, spec: dict) -> DataFrame:
             return str(v.get("name") or v.get("url") or v.get("@id") or "")
         return "" if v is None else str(v)
 
-    def one(url, html):
-        facts, root = _facts(url, html), None
-        blocks = [json.loads(b) for b in facts["blocks"]]
+    def one(html):
+        root = H.parse(html)
+        nodes = list(root.walk())
+        blocks = [b for doc in _json_ld([n for n in nodes if _is_ld(n)]) for b in _top(doc)]
         product = next((b for b in blocks if b.get("offers") or b.get("sku")), blocks[0] if blocks else None)
         out = {}
         for name, f in fields.items():
             v = flat(pick(product, f["jsonld"])).strip() if f.get("jsonld") and product else ""
             if not v and f.get("selector"):
-                root = root or H.parse(html)
-                hit = H.select(root, f["selector"])
-                v = (hit[0].attrs.get(f["attr"], "") if f.get("attr") else hit[0].text()).strip() if hit else ""
+                hit = next((n for n in nodes if any(H.matches(n, s) for s in f["selector"].split(","))), None)
+                v = (hit.attrs.get(f["attr"], "") if f.get("attr") else hit.text()).strip() if hit else ""
             if v and f.get("pattern"):
                 m = re.search(f["pattern"], v, re.I)
                 v = (m[1] if m.groups() else m[0]).strip() if m else ""
             out[name] = v
         return out
 
-    def run(batches):
-        for pdf in batches:
-            rows = [one(u, h or "") for u, h in zip(pdf["url"], pdf["html"])]
-            yield pd.concat([pdf[["page_id", "url"]].reset_index(drop=True), pd.DataFrame(rows, columns=list(fields))], axis=1)
+    def run(ids, urls, htmls):
+        return [{"page_id": p, "url": u, **one(h or "")} for p, u, h in zip(ids, urls, htmls)]
 
     types = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, " + ", ".join(f"`{n}` string" for n in fields)
-    out = pages.select("page_id", "url", "html").mapInPandas(run, types).filter("name <> ''")
+    out = map_parts(pages.select("page_id", "url", "html"), run, types).filter("name <> ''")
     if "availability" in fields:
         stock = fields["availability"].get("instock", "instock|in stock|במלאי")
         a = c("availability")
@@ -330,14 +360,13 @@ def badges(pages: DataFrame, products: DataFrame) -> DataFrame:
                     kind = "sale" if "onsale" in n.classes else "stock" if "sold-out-label" in n.classes else "merchant"
                     yield number, list(dict.fromkeys(hrefs)), text, kind
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(p, u, *r) for p, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]) for r in one(h or "")]
-            yield pd.DataFrame(rows, columns=["page_id", "url", "_card", "hrefs", "text", "kind"])
+    def run(ids, urls, htmls):
+        names = ("page_id", "url", "_card", "hrefs", "text", "kind")
+        return [dict(zip(names, (p, u, *r))) for p, u, h in zip(ids, urls, htmls) for r in one(h or "")]
 
     from storelens.functions.urls import product_url_key
     t = pages.schema["page_id"].dataType.simpleString()
-    seen = pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {t}, url string, _card int, hrefs array<string>, text string, kind string")
+    seen = map_parts(pages.select("page_id", "url", "html"), run, f"page_id {t}, url string, _card int, hrefs array<string>, text string, kind string")
     links = seen.select("page_id", "_card", "text", "kind", F.explode("hrefs").alias("h"), "url").withColumn("_k", product_url_key(absolute(c("h"), c("url"))))
     known = products.select(product_url_key(c("url")).alias("_k"), c("id").alias("product_id"))
     hit = links.join(known, "_k").groupBy("page_id", "_card", "text", "kind").agg(F.min("product_id").alias("product_id"), F.max("product_id").alias("_last"))
