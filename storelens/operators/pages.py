@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from storelens.functions import html as H
 from storelens.functions.batches import map_parts
@@ -164,9 +164,8 @@ def json_ld_products(parsed: DataFrame) -> DataFrame:
 
 def own_page_product(nodes: DataFrame) -> DataFrame:
     """SCR-03: the only product of a page, or those whose url is the page's."""
-    n = nodes.groupBy("page_id").agg(F.count("*").alias("_n"))
     own = F.get_json_object("node", "$.url") == c("url")
-    return nodes.join(n, "page_id").filter((c("_n") == 1) | F.coalesce(own, F.lit(False))).drop("_n")
+    return nodes.withColumn("_n", F.count("*").over(Window.partitionBy("page_id"))).filter(c("page_id").isNotNull()).filter((c("_n") == 1) | F.coalesce(own, F.lit(False))).drop("_n")
 
 
 def _names(node: Column, path: str) -> Column:

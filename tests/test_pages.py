@@ -61,3 +61,8 @@ def test_a_task_holds_a_part_not_a_batch(spark):
 def test_generated_pages_are_dealt_before_they_are_read(spark):
     shown = plan(G.parse_pages(Q.ld_pages(spark, SF)))
     assert "Exchange" in shown[shown.index("MapInArrow"):] and "MapInPandas" not in shown
+
+
+def test_own_page_product_reads_a_page_once(spark):
+    nodes = G.json_ld_products(G.parse_pages(Q.ld_pages(spark, SF)))
+    assert plan(G.own_page_product(nodes)).count("MapInArrow") == 1
