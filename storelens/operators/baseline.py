@@ -10,15 +10,17 @@ from storelens.functions.urls import decoded, path_key, url_tail
 from storelens.operators.attribution import WINDOWS
 from storelens.operators.containment import contained
 from storelens.operators.funnel import Events
+from storelens.session import large
 
 STATUS_ORDER = {"lost": 0, "partial": 1, "kept": 2}
 
 
-def catalog_keys(products: DataFrame, order: str = "id") -> DataFrame:
-    """(key, product struct): every key a product answers to; on a shared key the last product wins.
+def _keyed(products: DataFrame, order: str) -> DataFrame:
+    """(key, product struct, _o): every key a product answers to, names in their own key space.
 
-    Names live in their own key space.
+    A product makes up to a dozen rows, and few row groups hold many products: they are dealt over all tasks first.
     """
+    products = products.repartition(order)
     has = lambda c: F.col(c).cast("string") if c in products.columns else F.lit(None).cast("string")
     pid = has("id")
     keys = [pid, F.when(pid != "", F.concat(F.lit("woo_product_"), pid)), F.nullif(F.regexp_extract(pid, "/(\\d+)$", 1), F.lit("")),
@@ -32,7 +34,17 @@ def catalog_keys(products: DataFrame, order: str = "id") -> DataFrame:
                      lambda k: k.isNotNull() & (k != "k:"))
     name = F.when(card["name"] != "", F.concat(F.lit("n:"), query_key(card["name"])))
     every = F.array_compact(F.concat(plain, F.array(name)))
-    rows = products.select(F.explode(F.array_distinct(every)).alias("key"), card.alias("product"), F.col(order).alias("_o"))
+    return products.select(F.explode(F.array_distinct(every)).alias("key"), card.alias("product"), F.col(order).alias("_o"))
+
+
+def catalog_keys(products: DataFrame, order: str = "id", wanted: DataFrame | None = None) -> DataFrame:
+    """(key, product struct): every key a product answers to; on a shared key the last product wins.
+
+    With ``wanted`` (key) only those keys: the others leave before products are sorted by key, which a maximum of structs needs.
+    """
+    rows = _keyed(products, order)
+    if wanted is not None:
+        rows = large(rows).join(wanted.select("key").distinct(), "key", "left_semi")
     return rows.groupBy("key").agg(F.max_by("product", "_o").alias("product"))
 
 
@@ -52,7 +64,7 @@ def match_catalog(refs: DataFrame, products: DataFrame, order: str = "id") -> Da
         F.when(usable, key(F.regexp_replace(pid, "^woo_product_", ""))), F.when(F.col("url") != "", key(url_tail(F.col("url")))),
         F.when(F.col("name") != "", F.concat(F.lit("n:"), query_key(F.col("name")))))
     asked = distinct.select("pid", "name", "url", F.posexplode(tried).alias("rank", "key")).filter("key is not null")
-    found = asked.join(catalog_keys(products, order), "key").groupBy("pid", "name", "url").agg(
+    found = asked.join(large(catalog_keys(products, order, asked)), "key").groupBy("pid", "name", "url").agg(
         F.min_by("product", "rank").alias("product"))
     parts = ["pid", "name", "url"]
     found = found.select(*[F.col(p).alias(f"_{p}") for p in parts], "product")

@@ -96,3 +96,15 @@ def test_related_queries_equal_brute_force(spark):
     got = B.related_queries(spark.createDataFrame(list(counts.items()), "query string, searches long"), spark.createDataFrame([(q,) for q in asked], "query string"), 3).collect()
     want = [(a, q, k + 1) for a in asked for k, q in enumerate(sorted((q for q in rows if q != a and (a in q or q in a)), key=lambda q: (-counts[q], q))[:3])]
     assert sorted((g["asked"], g["query"], g["rank"]) for g in got) == sorted(want)
+
+
+def test_only_asked_keys_are_sorted_by_key(spark):
+    from pyspark.sql import functions as F
+
+    products = spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("name"), F.lit(False).alias("hidden"), F.lit("instock").alias("stock_status"))
+    refs = spark.createDataFrame([("7", "", "", 1), (None, "X", None, 2)], "pid string, name string, url string, n int")
+    got = B.match_catalog(refs, products)
+    assert {r["n"]: r["product"]["id"] for r in got.collect()} == {1: "7", 2: "99"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    keys = plan[plan.index("max_by"):]
+    assert "Join LeftSemi" in keys and "RepartitionByExpression" in keys and keys.index("Join LeftSemi") < keys.index("Generate explode")
