@@ -25,7 +25,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "\t-\r \x85\xa0  -     　"
 WORD_END = "</w>"
 
-CACHE_ENTRIES = 60_000  # of each of two generations of two caches, about 300 bytes each
+CACHE_ENTRIES = 110_000  # pre-tokens of each of two generations, about 300 bytes each: one that is missed is merged anew
+CHUNK_ENTRIES = 10_000  # pieces between white space, likewise: one that is missed is only cut into pre-tokens
 CACHE_LENGTH = 40
 
 
@@ -130,13 +131,13 @@ class WordBpe:
 class _Cache(dict):
     """piece of text -> (ids as text, decoded text). When full, the older generation goes, so its memory is bounded."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, entries: int):
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, piece: str) -> tuple[str, str]:
         got = self.old.get(piece) or self.make(piece)
         if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[piece] = got
@@ -150,8 +151,8 @@ class _Codec:
 
     def __init__(self, path: str):
         self.bpe = WordBpe(path)
-        self.words = _Cache(lambda word: self.of(self.bpe.encode_word(word)))
-        self.chunks = _Cache(self.chunk)
+        self.words = _Cache(lambda word: self.of(self.bpe.encode_word(word)), CACHE_ENTRIES)
+        self.chunks = _Cache(self.chunk, CHUNK_ENTRIES)
 
     @classmethod
     def at(cls, path: str) -> _Codec:

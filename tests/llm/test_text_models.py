@@ -121,3 +121,15 @@ def test_toxicity_edge_cases(spark, odd_docs):
     assert T.fit(odd_docs, labels.limit(0)) is None
     assert {r["score"] for r in T.score(odd_docs, None).collect()} == {0.0}
     assert b"".join(w[1:-1] for w in T.windows("One two " * 50)).replace(b" ", b"") == b"onetwo" * 50
+
+
+def test_many_distinct_words_are_merged_once():
+    import public_tokenizers
+    from storelens.llm.bpe import _Codec
+
+    codec, merged = _Codec(public_tokenizers.path("word_bpe_49k.json")), []
+    whole = codec.bpe.encode_word
+    codec.bpe.encode_word = lambda w: merged.append(w) or whole(w)
+    letters = "abcdefghij"
+    text = " ".join("q" + "".join(letters[int(d)] for d in str(i)) for i in range(100_000))
+    assert codec.code(text) == codec.code(text) and len(merged) == 100_000
