@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from storelens.functions.text import search_normalize
 from storelens.operators.catalog import merge_maps
+from storelens.session import large
 
 c = F.col
 # Fact fields that belong to commerce data, never to extracted facts.
@@ -112,25 +113,65 @@ def validate_selection(selected: DataFrame, candidates: DataFrame, n_requirement
     return per.filter(c("ok") & (c("covered") == c("_n"))).select("query", "id")
 
 
+# A character of a word.
+WORD = "[\\p{L}\\p{N}]"
+# Lengths of the windows on which statements meet texts; the longest that fits a quote is used.
+WINDOWS = (16, 12, 8, 4)
+# Numbers that the asked windows of a length below the longest fall on; the texts' other windows leave before a shuffle.
+SLOTS = 1 << 19
+
+
+def quote_keys(quotes: DataFrame) -> DataFrame:
+    """Distinct quotes (source, quote) with the window on which they meet texts, as hash ``_h`` and length ``_k``; null if there is none."""
+    most = WINDOWS[0]
+    cut = quotes.withColumn("_tail", F.regexp_extract("quote", f"(?s)[^\\p{{L}}\\p{{N}}]({WORD}.*)$", 1)).withColumn("_run", F.regexp_extract("quote", f"{WORD}{{{most}}}", 0))
+    tail, size = c("_tail"), F.length("_tail")
+    key = F.when(size >= most, window(most, F.left(tail, F.lit(most)))).when(c("_run") != "", window(0, c("_run")))
+    long = F.when((size >= most) | (c("_run") != ""), most)
+    for k in WINDOWS[1:]:
+        key, long = key.when(size >= k, window(k, F.left(tail, F.lit(k)))), long.when(size >= k, k)
+    return cut.select("source", "quote", key.alias("_h"), long.cast("bigint").alias("_k"))
+
+
+def window(k: int, text: Column) -> Column:
+    return F.xxhash64("source", F.lit(k), text)
+
+
+def quote_hits(keyed: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, quote, _u) of the texts that hold a quote's window; ``_u`` is a hash of the url."""
+    most = WINDOWS[0]
+    starts = F.regexp_extract_all("text", F.lit(f"(?s)(?<!{WORD})(?=({WORD}.{{0,{most - 1}}}))"), 1)
+    runs = F.transform(F.regexp_extract_all("text", F.lit(f"(?=({WORD}{{{most}}}))"), 1), lambda w: F.concat(F.lit(" "), w))
+    words = sources.select("source", F.xxhash64("url").alias("_u"), F.explode(F.concat(starts, runs)).alias("_w"))
+    inner = c("_w").startswith(" ")  # of a long run, not only from its start
+    of = lambda k: F.when(F.length("_w") >= k, window(k, F.left("_w", F.lit(k))))
+    hashes = [(most, F.when(inner, window(0, F.substring("_w", 2, most))).otherwise(of(most))), *[(k, F.when(~inner, of(k))) for k in WINDOWS[1:]]]
+    shown = words.select("_u", F.inline(F.array(*[F.struct(F.lit(k).cast("bigint").alias("_k"), h.alias("_h")) for k, h in hashes]))).filter("_h is not null")
+    # at most SLOTS numbers per length below the longest: a broadcast of bounded size, whatever the statements
+    slot = F.when(c("_k") == most, -1).otherwise(c("_k") * SLOTS + F.pmod("_h", F.lit(SLOTS)))
+    slots = keyed.select(slot.alias("_s")).unionByName(keyed.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("_s"))).distinct()
+    shown = shown.withColumn("_s", slot).join(F.broadcast(slots), "_s", "left_semi").select("_u", "_h")
+    asked = shown.join(large(keyed.select("_h").distinct()), "_h", "left_semi")
+    return asked.join(large(keyed.select("source", "quote", "_h")), "_h").select("_u", "source", "quote").distinct()
+
+
 def quoted_only(statements: DataFrame, sources: DataFrame) -> DataFrame:
     """EVD-06: statements (row_id, source, value, quote) whose quote is in their source and holds the value, with the first such url.
 
-    ``sources`` is (source, url, text). A word inside the quote is a whole word of
-    any text holding it, so statements meet texts on the longest such word; only
-    quotes without one are compared with every text of their source.
+    ``sources`` is (source, url, text). A word that begins inside the quote begins a word of any text holding
+    it, so distinct quotes meet texts on the characters from such a place on, or on the first characters of a
+    long run of letters and digits; only quotes without either are compared with every text of their source.
+    Windows meet as hashes; the texts themselves are joined to the hits by url and decide.
     """
-    word = "(?<=[^\\p{L}\\p{N}])[\\p{L}\\p{N}]+(?=[^\\p{L}\\p{N}])"
-    inner = F.regexp_extract_all(c("quote"), F.lit(word), 0)
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    st = statements.filter((F.trim("quote") != "") & F.contains("quote", "value")).withColumn("_w", longest)
-    keyed = st.filter("_w is not null")
-    # Only words that are asked for leave the texts; the texts themselves are joined to the hits by url.
-    asked = keyed.select("source", "_w").distinct()
-    words = sources.select("source", "url", F.explode(F.array_distinct(F.split("text", "[^\\p{L}\\p{N}]+"))).alias("_w")).join(asked, ["source", "_w"], "left_semi")
-    hits = keyed.join(words, ["source", "_w"]).join(sources.select("source", "url", "text"), ["source", "url"])
-    rest = st.filter("_w is null").join(sources, "source")
-    cols = ["row_id", "quote", "text", "url"]
-    return hits.select(*cols).unionByName(rest.select(*cols)).filter(F.contains("text", "quote")).groupBy("row_id").agg(F.min("url").alias("url"))
+    st = statements.filter((F.trim("quote") != "") & F.contains("quote", "value"))
+    quotes = quote_keys(st.select("source", "quote").distinct())
+    hits = quote_hits(quotes.filter("_h is not null"), sources)
+    texts = sources.select("source", "url", "text", F.xxhash64("url").alias("_u"))
+    found = large(hits).join(texts, ["_u", "source"]).filter(F.contains("text", "quote"))
+    rest = quotes.filter("_h is null").select("source", "quote").join(sources, "source").filter(F.contains("text", "quote"))
+    cols = ["source", "quote", "url"]
+    first = found.select(*cols).unionByName(rest.select(*cols)).groupBy("source", "quote").agg(F.min("url").alias("url"))
+    return st.select("row_id", "source", "quote").join(large(first), ["source", "quote"]).groupBy("row_id").agg(F.min("url").alias("url"))
 
 
 def accept_matches(batches: DataFrame, answers: DataFrame) -> DataFrame:
