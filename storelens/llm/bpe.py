@@ -24,8 +24,9 @@ from storelens.llm.common import over_batches
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "\t-\r \x85\xa0  -     　"
 WORD_END = "</w>"
+MARKS = frozenset(".,;:!?")  # after letters they are a pre-token of their own
 
-CACHE_ENTRIES = 110_000  # pre-tokens of each of two generations, about 300 bytes each: one that is missed is merged anew
+CACHE_ENTRIES = 160_000  # pre-tokens of each of two generations, about 300 bytes each: one that is missed is merged anew
 CHUNK_ENTRIES = 10_000  # pieces between white space, likewise: one that is missed is only cut into pre-tokens
 CACHE_LENGTH = 40
 
@@ -166,18 +167,22 @@ class _Codec:
         return " ".join(map(str, ids)), self.bpe.decode(ids)
 
     def chunk(self, chunk: str) -> tuple[str, str]:
-        words = self.bpe.pretokens.findall(chunk)
-        if len(words) == 1:
-            return self.words[words[0]]
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():
+            words = [chunk[:-1], chunk[-1]]
+        else:
+            words = self.bpe.pretokens.findall(chunk)
+            if len(words) == 1:
+                return self.words[words[0]]
         ids, texts = zip(*map(self.words.__getitem__, words))
         return " ".join(ids), " ".join(texts)
 
     def code(self, text: str) -> tuple[str, str]:
         """Ids of a text in decimal, and its decoded text."""
+        words, chunks = self.words, self.chunks
         if "<|" in text:
-            got = [self.of([self.bpe.special[p]]) if special else self.chunks[p] for special, p in self.bpe.pieces(text)]
-        else:
-            got = [*map(self.chunks.__getitem__, self.bpe.split(self.bpe.normalized(text)))]
+            got = [self.of([self.bpe.special[p]]) if special else chunks[p] for special, p in self.bpe.pieces(text)]
+        else:  # letters alone are one pre-token
+            got = [words[p] if p.isalpha() else chunks[p] for p in self.bpe.split(self.bpe.normalized(text))]
         if not got:
             return "", ""
         ids, texts = zip(*got)
