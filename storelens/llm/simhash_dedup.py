@@ -56,15 +56,15 @@ def node_of(text: bytes) -> int:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """id, node, keys."""
+    """id, tk (hash of the text), node, keys."""
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            return {"id": batch.column(0), "node": [node_of(t) for t in texts], "keys": [shingle_set(t)[:MEETINGS].view(np.int64) for t in texts]}
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            return {"id": batch.column(0), "tk": batch.column(1), "node": [node_of(t) for t in texts], "keys": [shingle_set(t)[:MEETINGS].view(np.int64) for t in texts]}
 
         return step
 
-    return over_batches(docs, make, "id long, node long, keys array<long>")
+    return over_batches(docs.select("id", F.xxhash64("text").alias("tk"), "text"), make, "id long, tk long, node long, keys array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -86,6 +86,11 @@ def groups(docs: DataFrame, folder: str, similarity: float = SIMILARITY) -> Data
 
     Texts without a word are one node. A group without any doc_id gives null.
     """
+    return _grouped(docs, folder, similarity)[1]
+
+
+def _grouped(docs: DataFrame, folder: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, tk, node) of the documents, and ``groups``."""
     slim = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = saved(_rows(slim), folder, "rows")
     nodes = saved(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), folder, "nodes")
@@ -130,13 +135,13 @@ def groups(docs: DataFrame, folder: str, similarity: float = SIMILARITY) -> Data
             node, part = t.column("node").to_numpy(), t.column("_part").to_numpy()
             cross = t.column("_a").to_numpy() != t.column("_b").to_numpy()
             fp = t.column("fp").to_numpy().view(np.uint64)
-            sets = [frozenset(np.frombuffer(s, dtype=np.uint64).tolist()) for s in t.column("set").to_pylist()]
+            sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in t.column("set")]
             size = np.array([len(s) for s in sets])
             table, forest = distances(fp, to), Forest(len(fp))
             for i, j in pairs_in(starts, part, cross):
                 for a, b in zip(*[x.tolist() for x in near(i, j, size, table, fp)]):
                     if forest.find(a) != forest.find(b):
-                        both = len(sets[a] & sets[b])
+                        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                         if both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
                             forest.add(np.array([a]), np.array([b]))
             yield pa.RecordBatch.from_arrays([pa.array(node[forest.a]), pa.array(node[forest.b])], names=["a", "b"])
@@ -149,7 +154,7 @@ def groups(docs: DataFrame, folder: str, similarity: float = SIMILARITY) -> Data
     roots = components(edges, folder)
     rooted = saved(nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), folder, "rooted")
     least = saved(rooted.groupBy("root").agg(F.min("id").alias("component_id")), folder, "least")
-    return saved(rooted.join(least, "root").select("node", "component_id"), folder, "named")
+    return rows.select("id", "tk", "node"), saved(rooted.join(least, "root").select("node", "component_id"), folder, "named")
 
 
 def keep_one(docs: DataFrame, folder: str) -> DataFrame:
@@ -158,17 +163,8 @@ def keep_one(docs: DataFrame, folder: str) -> DataFrame:
     Rows that repeat one doc_id and text stay or go together; rows without doc_id stay unless
     their group has a document with one. Texts without a word are a group like any other.
     """
-    named = groups(docs, folder)
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict[str, list]:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            return {f: batch.column(i) for i, f in enumerate(batch.schema.names[:-1])} | {"_node": [node_of((t or "").encode("utf-8", "surrogatepass")) for t in texts]}
-
-        return step
-
-    ids = over_batches(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, _node long")
-    gone = saved(ids.join(named.withColumnRenamed("node", "_node"), "_node").where(F.coalesce(F.col("component_id") != F.col("doc_id"), F.col("component_id").isNotNull()))
-                 .select(F.col("doc_id").alias("_gone"), "_node").distinct(), folder, "gone")
-    marked = over_batches(docs.select(*docs.columns, F.col("text").alias("_text")), make, ", ".join(f"`{k}` {t}" for k, t in docs.dtypes) + ", _node long")
-    return marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (marked["_node"] == gone["_node"]), "left_anti").drop("_node")
+    rows, named = _grouped(docs, folder)
+    gone = saved(rows.join(named, "node").where(F.coalesce(F.col("component_id") != F.col("id"), F.col("component_id").isNotNull()))
+                 .select(F.col("id").alias("_gone"), F.col("tk").alias("_tk")).distinct(), folder, "gone")
+    # the texts leave by the hash they came in with: they are not read by Python again
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_tk")), "left_anti")
