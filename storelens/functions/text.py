@@ -5,8 +5,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import StringType
 
 # The white space of the query key (ECMAScript white space and line ends).
@@ -52,9 +53,21 @@ def _fold_marks(values: pd.Series) -> pd.Series:
     return values.map(one, na_action="ignore")
 
 
-@pandas_udf(StringType())
-def _decompose(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v.isascii() else unicodedata.normalize("NFKD", v), na_action="ignore")
+# Values made into Python strings at a time; those of a whole batch take several times their bytes.
+DECOMPOSED_AT_ONCE = 64
+
+
+def decomposed(values: pa.Array) -> pa.Array:
+    """The compatibility decomposition of every value; few of them are Python strings at a time."""
+    one = lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKD", v)
+    parts = (values[i : i + DECOMPOSED_AT_ONCE] for i in range(0, len(values), DECOMPOSED_AT_ONCE))
+    made = [pa.array(map(one, p.to_pylist()), pa.string(), size=len(p)) for p in parts]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
+
+
+@arrow_udf(StringType())
+def _decompose(values: pa.Array) -> pa.Array:
+    return decomposed(values)
 
 
 def search_normalize(x: Column, ascii_only: bool = False) -> Column:
