@@ -97,8 +97,8 @@ def _is_ld(n: H.Node) -> bool:
     return n.tag == "script" and n.attrs.get("type") == "application/ld+json"
 
 
-def _facts(url: str, html: str) -> dict:
-    """What the page operators need of one page."""
+def _facts(url: str, html: str, want: frozenset[str]) -> dict:
+    """Those of the page operators' facts of one page that are wanted."""
     root = H.parse(html)
     by_tag = {t: [] for t in ("script", "tr", "dl", "body", "title", "h1", "input", "meta")}
     links, itemtypes = [], []
@@ -117,39 +117,49 @@ def _facts(url: str, html: str) -> dict:
         chrome = chrome or n.tag in CHROME
         nav = nav or n.tag == "nav" or n.tag == "header"
         if n.tag == "a":
-            if "href" in attrs:
+            if "href" in attrs and "links" in want:
                 links.append({"href": attrs["href"], "text": n.text(), "title": attrs.get("title") or "", "chrome": chrome, "nav": nav})
         elif n.tag in by_tag:
             by_tag[n.tag].append(n)
         stack += [(p, chrome, nav) for p in reversed(n.parts) if not isinstance(p, str)]
     blocks, products = [], []
-    for doc in _json_ld([s for s in by_tag["script"] if _is_ld(s)]):
-        blocks += [_dumps(b) for b in _top(doc)]
-        products += [_dumps(n) for n in _nodes(doc) if _sold(n)]
+    for doc in _json_ld([s for s in by_tag["script"] if _is_ld(s)]) if want & {"blocks", "products"} else ():
+        if "blocks" in want:
+            blocks += [_dumps(b) for b in _top(doc)]
+        if "products" in want:
+            products += [_dumps(n) for n in _nodes(doc) if _sold(n)]
     specs = []
-    for tr in by_tag["tr"]:
+    for tr in by_tag["tr"] if "specs" in want else ():
         cells = [x.text() for x in tr.parts if isinstance(x, H.Node) and x.tag in ("th", "td")]
         if len(cells) == 2 and all(cells):
             specs.append({"key": cells[0], "value": cells[1]})
-    for dl in by_tag["dl"]:
+    for dl in by_tag["dl"] if "specs" in want else ():
         items = [x for x in dl.parts if isinstance(x, H.Node)]
         for a, b in zip(items, items[1:]):
             key, value = (a.text(), b.text()) if a.tag == "dt" and b.tag == "dd" else ("", "")
             if key and value:
                 specs.append({"key": key, "value": value})
     body = by_tag["body"][0] if by_tag["body"] else root
-    return {"url": url, "title": " ".join(n.text() for n in by_tag["title"]), "text": root.text(), "body": body.text(),
-            "h1": [n.text() for n in by_tag["h1"]], "inputs": " ".join(n.attrs.get("value", "") for n in by_tag["input"]),
-            "links": links, "metas": [{"name": n.attrs.get("property") or n.attrs.get("name") or "", "content": n.attrs.get("content", "")} for n in by_tag["meta"]],
-            "itemtypes": itemtypes, "specs": specs, "products": products, "blocks": blocks}
+    made = {"url": lambda: url, "title": lambda: " ".join(n.text() for n in by_tag["title"]), "text": root.text, "body": body.text,
+            "h1": lambda: [n.text() for n in by_tag["h1"]], "inputs": lambda: " ".join(n.attrs.get("value", "") for n in by_tag["input"]),
+            "links": lambda: links, "metas": lambda: [{"name": n.attrs.get("property") or n.attrs.get("name") or "", "content": n.attrs.get("content", "")} for n in by_tag["meta"]],
+            "itemtypes": lambda: itemtypes, "specs": lambda: specs, "products": lambda: products, "blocks": lambda: blocks}
+    return {k: make() for k, make in made.items() if k in want}
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """One row per page (page_id, url, html) with its text, links, tables, meta tags and JSON-LD."""
+def parse_pages(pages: DataFrame, *facts: str) -> DataFrame:
+    """One row per page (page_id, url, html) with its text, links, tables, meta tags and JSON-LD; with ``facts``, these columns only."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = {f.name: f.dataType.simpleString() for f in _parse_datatype_string(PARSED.format(id=pages.schema["page_id"].dataType.simpleString()))}
+    want = frozenset(facts or kinds) - {"page_id"}
+    if want - set(kinds):
+        raise ValueError(f"unknown facts: {sorted(want - set(kinds))}")
+
     def run(ids, urls, htmls):
-        return [{"page_id": p, **_facts(u, h or "")} for p, u, h in zip(ids, urls, htmls)]
+        return [{"page_id": p, **_facts(u, h or "", want)} for p, u, h in zip(ids, urls, htmls)]
 
-    return map_parts(pages.select("page_id", "url", "html"), run, PARSED.format(id=pages.schema["page_id"].dataType.simpleString()))
+    return map_parts(pages.select("page_id", "url", "html"), run, ", ".join(f"{k} {t}" for k, t in kinds.items() if k == "page_id" or k in want))
 
 
 def visible_text(parsed: DataFrame) -> DataFrame:
