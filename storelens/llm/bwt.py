@@ -2,10 +2,11 @@
 
 A shard is one circular byte text. Its suffixes are ordered by their first ``depth`` bytes or
 more; the transform is the bytes before them. Merging never sorts suffixes of different shards
-against each other: the interleave (which shard the next suffix comes from) is refined two bytes
-at a time by a stable radix pass over the bytes that precede the suffixes, and the borders
-between suffixes that have begun to differ are carried along. After ``depth`` bytes the blocks
-between borders are the classes of suffixes with a common prefix of that length.
+against each other: the interleave (which shard the next suffix comes from) is refined by a stable
+radix pass over the bytes that precede the suffixes, and the borders between suffixes that have
+begun to differ are carried along. A pass takes eight bytes as one symbol, their rank among the
+eight bytes at all positions, or four or two where there are too many for 16 bits. After ``depth``
+bytes the blocks between borders are the classes of suffixes with a common prefix of that length.
 """
 
 from __future__ import annotations
@@ -13,43 +14,49 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of the circular text ordered by at least their first ``depth`` bytes (prefix doubling from eight bytes)."""
-    n = len(text)
-    packed = np.zeros(n, dtype=np.uint64)
-    at = np.arange(n)
-    for k in range(8):
-        packed = packed << np.uint64(8) | text[(at + k) % n].astype(np.uint64)
-    order = np.argsort(packed, kind="stable")
-    reach = 8
-    while True:
+def grams(shards: list[np.ndarray], width: int) -> tuple[list[np.ndarray], int]:
+    """Per shard the rank of the ``width`` (eight at most) bytes from every position on, in the order of such bytes of all shards; the number of ranks."""
+    packed = []
+    for text in shards:
+        wide = np.zeros(len(text), dtype=np.uint64)
+        for k in range(width):
+            wide = wide << np.uint64(8) | np.roll(text, -k)
+        packed.append(wide)
+    values, rank = np.unique(np.concatenate(packed), return_inverse=True)
+    return np.split(rank.astype(np.uint32), np.cumsum([len(t) for t in shards])[:-1]), len(values)
+
+
+def suffix_order(rank: np.ndarray, reach: int, depth: int) -> np.ndarray:
+    """Positions of a circular text ordered by at least their first ``depth`` bytes (prefix doubling from the ranks of ``reach`` bytes)."""
+    n = len(rank)
+    order = np.argsort(rank)
+    while reach < depth:
+        rank = rank.astype(np.uint64)
+        packed = rank << np.uint64(32) | np.roll(rank, -reach)
+        order = np.argsort(packed)
         first = packed[order]
-        rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[0], first[1:] != first[:-1]])).astype(np.uint64)
-        if reach >= depth or int(rank[order[-1]]) == n - 1:
-            return order
-        packed = rank * np.uint64(n) + rank[(at + reach) % n]
-        order = np.argsort(packed, kind="stable")
+        rank[order] = np.cumsum(np.concatenate([[0], first[1:] != first[:-1]]))
         reach *= 2
+        if int(rank[order[-1]]) == n - 1:
+            break
+    return order
 
 
-def preceding(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The two bytes before each suffix in order, as one number."""
-    n = len(text)
-    return text[(order - 2) % n].astype(np.uint16) << 8 | text[(order - 1) % n]
+def preceding(ranks: list[np.ndarray], orders: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """Per shard the symbol of the ``width`` bytes before each suffix in order."""
+    return [np.roll(r, width)[o].astype(np.uint16) for r, o in zip(ranks, orders)]
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave, class): the shard of each suffix of the merged order, and the number of its class of equal first ``depth`` bytes.
+def merge(passes: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(interleave, class): the shard of each suffix of the merged order, and the number of its class of equal bytes as far as the passes reach.
 
-    ``depth`` is even. Suffixes of one shard keep their order, so its k-th entry is its k-th suffix.
+    A pass holds the 16-bit symbols before the suffixes of each shard. Suffixes of one shard keep their order, so its k-th entry is its k-th suffix.
     """
-    if depth % 2:
-        raise ValueError("the refinement takes two bytes at a time")
-    z = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) <= 256 else np.uint32), [len(t) for t in transforms])
+    shards = len(passes[0])
+    z = np.repeat(np.arange(shards, dtype=np.uint8 if shards <= 256 else np.uint32), [len(t) for t in passes[0]])
     block = np.zeros(len(z), dtype=np.int32)
     symbols = np.empty(len(z), dtype=np.uint16)
-    for _ in range(depth // 2):
+    for transforms in passes:
         for k, t in enumerate(transforms):
             symbols[z == k] = t
         order = np.argsort(symbols, kind="stable")
@@ -62,10 +69,18 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     return z, block
 
 
-def classes(shards: list[np.ndarray], depth: int) -> list[np.ndarray]:
+def classes(shards: list[np.ndarray], depth: int, widest: int = 8) -> list[np.ndarray]:
     """Per shard the class of the suffix at every position: equal numbers, in any shards, mean equal first ``depth`` bytes."""
-    orders = [suffix_order(t, depth) for t in shards]
-    z, block = merge([preceding(t, o) for t, o in zip(shards, orders)], depth)
+    width = min(widest, depth)
+    ranks, several = grams(shards, width)
+    orders = [suffix_order(r, width, depth) for r in ranks]
+    while several > 1 << 16:
+        width = min(4, width - 2)
+        ranks, several = grams(shards, width)
+    passes = [preceding(ranks, orders, width)] * (depth // width)
+    if rest := depth % width:  # fewer bytes have no more ranks
+        passes.append(preceding(grams(shards, rest)[0], orders, rest))
+    z, block = merge(passes)
     out = []
     for k, order in enumerate(orders):
         c = np.empty(len(order), dtype=np.int32)

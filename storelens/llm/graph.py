@@ -42,10 +42,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
             change[1:] |= v[1:] != v[:-1]
         return np.flatnonzero(change)
 
-    for batch in batches:
-        if batch.num_rows:
-            held.append(pa.Table.from_batches([batch]))
-            count += batch.num_rows
+    for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):  # a batch may hold many times as many
+        held.append(pa.Table.from_batches([batch]))
+        count += batch.num_rows
         if count >= rows:
             t = pa.concat_tables(held)
             at = borders(t)

@@ -4,10 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from storelens.llm import bwt, decontamination, simhash, simhash_dedup, spherical, suffix_dedup
+from storelens.llm import bwt, decontamination, graph, simhash, simhash_dedup, spherical, suffix_dedup
 from storelens.llm.common import saved, table
 
 SF = "/root/testdata/sf0.001"
@@ -169,6 +170,37 @@ def test_merged_transforms_equal_sorted_suffixes():
     assert got.tolist() == [names[w] for w in want.tolist()]
 
 
+@pytest.mark.parametrize("widest,depth,passes", [(8, 100, 13), (4, 100, 25), (2, 100, 50), (8, 12, 2), (8, 13, 2)])
+def test_merge_by_wide_symbols(monkeypatch, widest, depth, passes):
+    """Symbols of any width give the same classes, in as few passes as the width allows."""
+    r = np.random.default_rng(8)
+    base = r.integers(97, 123, size=700).astype(np.uint8)
+    shards = [np.concatenate([base[:400], r.integers(97, 123, size=90).astype(np.uint8)]), base[100:650], base[:3], np.full(150, 97, dtype=np.uint8)]
+    taken, merge = [], bwt.merge
+    monkeypatch.setattr(bwt, "merge", lambda p: taken.append(len(p)) or merge(p))
+    got = np.concatenate(bwt.classes(shards, depth, widest))
+    want = np.concatenate([[bytes(s[(i + np.arange(depth)) % len(s)]) for i in range(len(s))] for s in shards])
+    names = {w: k for k, w in enumerate(sorted(set(want.tolist())))}
+    assert got.tolist() == [names[w] for w in want.tolist()] and taken == [passes]
+
+
+def test_many_symbols_take_fewer_bytes():
+    """Over 65 536 different eight-byte symbols: the merge goes on with four or two bytes, and finds the same."""
+    r = np.random.default_rng(9)
+    shards = [r.integers(0, 255, size=60_000).astype(np.uint8) for _ in range(2)]
+    shards[1][500:700] = shards[0][100:300]
+    a, b = bwt.classes(shards, 100)
+    both = np.intersect1d(a, b)
+    assert np.flatnonzero(np.isin(a, both)).tolist() == list(range(100, 201)) and (a[100:201] == b[500:601]).all()
+
+
+def test_groups_are_taken_a_few_rows_at_a_time():
+    """A batch of many rows is handed on in tables of about the asked number, a large group whole."""
+    keys = np.concatenate([np.repeat(np.arange(1500), 2), np.full(1300, 1500), np.arange(1501, 2201)])
+    got = [t.column("h").to_numpy() for t, _ in graph.whole_groups(iter([pa.RecordBatch.from_arrays([pa.array(keys)], names=["h"])]), ["h"], 500)]
+    assert (np.concatenate(got) == keys).all() and sorted(map(len, got))[-2] <= 1000 and sum((g == 1500).any() for g in got) == 1
+
+
 def test_contamination_equals_brute_force(spark, folder):
     r = random.Random(6)
     words = [f"v{i}" for i in range(60)]
