@@ -67,6 +67,12 @@ def slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now ends an Arrow batch at ``BATCH_BYTES`` as well as at its number of rows: both sides of the pipe hold one in whole."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df
+
+
 def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str) -> DataFrame:
     """``make()`` runs once per task and returns the function that maps rows in Arrow columns to columns of ``schema``.
 
@@ -85,4 +91,4 @@ def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], di
                 got = step(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in kinds], schema=kinds)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.bwt import classes
-from storelens.llm.common import over_batches, saved, slices
+from storelens.llm.common import bounded_batches, over_batches, saved, slices
 from storelens.llm.graph import tiled, whole_groups
 
 LENGTH = 100
 GRAM = 20
-SLICE = 1 << 20
+SLICE = 1 << 18
 SEPARATOR = 0xFF  # no UTF-8 text holds this byte
 TILE = 4096
 SHARD_BYTES = 1 << 15
@@ -104,7 +104,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a + text]), pa.array(tk[text]), pa.array((start - places[text]).astype(np.int32)),
                                                   pa.array(n.astype(np.int32)), pa.array(c.view(np.int64))], names=["h", "doc", "tk", "lo", "n", "c"])
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
