@@ -29,12 +29,16 @@ def minor_units(price: Column, unit: Column) -> Column:
 
 
 def parse_event_time(x: Column) -> Column:
-    """PRJ-01: ISO text, epoch seconds or epoch milliseconds (9-13 digits) to a timestamp, else null."""
-    t = F.trim(x)
-    n = F.when(t.rlike("^\\d{9,13}$"), t.try_cast("bigint"))
-    ms = F.when(n < 1_000_000_000_000, n * 1000).otherwise(n)
-    return F.when(n.isNotNull(), F.timestamp_millis(ms)).when(
-        t.rlike("^\\d{4}-\\d{2}"), F.try_to_timestamp(t))
+    """PRJ-01: ISO text, epoch seconds or epoch milliseconds (9-13 digits) to a timestamp, else null.
+
+    The text and its number are variables of a function, so that ``x`` is worked out once however long its expression is.
+    """
+    def time(t: Column) -> Column:
+        ms = lambda n: F.timestamp_millis(F.when(n < 1_000_000_000_000, n * 1000).otherwise(n))
+        number = F.transform(F.array(t.try_cast("bigint")), ms)[0]
+        return F.when(t.rlike("^\\d{9,13}$"), number).when(t.rlike("^\\d{4}-\\d{2}"), F.try_to_timestamp(t))
+
+    return F.transform(F.array(F.trim(x)), time)[0]
 
 
 def local_day(t: Column, tz: str) -> Column:

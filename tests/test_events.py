@@ -38,6 +38,14 @@ def test_times(spark):
     assert got == [1789034400] * 4 + [None] * 3
 
 
+def test_a_time_is_worked_out_once(spark):
+    """A raw field that is an expression was repeated up to ten times in the plan of its time."""
+    rows = spark.createDataFrame([("2026-09-10", "T10:00:00Z"), ("17890", "00000"), ("1789000000", "123"), (" ", "x"), ("99999999", ""), ("999999999999", ""), (None, "1")], "a string, b string")
+    got = rows.select(F.unix_millis(parse_event_time(F.concat("a", "b"))).alias("t"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("concat(") == 1
+    assert [r["t"] for r in got.collect()] == [1789034400000, 1789000000000, 1789000000123, None, None, 999999999999000, None]
+
+
 def test_numbers(spark):
     rows = [("614",), ("679.20",), ("1,250.50",), ("x",), (None,)]
     assert [r[0] for r in spark.createDataFrame(rows, "x string").select(parse_number(F.col("x"))).collect()] == [614.0, 679.2, 1250.5, None, None]
