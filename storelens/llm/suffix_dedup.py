@@ -4,10 +4,13 @@ Every 100-byte string has an anchor: the leftmost of its 20-byte grams with the
 Equal strings have equal anchors at equal places, so only runs of starts whose anchor occurs
 more than once can hold repeats (counted over all documents). A run's snippet is the bytes its
 strings cover. Equal snippets are one variant; all its occurrences but the first are repeats as
-a whole. Variants that share an anchor with different ones are compared by shards: each shard's
-Burrows-Wheeler transform is made by itself, the transforms are merged by interleave refinement
-to depth 100, and the blocks of the merged order are the repeated strings. An anchor with many
-variants is cut into tiles of bounded size, so no anchor has to fit one task.
+a whole. A variant that shares its anchor with others is cut in two: its starts 40 bytes or more
+before the anchor, whose strings all hold the 60 bytes up to the anchor's end, and the others,
+whose strings all hold the 60 bytes from the anchor on. Halves that share these 60 bytes are
+compared by shards: each shard's Burrows-Wheeler transform is made by itself, the transforms are
+merged by interleave refinement to depth 100, and the blocks of the merged order are the repeated
+strings. Where more halves than fit a task share them, every string becomes a row, and its first
+place is an aggregate: the work grows with the halves, not with their pairs.
 
 Ordering is by (doc_id, start). A null doc_id comes after all others. Repeated rows of a doc_id
 and text are one document; different texts of one doc_id are ordered by start, then by a hash of
@@ -28,13 +31,14 @@ from pyspark.sql import functions as F
 
 from storelens.llm.bwt import classes
 from storelens.llm.common import bounded_batches, over_batches, saved, slices
-from storelens.llm.graph import tiled, whole_groups
+from storelens.llm.graph import whole_groups
 
 LENGTH = 100
 GRAM = 20
 SLICE = 1 << 18
 SEPARATOR = 0xFF  # no UTF-8 text holds this byte
-TILE = 4096
+HALF = (LENGTH - GRAM) // 2
+TILE = 4096  # halves that are compared in one task
 SHARD_BYTES = 1 << 15
 LAST = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -118,10 +122,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Small batches keep the arrays of the refinement in the processor's cache; a large group still makes four shards at most.
     """
-    for t, _ in whole_groups(batches, ["h", "_a", "_b"], 500):
+    for t, _ in whole_groups(batches, ["h"], 500):
         group = t.column("h").to_numpy()
         doc, tk, lo, n = (t.column(k).to_numpy() for k in ("doc", "tk", "lo", "n"))
-        tile = t.column("_a").to_numpy().astype(np.int64) << 32 | t.column("_b").to_numpy()
         snippets = t.column("snippet").to_pylist()
         size = np.array([len(s) + 1 for s in snippets])
         shard = np.cumsum(size) // max(SHARD_BYTES, int(size.sum()) // 4 + 1)
@@ -139,12 +142,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cls, row, off = cls[live], row[live], off[live]
         start = lo[row] + off
-        # the earliest of each string; strings of different anchors or tiles are never equal or not to be compared
-        order = np.lexsort((start, doc[row], tile[row], group[row], cls))
+        # the earliest of each string; strings of different groups are not to be compared
+        order = np.lexsort((tk[row], start, doc[row], group[row], cls))
         cls, row, off, start = cls[order], row[order], off[order], start[order]
-        new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (group[row[1:]] != group[row[:-1]]) | (tile[row[1:]] != tile[row[:-1]])])
+        new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (group[row[1:]] != group[row[:-1]])])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        late = (doc[row] != doc[row[head]]) | (start != start[head])
+        late = (doc[row] != doc[row[head]]) | (start != start[head]) | (tk[row] != tk[row[head]])
         spot = np.unique(row[late].astype(np.int64) << 32 | off[late])
         first = np.concatenate([[True], np.diff(spot) != 1])[: len(spot)]
         r, a = spot[first] >> 32, spot[first] & 0xFFFFFFFF
@@ -153,6 +156,51 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc", "tk", "lo", "a", "z"])
 
 
+def halves(h: np.ndarray, n: np.ndarray, snippets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per snippet with its anchor hash and number of starts: the hashes of the bytes all its left and all its right strings hold, and the number of left ones.
+
+    The hash of a side without a start means nothing.
+    """
+    left, right, lefts = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.int64)
+    for a, z in slices(snippets, SLICE):
+        sizes, starts = np.array([len(s) for s in snippets[a:z]]), n[a:z].astype(np.int64)
+        b = np.frombuffer(b"".join(snippets[a:z]), dtype=np.uint8)
+        grams, place = _gram_hashes(b, GRAM), np.cumsum(sizes) - sizes
+        # the anchor is the leftmost gram of its hash among those that all strings hold
+        width = LENGTH - GRAM + 2 - starts
+        row = np.repeat(np.arange(z - a), width)
+        at = np.arange(len(row)) - (np.cumsum(width) - width - starts + 1)[row]
+        found = np.flatnonzero(grams[place[row] + at] == h[a:z].view(np.uint64)[row])
+        anchor = at[found[np.unique(row[found], return_index=True)[1]]]
+        long = _gram_hashes(b, GRAM + HALF)
+        left[a:z], right[a:z] = long[place + np.maximum(anchor - HALF, 0)], ~long[place + anchor]
+        lefts[a:z] = np.clip(anchor - HALF + 1, 0, starts)
+    return left.view(np.int64), right.view(np.int64), lefts
+
+
+def _first_of_many(halves: DataFrame, folder: str) -> DataFrame:
+    """What ``_compare`` gives, a row per repeating start, from halves (h, doc, tk, lo, snippet) of keys with any number of them."""
+    def make():
+        of = xxhash.xxh3_64_intdigest
+
+        def step(batch: pa.RecordBatch) -> dict[str, list]:
+            snippets = batch.column(4).to_pylist()
+            times = np.array([len(s) - LENGTH + 1 for s in snippets], dtype=np.int64)
+            row = np.repeat(np.arange(len(times)), times)
+            off = np.arange(len(row)) - (np.cumsum(times) - times)[row]
+            x = np.array([of(s[i : i + LENGTH]) for s, k in zip(snippets, times.tolist()) for i in range(k)], dtype=np.uint64)
+            h, doc, tk, lo = (batch.column(k).to_numpy()[row] for k in range(4))
+            return {"h": h, "x": x.view(np.int64), "doc": doc, "tk": tk, "lo": lo, "off": off}
+
+        return step
+
+    strings = over_batches(halves.select("h", "doc", "tk", "lo", "snippet"), make, "h long, x long, doc long, tk long, lo int, off int")
+    strings = saved(strings.select("h", "x", "doc", "tk", (F.col("lo") + F.col("off")).alias("lo")), folder, "strings")
+    place = F.struct("doc", "lo", "tk")
+    first = strings.groupBy("h", "x").agg(F.min(place).alias("f"), F.count("*").alias("k")).where("k > 1").select("h", "x", "f")
+    return strings.join(first, ["h", "x"]).where(place != F.col("f")).select("doc", "tk", "lo", F.lit(0).alias("a"), F.lit(1).alias("z"))
+
+
 def _packed(docs: DataFrame, rest: list[str]) -> DataFrame:
     """The texts compressed for the shuffles."""
     schema = "".join(f"`{k}` {t}, " for k, t in docs.select(*rest).dtypes) + "doc long, tk long, packed binary"
@@ -200,7 +248,7 @@ def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "do
     hits = saved(every.join(repeated, "h"), folder, "runs")
     firsts = saved(hits.groupBy("h", "c").agg(F.min(F.struct("doc", "lo", "tk")).alias("f"), F.max("n").alias("n")).select("h", "c", "f.doc", "f.tk", "f.lo", "n"), folder, "variants")
     several = saved(firsts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), folder, "several")
-    wanted = firsts.join(several, "h").groupBy("doc", "tk").agg(F.collect_list(F.struct("h", "c", "lo", "n")).alias("want"))
+    wanted = firsts.join(several, "h").groupBy("doc", "tk").agg(F.collect_list(F.struct("h", "lo", "n")).alias("want"))
 
     def make_snippets():
         expand = zstandard.ZstdDecompressor().decompress
@@ -209,22 +257,31 @@ def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "do
             want = batch.column(3)
             at, each = want.offsets.to_numpy(), want.flatten()
             first = at[0]
-            h, c, lo, n = (each.field(k) for k in range(4))
+            h, lo, n = (each.field(k) for k in range(3))
             los, ns, snippets = lo.to_numpy().tolist(), n.to_numpy().tolist(), []
             for k, packed in enumerate(batch.column(2).to_pylist()):
                 body = expand(packed)
                 snippets += [body[los[i] : los[i] + ns[i] + LENGTH - 1] for i in range(at[k] - first, at[k + 1] - first)]
             times = np.diff(at)
-            return {"h": h, "c": c, "doc": np.repeat(batch.column(0).to_numpy(), times), "tk": np.repeat(batch.column(1).to_numpy(), times), "lo": lo, "n": n, "snippet": snippets}
+            left, right, lefts = halves(h.to_numpy(), n.to_numpy(), snippets)
+            return {"left": left, "right": right, "lefts": lefts, "doc": np.repeat(batch.column(0).to_numpy(), times), "tk": np.repeat(batch.column(1).to_numpy(), times),
+                    "lo": lo, "n": n, "snippet": snippets}
 
         return step
 
     bodies = _packed(rows, [])
     # repeated rows of a document give the same snippets
     joined = bodies.join(wanted, ["doc", "tk"]).select("doc", "tk", "packed", "want").dropDuplicates(["doc", "tk"])
-    snippets = over_batches(joined, make_snippets, "h long, c long, doc long, tk long, lo int, n int, snippet binary")
-    met = tiled(snippets, "h", "c", TILE, folder, "snippets")
-    parts = saved(met.select("h", "_a", "_b", "doc", "tk", "lo", "n", "snippet").mapInArrow(_compare, "doc long, tk long, lo int, a int, z int"), folder, "repeats")
+    snippets = saved(over_batches(joined, make_snippets, "left long, right long, lefts int, doc long, tk long, lo int, n int, snippet binary"), folder, "snippets")
+    lefts, more = F.col("lefts"), LENGTH - 1
+    both = (snippets.where("lefts > 0").select(F.col("left").alias("h"), "doc", "tk", "lo", lefts.alias("n"), F.expr(f"substring(snippet, 1, lefts + {more})").alias("snippet"))
+            .union(snippets.where("lefts < n").select("right", "doc", "tk", F.col("lo") + lefts, F.col("n") - lefts, F.expr("substring(snippet, lefts + 1)"))))
+    counts = saved(both.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), folder, "counts")
+    few = both.join(counts.where(F.col("k") <= TILE).select("h"), "h").repartition("h").sortWithinPartitions("h")
+    parts = saved(few.select("h", "doc", "tk", "lo", "n", "snippet").mapInArrow(_compare, "doc long, tk long, lo int, a int, z int"), folder, "repeats")
+    many = counts.where(F.col("k") > TILE).select("h")
+    if not many.isEmpty():
+        parts = parts.union(_first_of_many(both.join(F.broadcast(many), "h"), folder))  # a row for over TILE halves
     none = F.lit(None).cast("int")
     marks = (hits.select("doc", "tk", F.lit(0).alias("kind"), "lo", "n", none.alias("a"), none.alias("z"))
              .union(firsts.select("doc", "tk", F.lit(1), "lo", "n", none, none))

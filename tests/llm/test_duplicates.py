@@ -161,6 +161,64 @@ def test_texts_without_id_and_equal_short_hashes(spark, folder):
     assert sorted((x["n_removed"], x["kept"]) for x in got.collect()) == [(0, b), (0, passage), (150, rows[1][1][150:])]
 
 
+def rows_compared(spark, docs, folder, monkeypatch):
+    """What ``deduplicate`` gives, and how many rows are compared in tasks or as strings."""
+    import os
+
+    seen, inner = spark.sparkContext.accumulator(0), suffix_dedup._compare
+
+    def counting(batches):
+        def passed():
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return inner(passed())
+
+    monkeypatch.setattr(suffix_dedup, "_compare", counting)
+    where = folder()
+    got = suffix_dedup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), where).collect()
+    strings = f"{where.removeprefix('file://')}/strings"
+    return got, seen.value + (spark.read.parquet(strings).count() if os.path.exists(strings) else 0)
+
+
+def test_work_on_a_hot_passage_grows_with_its_places(spark, folder, monkeypatch):
+    """Tiles of a passage's variants grew with the square of their number."""
+    monkeypatch.setattr(suffix_dedup, "TILE", 8)
+    r = random.Random(5)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, compared = prose(130), []
+    for count in (40, 160):
+        with monkeypatch.context() as m:
+            docs = [(k, prose(150) + passage + prose(150)) for k in range(count)]
+            got, rows = rows_compared(spark, docs, folder, m)
+        assert sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == brute_repeats([(i, t.encode()) for i, t in docs])
+        compared.append(rows)
+    assert 0 < compared[1] < 5 * compared[0]
+
+
+def test_anchors_in_common_alone_are_not_compared(spark, folder, monkeypatch):
+    """Texts with 50 bytes in common, which hold an anchor but no string of 100 bytes, went to the comparison."""
+    r = random.Random(6)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = prose(50)
+    got, rows = rows_compared(spark, [(k, prose(150) + passage + prose(150)) for k in range(40)], folder, monkeypatch)
+    assert rows == 0 and {x["n_removed"] for x in got} == {0}
+
+
+@pytest.mark.parametrize("tile", [2, 4096])
+def test_equal_places_of_texts_without_id(spark, folder, monkeypatch, tile):
+    """Strings at one start of different texts of one id are ordered by the texts' hashes; all of them stayed."""
+    monkeypatch.setattr(suffix_dedup, "TILE", tile)
+    r = random.Random(7)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(150))
+    texts = [passage + "".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(5)]
+    got = suffix_dedup.deduplicate(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), folder(), keep_text=True)
+    first = min(texts, key=lambda t: suffix_dedup.text_key(t.encode()))
+    left = {x["kept"] for x in got.collect()}
+    assert first in left and all(t == first or t not in left for t in texts)
+
+
 def test_merged_transforms_equal_sorted_suffixes():
     r = np.random.default_rng(4)
     shards = [r.integers(97, 99, size=n).astype(np.uint8) for n in (300, 1, 77, 512)]
