@@ -58,6 +58,21 @@ def test_hot_and_missing_sessions_over_many_batches(spark, tmp_path):
     assert got == {r["event_id"]: (r["hit_q"], r["hit_t"]) for r in want.collect() if r["event_id"] < 9000}
 
 
+def test_sessions_share_state_keys(spark, tmp_path):
+    """Every (session, two hours) was a key of its own, with its calls to the store and its timer."""
+    s = spark.range(600).select("id", F.concat(F.lit("s"), F.col("id")).alias("s"), F.lit(at(10)).alias("t"), F.lit("q").alias("q")).withColumnRenamed("id", "event_id")
+    e = s.select("event_id", "s", F.lit(at(11)).alias("t"))
+    s.unionByName(spark.createDataFrame([(9000, "end", at(9000), "end")], s.schema)).coalesce(1).write.parquet(str(tmp_path / "s"))
+    e.unionByName(spark.createDataFrame([(9001, "end", at(9000))], e.schema)).coalesce(1).write.parquet(str(tmp_path / "e"))
+    rs = lambda n, sch: spark.readStream.schema(sch).parquet(str(tmp_path / n))
+    df = J.stream_attribute(rs("e", e.schema), rs("s", s.schema), "cart", "1 minute")
+    q = (df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "o")))
+    q.awaitTermination()
+    out = spark.read.schema(df.schema).parquet(str(tmp_path / "o"))
+    assert out.filter("event_id < 9000 and hit_q = 'q'").count() == 600
+    assert sum(o["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress for o in p["stateOperators"]) < 100
+
+
 FEED = "id string, title string, price double, published boolean, feed bigint, end_rows bigint"
 
 
