@@ -54,6 +54,7 @@ CHECK_WEIGHTS = {"head": 25, "product": 10, "brand": 10, "typo": 15, "layout": 1
 PARSED = """page_id {id}, url string, title string, text string, body string, h1 array<string>, inputs string,
     links array<struct<href:string,text:string,title:string,chrome:boolean,nav:boolean>>, metas array<struct<name:string,content:string>>, itemtypes array<string>,
     specs array<struct<key:string,value:string>>, products array<string>, blocks array<string>"""
+FACTS = frozenset("url title text body h1 inputs links metas itemtypes specs products blocks".split())
 
 
 _dumps = json.JSONEncoder(ensure_ascii=False).encode
@@ -97,7 +98,7 @@ def _is_ld(n: H.Node) -> bool:
     return n.tag == "script" and n.attrs.get("type") == "application/ld+json"
 
 
-def _facts(url: str, html: str, want: frozenset[str]) -> dict:
+def _facts(url: str, html: str, want: frozenset[str] = FACTS) -> dict:
     """Those of the page operators' facts of one page that are wanted."""
     root = H.parse(html)
     by_tag = {t: [] for t in ("script", "tr", "dl", "body", "title", "h1", "input", "meta")}
