@@ -8,6 +8,11 @@ fingerprints discards more, and the exact Jaccard similarity of the shingle sets
 fingerprints are built from the sets too, so a line repeated often weighs no more than once. Pairs
 that are already linked through others are not verified again, and only the links of a spanning
 forest leave a task.
+
+Shingles of lines that many texts share would be meeting places whose pairs grow with the square of
+the input. A node leaves those of over ``TILE`` nodes and instead meets at its smallest hashes that
+are rare among such nodes, as many as make a miss no likelier than elsewhere for the share of
+its set that is common; a node that is common for the most part stays as well.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import over_batches, saved
+from storelens.llm.common import drop_folder, over_batches, saved
 from storelens.llm.graph import Forest, components, pairs_in, tiled, whole_groups
 from storelens.llm.simhash import SEED, distances, pivots
 
@@ -29,6 +34,7 @@ SIMILARITY = 0.8
 MEETINGS = 6
 RADIUS = 26  # of the fingerprints: over four deviations above the mean distance at the similarity
 TILE = 512
+LOOK = 64  # so many smallest hashes of a node tell which share of its set is common
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -81,6 +87,34 @@ def _sets(docs: DataFrame) -> DataFrame:
     return over_batches(docs, make, "node long, fp long, set binary")
 
 
+def _rarer(hot: DataFrame, sets: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """node, left (hot keys that it gives up), extra (rare hashes it meets at), from the nodes (key, node) of hot keys.
+
+    With a common share f of the union, sets of the similarity s share (s - f) / (1 - f) of the rest at least. f is known from
+    ``LOOK`` hashes, so a tenth is added.
+    """
+    def make():
+        def step(batch: pa.RecordBatch) -> dict[str, list]:
+            sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64)[:LOOK].view(np.int64) for s in batch.column(1)]
+            times = np.array([len(s) for s in sets], dtype=np.int64)
+            place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            return {"node": np.repeat(batch.column(0).to_numpy(), times), "place": place, "key": np.concatenate(sets) if sets else []}
+
+        return step
+
+    left = hot.groupBy("node").agg(F.collect_set("key").alias("left"))
+    first = saved(over_batches(sets.join(left.select("node"), "node").select("node", "set"), make, "node long, place int, key long"), folder, "first")
+    common = first.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("key", F.lit(True).alias("common"))
+    told = first.join(F.broadcast(common), "key", "left").groupBy("node").agg(  # a row of common for over TILE of first
+        (F.count("common") / F.count("*") + 0.1).alias("f"), F.array_sort(F.collect_list(F.when(F.col("common").isNull(), F.struct("place", "key")))).alias("rare"))
+    goes = F.col("f") < (similarity - 0.2) / 0.8  # the rest then shares over a fifth
+    shared = (similarity - F.col("f")) / (1 - F.col("f"))
+    miss = MEETINGS * float(np.log(max(1 - similarity, 1e-9)))  # as at MEETINGS hashes of which none is common
+    most = F.when(goes, F.ceil(miss / F.log(F.greatest(1 - shared, F.lit(1e-9)))).cast("int")).otherwise(LOOK)
+    told = told.select("node", goes.alias("goes"), F.slice("rare.key", 1, most).alias("extra"))
+    return told.join(left, "node").select("node", F.when(F.col("goes"), F.col("left")).otherwise(F.array().cast("array<bigint>")).alias("left"), "extra")
+
+
 def groups(docs: DataFrame, folder: str, similarity: float = SIMILARITY) -> DataFrame:
     """node, component_id (smallest doc_id of the group), from columns doc_id and text.
 
@@ -93,10 +127,21 @@ def _grouped(docs: DataFrame, folder: str, similarity: float = SIMILARITY) -> tu
     """The rows (id, tk, node) of the documents, and ``groups``."""
     slim = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = saved(_rows(slim), folder, "rows")
-    nodes = saved(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), folder, "nodes")
-    met = saved(tiled(nodes.select("node", F.explode("keys").alias("key")), "key", "node", TILE, folder, "keys"), folder, "met")
-    some = nodes.join(met.select("node").distinct(), "node").where("id is not null").select("id", "node")
-    sets = saved(_sets(slim.join(some.select("id").distinct(), "id").select("text")).dropDuplicates(["node"]), folder, "sets")
+    nodes = saved(rows.groupBy("node").agg(F.min("id").alias("id"), F.min_by("tk", "id").alias("tk"), F.first("keys").alias("keys")), folder, "nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    counts = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), folder, "counts")
+    some = keyed.join(counts, "key").select("node").distinct().join(nodes.where("id is not null").select("node", "id", "tk"), "node")
+    # one text a node: its sets need no shuffle of their own
+    texts = slim.withColumn("tk", F.xxhash64("text")).join(some.select("id", "tk"), ["id", "tk"]).dropDuplicates(["id", "tk"])
+    sets = saved(_sets(texts.select("text")), folder, "sets")
+    keys, extra = F.col("keys"), F.array().cast("array<bigint>")
+    hot = counts.where(F.col("n") > TILE).select("key")
+    if not hot.isEmpty():
+        rarer = saved(_rarer(keyed.join(F.broadcast(hot), "key"), sets, folder, similarity), folder, "rarer")  # a row of hot for over TILE of keyed
+        nodes = saved(nodes.join(rarer, "node", "left").select("node", "id", F.when(F.col("left").isNull(), keys).otherwise(F.array_except(keys, F.col("left"))).alias("keys"),
+                                                               F.coalesce("extra", extra).alias("extra")), folder, "placed")
+        extra = F.col("extra")
+    met = saved(tiled(nodes.select("node", F.explode(F.array_union("keys", extra)).alias("key")), "key", "node", TILE, folder, "keys"), folder, "met")
     slight = sets.select("node", "fp", (F.length("set") / 8).cast("int").alias("size")).join(nodes.select("node", "keys"), "node")
     to = pivots()
 
@@ -146,7 +191,7 @@ def _grouped(docs: DataFrame, folder: str, similarity: float = SIMILARITY) -> tu
                             forest.add(np.array([a]), np.array([b]))
             yield pa.RecordBatch.from_arrays([pa.array(node[forest.a]), pa.array(node[forest.b])], names=["a", "b"])
 
-    # sets go only where a pair is to be verified, and a pair is verified at its smallest shared key
+    # sets go only where a pair is to be verified, and a pair is verified at its smallest shared key (once more at extra ones)
     tiles = met.join(slight, "node").repartition("key", "_a", "_b").sortWithinPartitions("key", "_a", "_b")
     marked = saved(tiles.select("key", "_a", "_b", "_part", "node", "fp", "size", "keys").mapInArrow(mark, "key long, _a int, _b int, _part int, node long"), folder, "marked")
     full = marked.join(sets, "node").repartition("key", "_a", "_b").sortWithinPartitions("key", "_a", "_b")
@@ -154,7 +199,10 @@ def _grouped(docs: DataFrame, folder: str, similarity: float = SIMILARITY) -> tu
     roots = components(edges, folder)
     rooted = saved(nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), folder, "rooted")
     least = saved(rooted.groupBy("root").agg(F.min("id").alias("component_id")), folder, "least")
-    return rows.select("id", "tk", "node"), saved(rooted.join(least, "root").select("node", "component_id"), folder, "named")
+    named = saved(rooted.join(least, "root").select("node", "component_id"), folder, "named")
+    for name in ("nodes", "counts", "sets", "first", "rarer", "placed", "keys", "keys-counts", "met", "marked", "links", "rooted", "least"):
+        drop_folder(docs.sparkSession, f"{folder}/{name}")
+    return rows.select("id", "tk", "node"), named
 
 
 def keep_one(docs: DataFrame, folder: str) -> DataFrame:
@@ -166,5 +214,7 @@ def keep_one(docs: DataFrame, folder: str) -> DataFrame:
     rows, named = _grouped(docs, folder)
     gone = saved(rows.join(named, "node").where(F.coalesce(F.col("component_id") != F.col("id"), F.col("component_id").isNotNull()))
                  .select(F.col("id").alias("_gone"), F.col("tk").alias("_tk")).distinct(), folder, "gone")
+    for name in ("rows", "named"):
+        drop_folder(docs.sparkSession, f"{folder}/{name}")
     # the texts leave by the hash they came in with: they are not read by Python again
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_tk")), "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.bwt import classes
-from storelens.llm.common import bounded_batches, over_batches, saved, slices
+from storelens.llm.common import bounded_batches, drop_folder, over_batches, saved, slices
 from storelens.llm.graph import whole_groups
 
 LENGTH = 100
@@ -188,7 +188,7 @@ def _first_of_many(halves: DataFrame, folder: str) -> DataFrame:
             times = np.array([len(s) - LENGTH + 1 for s in snippets], dtype=np.int64)
             row = np.repeat(np.arange(len(times)), times)
             off = np.arange(len(row)) - (np.cumsum(times) - times)[row]
-            x = np.array([of(s[i : i + LENGTH]) for s, k in zip(snippets, times.tolist()) for i in range(k)], dtype=np.uint64)
+            x = np.fromiter((of(s[i : i + LENGTH]) for s, k in zip(snippets, times.tolist()) for i in range(k)), dtype=np.uint64, count=len(row))
             h, doc, tk, lo = (batch.column(k).to_numpy()[row] for k in range(4))
             return {"h": h, "x": x.view(np.int64), "doc": doc, "tk": tk, "lo": lo, "off": off}
 
@@ -246,6 +246,8 @@ def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "do
     every = saved(_anchors(slim), folder, "anchors")
     repeated = saved(every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), folder, "repeated")
     hits = saved(every.join(repeated, "h"), folder, "runs")
+    for name in ("anchors", "repeated"):
+        drop_folder(docs.sparkSession, f"{folder}/{name}")
     firsts = saved(hits.groupBy("h", "c").agg(F.min(F.struct("doc", "lo", "tk")).alias("f"), F.max("n").alias("n")).select("h", "c", "f.doc", "f.tk", "f.lo", "n"), folder, "variants")
     several = saved(firsts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), folder, "several")
     wanted = firsts.join(several, "h").groupBy("doc", "tk").agg(F.collect_list(F.struct("h", "lo", "n")).alias("want"))
@@ -281,7 +283,9 @@ def deduplicate(docs: DataFrame, folder: str, text: str = "text", key: str = "do
     parts = saved(few.select("h", "doc", "tk", "lo", "n", "snippet").mapInArrow(_compare, "doc long, tk long, lo int, a int, z int"), folder, "repeats")
     many = counts.where(F.col("k") > TILE).select("h")
     if not many.isEmpty():
-        parts = parts.union(_first_of_many(both.join(F.broadcast(many), "h"), folder))  # a row for over TILE halves
+        parts = parts.union(saved(_first_of_many(both.join(F.broadcast(many), "h"), folder), folder, "later"))  # a row of many for over TILE halves
+    for name in ("several", "snippets", "counts"):
+        drop_folder(docs.sparkSession, f"{folder}/{name}")
     none = F.lit(None).cast("int")
     marks = (hits.select("doc", "tk", F.lit(0).alias("kind"), "lo", "n", none.alias("a"), none.alias("z"))
              .union(firsts.select("doc", "tk", F.lit(1), "lo", "n", none, none))

@@ -100,6 +100,34 @@ def test_near_copies_with_a_repeated_line(spark, folder):
     assert {r["doc_id"] for r in got.collect()} == {rows[i][0] for i in set(root)} == {10 * k for k in range(12)}
 
 
+def test_meeting_places_of_a_common_line_grow_with_the_input(spark, folder, monkeypatch):
+    """Tiles of a shingle that many texts share grew with the square of their number; copies are still found."""
+    r, met, inner = random.Random(8), [], simhash_dedup.tiled
+    monkeypatch.setattr(simhash_dedup, "TILE", 8)
+
+    def counting(*args):
+        out = inner(*args)
+        met[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "tiled", counting)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    line = words(12)
+    for count in (40, 160):
+        rows = []
+        for k in range(count):
+            own = words(r.randint(15, 80))
+            rows += [(10 * k + 1, " ".join(own + line))] + [(10 * k, " ".join(own + line + words(1)))] * (k % 4 == 0)
+        rows += [(10**6 + k, " ".join(line + words(k))) for k in range(4)]  # common for the most part
+        sets = [set(simhash_dedup.shingle_set(t.encode()).tolist()) for _, t in rows]
+        root = components(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+        met.append(0)
+        got = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), folder())
+        least = {c: min(rows[i][0] for i in range(len(rows)) if root[i] == c) for c in set(root)}
+        assert {x["doc_id"] for x in got.collect()} == set(least.values())
+    assert 0 < met[1] < 6 * met[0]
+
+
 def cover_of_repeats(docs, length=100):
     """Which bytes of each document, a list of (doc_id, bytes), repeat strings of earlier places."""
     first = {}
