@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -213,7 +214,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep_ids: b
                 made["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                 made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    made["ids"].append([int(i) for i in ids.split()])
+                    made["ids"].append(np.fromstring(ids, dtype=np.int32, sep=" ") if ids else np.empty(0, np.int32))  # four bytes a token
                 if keep_text:
                     made["decoded"].append(decoded)
             return out | made
